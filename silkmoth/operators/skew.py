@@ -47,9 +47,9 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], partitions: int |
 
 
 def chunk_states(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """State of each chunk: rows, first and last ``at``, longest step inside it."""
+    """State of each chunk: rows, first and last ``at``, longest step inside it in microseconds."""
     inside = Window.partitionBy(*keys, "chunk").orderBy("pos")
-    step = F.col(at).cast("double") - F.lag(F.col(at).cast("double")).over(inside)
+    step = F.unix_micros(F.col(at)) - F.lag(F.unix_micros(F.col(at))).over(inside)
     return rows.withColumn("__step", step).groupBy(*keys, "chunk").agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.max("__step").alias("longest_step"))
 
 
@@ -57,7 +57,7 @@ def merge_states(states: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: rows, first, last, longest step — within chunks and across their borders."""
     order = Window.partitionBy(*keys).orderBy("chunk")
     ends = F.max("last_at").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    border = F.col("first_at").cast("double") - ends.cast("double")
+    border = F.unix_micros("first_at") - F.unix_micros(ends)
     merged = states.withColumn("__border", border)
     return merged.groupBy(*keys).agg(
         F.sum("n").alias("n_rows"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max(F.greatest("longest_step", "__border")).alias("longest_step"), F.count("*").alias("chunks")

@@ -47,13 +47,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """with k as (select 'dest' as side, dest as node, edge_id, seen_at from link_edges where dest is not null
 union all select 'url', url, edge_id, seen_at from link_edges where url is not null),
 s as (select *, epoch_us(seen_at) - lag(epoch_us(seen_at)) over (partition by side, node order by seen_at nulls first, edge_id) as step from k)
-select side, node, count(*) as n_rows, min(seen_at) as first_at, max(seen_at) as last_at, round(max(step) / 1e6, 3) as longest_step from s group by side, node"""
+select side, node, count(*) as n_rows, min(seen_at) as first_at, max(seen_at) as last_at, max(step) as longest_step from s group by side, node"""
 )
 def p7_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     results = skew.per_key(table(spark, sf_dir, "link_edges"), ["dest", "url"], "seen_at", "edge_id")
-    return results.select("side", "node", "n_rows", "first_at", "last_at", F.round("longest_step", 3).alias("longest_step"))
+    return results.select("side", "node", "n_rows", "first_at", "last_at", "longest_step")
 
 
 def queries() -> dict[str, Query]:
