@@ -31,7 +31,7 @@ MAX_HOT = 200_000
 
 
 def current_records(docs: DataFrame, url: str = "url", key: str = "fetch_id", at: str = "last_modified", content: str = "content") -> DataFrame:
-    """Current record of every url, with its terms: ``(url, terms, counts, n)``.
+    """Current record of every url, with its terms: ``(url, key, terms, counts)``.
 
     Of the rows of a url with non-null content the one with the latest ``at`` is
     current (null is oldest, ties go to the higher ``key``). Rows with a null url
@@ -43,25 +43,20 @@ def current_records(docs: DataFrame, url: str = "url", key: str = "fetch_id", at
         for b in batches:
             own = [Counter(terms_of(t)) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array([list(c) for c in own], pa.list_(pa.string())), pa.array([list(c.values()) for c in own], pa.list_(pa.int64())), pa.array([sum(c.values()) for c in own], pa.int64())],
-                names=["url", "key", "at", "terms", "counts", "n"],
+                [b.column(0), b.column(1), b.column(2), pa.array([list(c) for c in own], pa.list_(pa.string())), pa.array([list(c.values()) for c in own], pa.list_(pa.int32()))],
+                names=["url", "key", "at", "terms", "counts"],
             )
 
     rows = docs.select(F.col(url).alias("url"), F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at"), F.col(content).alias("content")).dropna(subset=["url", "key", "content"])
-    counted = rows.mapInArrow(count, "url string, key bigint, at timestamp, terms array<string>, counts array<bigint>, n bigint")
-    newest = F.max_by(F.struct("terms", "counts", "n"), F.struct(F.col("at").isNotNull(), F.col("at"), F.col("key")))
-    return counted.groupBy("url").agg(newest.alias("r")).select("url", "r.terms", "r.counts", "r.n")
+    counted = rows.mapInArrow(count, "url string, key bigint, at timestamp, terms array<string>, counts array<int>")
+    newest = F.max_by(F.struct("key", "terms", "counts"), F.struct(F.col("at").isNotNull(), F.col("at"), F.col("key")))
+    return counted.groupBy("url").agg(newest.alias("r")).select("url", "r.key", "r.terms", "r.counts")
 
 
-def with_background(cells: DataFrame, background: DataFrame, records: int, hot: float = HOT, most: int = MAX_HOT) -> DataFrame:
-    """``cells`` (with ``term``) joined to ``background``; hot terms are joined apart."""
-    many = background.where(F.col("df") >= F.lit(max(2.0, hot * records)))
-    if many.limit(most + 1).count() > most:
-        return cells.join(background, "term")
-    names = F.broadcast(many.select("term"))
-    warm = cells.join(F.broadcast(many), "term")
-    cold = cells.join(names, "term", "left_anti").join(background, "term")
-    return warm.unionByName(cold)
+def hot_background(background: DataFrame, records: int, hot: float = HOT, most: int = MAX_HOT) -> dict[str, tuple[int, int]]:
+    """``df`` and ``cf`` of the hot terms; none are hot if they are more than ``most``."""
+    got = background.where(F.col("df") >= F.lit(max(2.0, hot * records))).limit(most + 1).collect()
+    return {r.term: (r.df, r.cf) for r in got} if len(got) <= most else {}
 
 
 def fit(offsets: np.ndarray, counts: np.ndarray, back: np.ndarray, lam: float = LAMBDA, rounds: int = ROUNDS) -> np.ndarray:
@@ -84,54 +79,79 @@ def fit(offsets: np.ndarray, counts: np.ndarray, back: np.ndarray, lam: float =
     return p
 
 
-def record_models(docs: DataFrame, lam: float = LAMBDA, rounds: int = ROUNDS, **names: str) -> tuple[DataFrame, int]:
-    """One row per (url, term): ``tf, df, prob``, and the number of records.
+def fitted(docs: DataFrame, lam: float = LAMBDA, rounds: int = ROUNDS, **names: str) -> tuple[DataFrame, DataFrame, int]:
+    """Models ``(rid, t)``, the urls ``(rid, url)`` of the records, and the number of records.
 
-    ``prob`` is the term's probability in the record's converged model; ``tf`` its
-    share of the record's occurrences, ``df`` the records that hold it. Records
-    without terms have no rows but count. An empty table gives no rows.
+    ``t`` is an array of ``(term, tf, df, prob)``: the term's share of the record's
+    occurrences, the records that hold it and its probability in the converged
+    model. Records without terms have an empty array; an empty table gives no rows.
+
+    A record stays one row. Its hot terms find their background in a broadcast of
+    checked size; only the others are shuffled, to be joined with theirs by term.
     """
-    current = materialise(current_records(docs, **names))
+    current = materialise(current_records(docs, **names).select(F.xxhash64("url", "key").alias("rid"), "url", "terms", "counts"))
     records = current.count()
-    cells = current.select("url", "n", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("url", "n", F.col("t.terms").alias("term"), F.col("t.counts").alias("c"))
-    background = materialise(cells.groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("cf")))
+    each = current.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.counts").alias("c"))
+    background = materialise(each.groupBy("term").agg(F.count("*").cast("int").alias("df"), F.sum("c").alias("cf")))
     total = background.agg(F.sum("cf")).first()[0] or 1
-    joined = with_background(cells, background, records)
-    packed = joined.groupBy("url").agg(F.first("n").alias("n"), F.collect_list(F.struct("term", "c", "df", "cf")).alias("t"))
+    shared = docs.sparkSession.sparkContext.broadcast(hot_background(background, records))
+    cold = background.where(F.col("df") < F.lit(max(2.0, HOT * records))) if shared.value else background
+
+    cells = current.select("rid", F.explode("terms").alias("term")).join(cold, "term")
+    # lists of one aggregation keep one order
+    rest = cells.groupBy("rid").agg(F.collect_list("term").alias("own"), F.collect_list("df").alias("df"), F.collect_list("cf").alias("cf"))
+    rows = current.select("rid", "terms", "counts").join(rest, "rid", "left")
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
         for b in batches:
-            lists = b.column(2)
-            flat = lists.flatten()
+            dfs: list[int] = []
+            cfs: list[int] = []
+            for terms, own, df, cf in zip(*(b.column(k).to_pylist() for k in (1, 3, 4, 5)), strict=True):
+                found = dict(zip(own, zip(df, cf, strict=True), strict=True)) if own else {}
+                for t in terms:
+                    d, c = hot.get(t) or found[t]
+                    dfs.append(d)
+                    cfs.append(c)
+            lists = b.column(1)
+            counts = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-            term, c, df, cf = (flat.field(k) for k in range(4))
-            counts = c.to_numpy(zero_copy_only=False)
-            prob = fit(offsets, counts, cf.to_numpy(zero_copy_only=False) / total, lam, rounds)
-            at = np.repeat(np.arange(len(sizes)), sizes)
-            n = b.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), term, pa.array(counts / n[at]), df, pa.array(prob)], names=["url", "term", "tf", "df", "prob"])
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            prob = fit(ends[:-1], counts, np.array(cfs, float) / total, lam, rounds)
+            n = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=counts, minlength=len(sizes))
+            tf = counts / np.repeat(n, sizes)
+            cells = pa.StructArray.from_arrays([lists.flatten(), pa.array(tf), pa.array(dfs, pa.int32()), pa.array(prob)], names=["term", "tf", "df", "prob"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)], names=["rid", "t"])
+
+    models = rows.mapInArrow(model, "rid bigint, t array<struct<term:string,tf:double,df:int,prob:double>>")
+    return models, current.select("rid", "url"), records
+
 
-    return packed.mapInArrow(model, "url string, term string, tf double, df bigint, prob double"), records
+def record_models(docs: DataFrame, lam: float = LAMBDA, rounds: int = ROUNDS, **names: str) -> DataFrame:
+    """One row per (url, term): ``(url, term, tf, df, prob)``; see :func:`fitted`."""
+    models, urls, _ = fitted(docs, lam, rounds, **names)
+    return models.join(urls, "rid").select("url", F.explode("t").alias("t")).select("url", "t.term", "t.tf", "t.df", "t.prob")
 
 
-def distinctive(models: DataFrame, records: int, k: int = 3, floor: float = 1e-4) -> DataFrame:
+def distinctive(models: DataFrame, urls: DataFrame, records: int, k: int = 3, floor: float = 1e-4) -> DataFrame:
     """The ``k`` best terms of every record: ``(url, term, weight, prob)``.
 
     Only terms in at least 2 and at most half of the records qualify. The
     converged model proposes the terms it left a probability of ``floor`` or
     more; the exact weight (0.4 + 0.6 tf) ln(N/df) orders them, ties by the term.
     A qualifying term that the model dropped comes back if its exact weight beats
-    the k-th proposed one, so the result equals the exact order.
+    the k-th proposed one, so the result equals the exact order. A record is one
+    row, so ordering its terms shuffles nothing.
     """
-    weight = (F.lit(0.4) + F.lit(0.6) * F.col("tf")) * F.log(F.lit(float(max(records, 1))) / F.col("df"))
-    fit_ = models.where((F.col("df") >= 2) & (F.col("df") <= F.lit(records / 2))).withColumn("weight", weight)
-    entry = F.struct((-F.col("weight")).alias("w"), F.col("term"), F.col("prob"))
-    kept = F.collect_list(F.when(F.col("prob") >= floor, entry))
-    dropped = F.collect_list(F.when(F.col("prob") < floor, entry))
-    per = fit_.groupBy("url").agg(kept.alias("kept"), dropped.alias("dropped"))
-    best = per.select("url", F.slice(F.array_sort("kept"), 1, k).alias("best"), "dropped")
-    back = F.filter("dropped", lambda x: (F.size("best") < k) | (x < F.element_at("best", -1)))
-    # element_at of an empty array is only read where size("best") == k
-    checked = best.select("url", F.when(F.size("best") == 0, F.col("dropped")).otherwise(F.concat("best", back)).alias("t"))
-    return checked.select("url", F.explode(F.slice(F.array_sort("t"), 1, k)).alias("t")).select("url", F.col("t.term").alias("term"), (-F.col("t.w")).alias("weight"), F.col("t.prob").alias("prob"))
+    n = F.lit(float(max(records, 1)))
+
+    def entry(x):
+        return F.struct((-((F.lit(0.4) + F.lit(0.6) * x.tf) * F.log(n / x.df))).alias("w"), x.term.alias("term"), x.prob.alias("prob"))
+
+    fit_ = F.filter("t", lambda x: (x.df >= 2) & (x.df <= F.lit(records / 2)))
+    rows = models.select("rid", F.transform(fit_, entry).alias("t"))
+    best = rows.select("rid", F.slice(F.array_sort(F.filter("t", lambda x: x.prob >= floor)), 1, k).alias("best"), F.filter("t", lambda x: x.prob < floor).alias("dropped"))
+    last = F.try_element_at("best", F.lit(k))
+    back = F.filter("dropped", lambda x: last.isNull() | (x < last))
+    checked = best.select("rid", F.explode(F.slice(F.array_sort(F.concat("best", back)), 1, k)).alias("t"))
+    return checked.join(urls, "rid").select("url", F.col("t.term").alias("term"), (-F.col("t.w")).alias("weight"), F.col("t.prob").alias("prob"))

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkmoth.llm import mixing, parsimonious, trie_counts
+from silkmoth.llm import langid, leakage, mixing, mojibake, parsimonious, trie_counts
 from silkmoth.sources.tables import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(table(spark, sf_dir, "crawl_docs")).select("fetch_id")
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(table(spark, sf_dir, "crawl_docs"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = trie_counts.term_counts(table(spark, sf_dir, "crawl_docs"), "fetch_id", "content")
     return counts.where("mark is not null").select("term", "mark")
@@ -19,8 +27,31 @@ def p4_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models, records = parsimonious.record_models(table(spark, sf_dir, "crawl_docs"))
-    return parsimonious.distinctive(models, records).select("url", "term")
+    return parsimonious.distinctive(*parsimonious.fitted(table(spark, sf_dir, "crawl_docs"))).select("url", "term")
+
+
+def p5_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsimonious.record_models(table(spark, sf_dir, "crawl_docs"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = leakage.load_items(table(spark, sf_dir, "eval_items"))
+    return leakage.leaks(table(spark, sf_dir, "documents"), items).select("doc_id", "item_id").distinct()
+
+
+def p8_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = leakage.load_items(table(spark, sf_dir, "eval_items"))
+    return leakage.removal_spans(leakage.leaks(table(spark, sf_dir, "documents"), items))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(table(spark, sf_dir, "lang_samples"))
+    return langid.mislabelled(langid.segments(table(spark, sf_dir, "documents"), model))
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(table(spark, sf_dir, "lang_samples"))
+    return langid.segments(table(spark, sf_dir, "documents"), model)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
