@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkmoth.llm import langid, leakage, mixing, mojibake, parsimonious, trie_counts
+from silkmoth.llm import langid, leakage, mixing, mojibake, parsimonious, templates, trie_counts, word_salad
 from silkmoth.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_salad.spam_pages(table(spark, sf_dir, "crawl_docs")).where("spam").select("fetch_id")
+
+
+def p1_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_salad.spam_pages(table(spark, sf_dir, "crawl_docs"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(table(spark, sf_dir, "crawl_docs")).select("fetch_id")
 
@@ -34,6 +42,10 @@ def p5_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsimonious.record_models(table(spark, sf_dir, "crawl_docs"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.articles(table(spark, sf_dir, "crawl_docs"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = leakage.load_items(table(spark, sf_dir, "eval_items"))
     return leakage.leaks(table(spark, sf_dir, "documents"), items).select("doc_id", "item_id").distinct()
