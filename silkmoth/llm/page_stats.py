@@ -18,7 +18,7 @@ from silkmoth.plans.lineage import materialise
 
 #: Share of the pages (and number) from which on a line belongs to the sites, not to an article.
 #: Each page adds each of its lines once, so at most 1/SHARED x (mean lines of a page) lines qualify.
-SHARED, SHARED_LEAST = 0.001, 3
+SHARED, SHARED_LEAST = 0.002, 3
 #: The same for words and for pairs of neighbouring words.
 SEEN, SEEN_LEAST = 0.0002, 3
 #: Hashes a worker holds before it sends its counts.
@@ -27,18 +27,17 @@ FLUSH = 1_500_000
 MAX_HASHES = 20_000_000
 
 _WORD = re.compile(r"\w+")
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _MASK = (1 << 63) - 1
 
-SCHEMA = "fetch_id bigint, url string, host string, html boolean, head int, no array<int>, text array<string>, own array<string>, links array<int>, path array<string>, element array<string>"
+SCHEMA = "fetch_id bigint, url string, host string, html boolean, head int, no array<int>, text array<string>, own array<string>, links array<int>, parts array<array<string>>, path array<string>, element array<string>"
 
 
 def normal(text: str) -> str:
     """Words of ``text`` in lower case; letters beyond ASCII are blanks in mostly ASCII text."""
     low = text.lower()
-    if not low.isascii():
-        plain = re.sub(r"[^\x00-\x7f]+", " ", low)
-        if 2 * sum(c.isalpha() for c in plain) >= sum(c.isalpha() for c in low):
-            low = plain
+    if not low.isascii() and len(low.encode("ascii", "ignore")) > 0.6 * len(low):
+        low = _FOREIGN.sub(" ", low)
     return " ".join(_WORD.findall(low))
 
 
@@ -69,10 +68,10 @@ def parsed(docs: DataFrame, key: str = "fetch_id", url: str = "url", mime: str =
                 [
                     b.column(0).take(take), urls, pa.array(hosts, pa.string()), pa.array([p.html for p in pages], pa.bool_()), pa.array([headline(p) for p in pages], pa.int32()),
                     pa.array([[x.no for x in p.lines] for p in pages], pa.list_(pa.int32())), pa.array([[x.text for x in p.lines] for p in pages], text),
-                    pa.array([[x.own if x.links else None for x in p.lines] for p in pages], text), pa.array([[x.links for x in p.lines] for p in pages], pa.list_(pa.int32())),
+                    pa.array([[x.own if x.links else None for x in p.lines] for p in pages], text), pa.array([[x.links for x in p.lines] for p in pages], pa.list_(pa.int32())), pa.array([[list(x.parts) or None for x in p.lines] for p in pages], pa.list_(text)),
                     pa.array([["\x1f".join(x.path) for x in p.lines] for p in pages], text), pa.array([[x.element for x in p.lines] for p in pages], text),
                 ],
-                names=["fetch_id", "url", "host", "html", "head", "no", "text", "own", "links", "path", "element"],
+                names=["fetch_id", "url", "host", "html", "head", "no", "text", "own", "links", "parts", "path", "element"],
             )
 
     rows = docs.select(F.col(key).alias("fetch_id"), F.col(url).alias("url"), F.col(mime).alias("mime"), F.col(content).alias("content"))
@@ -82,12 +81,12 @@ def parsed(docs: DataFrame, key: str = "fetch_id", url: str = "url", mime: str =
 def pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str, int, Page]]:
     """``(fetch_id, url, host, headline, page)`` of the rows of :func:`parsed`."""
     names = batch.schema.names
-    col = {n: batch.column(names.index(n)).to_pylist() for n in ("fetch_id", "url", "host", "html", "head", "no", "text", "own", "links", "path", "element")}
+    col = {n: batch.column(names.index(n)).to_pylist() for n in ("fetch_id", "url", "host", "html", "head", "no", "text", "own", "links", "parts", "path", "element")}
     for i in range(batch.num_rows):
         lines = []
-        for no, text, own, links, path, element in zip(*(col[n][i] for n in ("no", "text", "own", "links", "path", "element")), strict=True):
+        for no, text, own, links, parts, path, element in zip(*(col[n][i] for n in ("no", "text", "own", "links", "parts", "path", "element")), strict=True):
             own = text if own is None else own
-            lines.append(Line(no, text, own, links, tuple(path.split("\x1f")) if path else (), element))
+            lines.append(Line(no, text, own, links, tuple(path.split("\x1f")) if path else (), element, parts=tuple(parts or ())))
         yield col["fetch_id"][i], col["url"][i] or "", col["host"][i], col["head"][i], Page("", lines, col["html"][i])
 
 
@@ -123,22 +122,23 @@ def statistics(rows: DataFrame, words: bool = True) -> Stats:
         totals: dict[int, Counter] = {k: Counter() for k in range(5)}
         cache: dict[str, int] = {}
 
-        def flush() -> pa.RecordBatch:
-            out = [pa.RecordBatch.from_arrays([pa.array([k] * len(c), pa.int8()), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], names=["kind", "h", "n"]) for k, c in totals.items()]
-            for c in totals.values():
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, c in totals.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(c), pa.int8()), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], names=["kind", "h", "n"])
                 c.clear()
-            return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
         for b in batches:
             names = b.schema.names
-            texts, owns, elements, links = (b.column(names.index(n)).to_pylist() for n in ("text", "own", "element", "links"))
-            for text, own, element, link in zip(texts, owns, elements, links, strict=True):
+            texts, owns, elements, links, splits = (b.column(names.index(n)).to_pylist() for n in ("text", "own", "element", "links", "parts"))
+            for text, own, element, link, parts in zip(texts, owns, elements, links, splits, strict=True):
                 seen, labels = set(), set()
                 for i, t in enumerate(text):
                     n = normal(t)
                     seen.add(n)
                     if own[i]:
                         seen.add(normal(own[i]))
+                    if parts[i]:
+                        seen.update(map(normal, parts[i]))
                     if element[i][:1] == "h" and element[i][1:].isdigit() and i + 1 < len(text) and link[i + 1]:
                         labels.add(n)
                 seen.discard("")
@@ -162,10 +162,10 @@ def statistics(rows: DataFrame, words: bool = True) -> Stats:
                     if len(cache) > FLUSH:
                         cache.clear()
             if sum(map(len, totals.values())) > FLUSH:
-                yield flush()
-        yield flush()
+                yield from flush()
+        yield from flush()
 
-    sums = materialise(rows.select("text", "own", "element", "links").mapInArrow(count, "kind byte, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n")))
+    sums = materialise(rows.select("text", "own", "element", "links", "parts").mapInArrow(count, "kind byte, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n")))
     pages = (sums.where(F.col("kind") == PAGES).agg(F.sum("n")).first()[0]) or 0
     least = {LINE: max(SHARED_LEAST, SHARED * pages), LABEL: max(SHARED_LEAST, SHARED * pages), WORD: max(SEEN_LEAST, SEEN * pages), PAIR: max(SEEN_LEAST, SEEN * pages)}
     bound = F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, float(v))])

@@ -20,6 +20,9 @@ _TOKEN = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>
 _ATTR = re.compile(r"(class|id|width)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _BLANKS = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
+_BREAK = "\x1e"
+#: Elements of tables (fixed values); their cells are no units of a line.
+TABLE = frozenset(["table", "tr", "td", "th", "tbody", "thead"])
 INLINE = frozenset(["a", "b", "i", "em", "strong", "span", "font", "small", "u", "sup", "sub", "mark", "abbr"])
 
 
@@ -43,6 +46,8 @@ class Line:
     element: str = ""
     words: int = 0
     own_words: int = 0
+    #: the texts of the line's elements, if there are several
+    parts: tuple[str, ...] = ()
 
 
 @dataclass(slots=True)
@@ -143,8 +148,9 @@ def parse(content: str, mime: str | None) -> Page:
                 in_link = not closing
             elif name not in INLINE:
                 in_link = False
-                text_parts.append(" ")
-                own_parts.append(" ")
+                if text_parts:
+                    text_parts.append(_BREAK)
+                    own_parts.append(" ")
             if not line.element and not closing:
                 line.element = name
             if name in CONTAINERS and not unseen:
@@ -157,9 +163,16 @@ def parse(content: str, mime: str | None) -> Page:
                     attrs = " ".join(f"{a.lower()}={v.strip(chr(34) + chr(39))}" for a, v in _ATTR.findall(m.group(3)))
                     stack.append((name, f"{name} {attrs}"))
         in_link = in_link and not text_parts  # an unclosed link ends with its line
-        text = squeeze("".join(text_parts))
+        if not text_parts:
+            continue
+        whole = "".join(text_parts)
+        parts = [squeeze(x) for x in whole.split(_BREAK) if not x.isspace()] if _BREAK in whole else [squeeze(whole)]
+        parts = [x for x in parts if x]
+        text = " ".join(parts)
         if text and any(c.isalnum() for c in text):
-            line.text, line.own, line.path = text, squeeze("".join(own_parts)), path or ()
+            line.text, line.own, line.path = text, squeeze("".join(own_parts)) if line.links else text, path or ()
+            if len(parts) > 1 and line.element not in TABLE:
+                line.parts = tuple(parts)
             line.words, line.own_words = len(_WORD.findall(text)), len(_WORD.findall(line.own))
             page.lines.append(line)
     page.title = squeeze("".join(title))

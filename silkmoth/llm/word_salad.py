@@ -29,52 +29,81 @@ TIMES, SHARE = 3, 0.01
 EXCESS = 0.6
 #: Share of repeated words from which on an incoherent line counts against its page.
 REPEATED = 0.3
+#: Share of signs of no script of the corpus that shows a line to be garbled; it judges nothing.
+GARBLED = 0.08
+#: Where Cyrillic letters begin (fixed value).
+CYRILLIC = "\u0400"
 #: Incoherent words that a spam page has at least.
 LEAST = 20
 
 _WORD = re.compile(r"\w+")
 _END = re.compile(r"[.!?…][\"”»’)\]]*$")
 # a short list of names after a mark or a label: what an article is filed under
-_FILED = re.compile(r"^(#\s*|\w+:\s*)[\w’'-]+(,\s*[\w’'-]*)*$")
-# letters and marks of the corpus' scripts (fixed values); lines with other signs are garbled and judge nothing
+FILED = re.compile(r"^(#\s*|\w+:\s*)[^\s,#]+(,\s*[^\s,]*)*$")
+# all but letters and marks of the corpus' scripts (fixed values)
 _ODD = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿŒœŠšŽžŸА-яЁё«»¿¡‘’“”„–—…•·€£©№°\xa0]")
 
 
-def judge(page: Page, head: int, stats: Stats) -> tuple[int, int]:
-    """Words of sentences, and of incoherent lines, in the main part of a page."""
+class Values:
+    """Values of pairs of words, remembered up to a bound."""
+
+    def __init__(self, stats: Stats, most: int = 1_000_000):
+        self.stats, self.most = stats, most
+        self.words: dict[str, int] = {}
+        self.pairs: dict[tuple[str, str], tuple[float, bool, bool]] = {}
+
+    def __call__(self, ab: tuple[str, str]) -> tuple[float, bool, bool]:
+        """Value of a pair, 0 if the corpus hardly knows it; whether each word's absence says something."""
+        got = self.pairs.get(ab)
+        if got is None:
+            if len(self.pairs) > self.most:
+                self.pairs.clear()
+                self.words.clear()
+            s = self.stats
+            x, y = (self.words.get(w) or self.words.setdefault(w, mark(w, _KIND)) for w in ab)
+            c = s.pairs.get(pair(x, y))
+            value = 0.0 if c is None else 1 + math.log2(c * s.pages / (s.words.get(x, c) * s.words.get(y, c))) / 10
+            got = self.pairs[ab] = (value, ab[0].isascii() or x in s.words, ab[1].isascii() or y in s.words)
+        return got
+
+
+def judge(page: Page, head: int, site: set[int], value: Values) -> tuple[int, int]:
+    """Words of sentences, and of incoherent lines, in the main part of a page.
+
+    ``site`` has the hashes of lines that belong to the sites.
+    """
     main = page.lines[head].path if head >= 0 else ()
     rows = []
     for i, line in enumerate(page.lines):
         if i == head or (page.html and line.path[: len(main)] != main):
             continue
-        if mark(normal(line.text), LINE) in stats.lines or (len(line.text) < 200 and _FILED.match(line.text)) or len(_ODD.findall(line.text)) > 2:
+        text = line.text
+        if mark(normal(text), LINE) in site or (len(text) < 200 and FILED.match(text)) or (not text.isascii() and len(_ODD.findall(text)) > GARBLED * len(text)):
             continue
-        words = _WORD.findall(line.text.lower())
+        words = _WORD.findall(text.lower())
         if words:
-            rows.append((line, words))
-    total = sum(len(w) for _, w in rows)
-    pairs = Counter(p for _, w in rows for p in zip(w, w[1:], strict=False))
-    often = Counter(x for _, w in rows for x in w)
+            rows.append((line, words, list(zip(words, words[1:], strict=False))))
+    pairs = Counter(p for _, _, ps in rows for p in ps)
+    often = Counter(x for _, w, _ in rows for x in w)
+    least = max(TIMES, SHARE * sum(often.values()) + 1e-9)
+    much = {p for p, n in pairs.items() if n >= least}
     good, bad_lines = 0, []
-    for line, words in rows:
-        known, values, excess, n = 0, 0.0, 0, 0
-        hashes = [mark(w, _KIND) for w in words]
-        for k in range(len(words) - 1):
-            a, b = words[k], words[k + 1]
-            excess += pairs[a, b] >= TIMES and pairs[a, b] > SHARE * total
-            x, y = hashes[k], hashes[k + 1]
-            c = stats.pairs.get(pair(x, y))
-            if c is not None:
-                known += 1
-                values += 1 + math.log2(c * stats.pages / (stats.words.get(x, c) * stats.words.get(y, c))) / 10
-            elif all(w.isascii() or h in stats.words or often[w] >= TIMES for w, h in ((a, x), (b, y))):
-                values += FLOOR  # names with letters of other languages say nothing
-            else:
-                n -= 1
-            n += 1
-        address = "." in line.text and len(line.text.split()) < 2
+    for line, words, own_pairs in rows:
+        total, n = 0.0, 0
+        for ab in own_pairs:
+            v, a, b = value(ab)
+            if v:
+                total += v
+                n += 1
+            elif (a or (often[ab[0]] >= TIMES and max(ab[0]) < CYRILLIC)) and (b or (often[ab[1]] >= TIMES and max(ab[1]) < CYRILLIC)):
+                total += FLOOR  # rare names with letters beyond ASCII, and unknown Cyrillic words, say nothing
+                n += 1
+        excess = sum(p in much for p in own_pairs) if much else 0
+        pieces = line.text.split()
+        # an address, or a row of tags
+        address = ("." in line.text and len(pieces) < 2) or 2 * sum(x[0] == "#" for x in pieces) > len(pieces) > 1
         own = len(_WORD.findall(line.own)) if line.links else len(words)
-        if not address and ((n and values / n >= 0 and excess < EXCESS * (len(words) - 1)) or (not n and own)):
+        if not address and ((n and total >= 0 and excess < EXCESS * len(own_pairs)) or (not n and own)):
             if own >= 4 and _END.search(line.text):
                 good += len(words)
         else:
@@ -104,8 +133,10 @@ def spam_pages(docs: DataFrame, **names: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(statistics(rows))  # size checked
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats = shared.value
+        value = Values(stats)
         for b in batches:
-            got = [(f, *judge(page, head, shared.value)) for f, _, _, head, page in pages_of(b)]
+            got = [(f, *judge(page, head, stats.lines, value)) for f, _, _, head, page in pages_of(b)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([is_spam(g[1], g[2]) for g in got], pa.bool_())], names=["fetch_id", "sentence_words", "incoherent_words", "spam"])
 
     return rows.mapInArrow(find, "fetch_id bigint, sentence_words bigint, incoherent_words bigint, spam boolean").dropDuplicates(["fetch_id"])
