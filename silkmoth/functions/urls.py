@@ -48,19 +48,18 @@ def is_desired(path: Column) -> Column:
 def absolutise(href: Column, base: Column) -> Column:
     """``href`` of a page as an absolute URL; ``base`` is the page's parsed URL.
 
-    Other schemes than http(s) give null, an empty reference the page itself.
+    Other schemes than http(s) give null, and so does a reference that is empty or
+    names a place in the page itself.
     """
     h = F.trim(href)
     origin = F.concat(base["protocol"], F.lit("://"), base["host"], F.when(base["port"] == F.when(base["protocol"] == "https", F.lit(HTTPS_PORT)).otherwise(F.lit(HTTP_PORT)), F.lit("")).otherwise(F.concat(F.lit(":"), base["port"].cast("string"))))
     page = F.regexp_replace(base["path"], "[?#].*$", "")
     folder = F.regexp_replace(page, "[^/]*$", "")
-    keep = F.regexp_replace(base["path"], "#.*$", "")
     return (
         F.when(h.rlike("(?i)^https?://"), h)
         .when(h.rlike("^//"), F.concat(base["protocol"], F.lit(":"), h))
         .when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .when(h == "", F.concat(origin, keep))
-        .when(h.rlike("^#"), F.concat(origin, keep, h))
+        .when((h == "") | h.rlike("^#"), F.lit(None))
         .when(h.rlike("^[?]"), F.concat(origin, page, h))
         .when(h.rlike("^/"), F.concat(origin, h))
         .otherwise(F.concat(origin, folder, h))
