@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silkmoth.llm.pages import Line, Page, headline, is_page, parse
+from silkmoth.llm.pages import Line, Page, is_page, parse
 from silkmoth.plans.lineage import materialise
 
 #: Share of the pages (and number) from which on a line belongs to the sites, not to an article.
@@ -26,19 +26,22 @@ FLUSH = 1_500_000
 #: Most qualifying hashes that are broadcast (twelve bytes each); more is an error, as it is far beyond the bounds above.
 MAX_HASHES = 20_000_000
 
-_WORD = re.compile(r"\w+")
 _FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _MASK = (1 << 63) - 1
+# odd numbers that spread the hashes of pairs
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-SCHEMA = "fetch_id bigint, url string, host string, html boolean, head int, no array<int>, text array<string>, own array<string>, links array<int>, parts array<array<string>>, path array<string>, element array<string>"
+SCHEMA = (
+    "fetch_id bigint, url string, host string, html boolean, head int, no array<int>, text array<string>, own array<string>, links array<int>, "
+    "parts array<array<string>>, path array<string>, element array<string>, flags array<int>, label array<string>"
+)
 
 
-def normal(text: str) -> str:
-    """Words of ``text`` in lower case; letters beyond ASCII are blanks in mostly ASCII text."""
-    low = text.lower()
+def normal(low: str) -> str:
+    """Words of a line; letters beyond ASCII are blanks in mostly ASCII text."""
     if not low.isascii() and len(low.encode("ascii", "ignore")) > 0.6 * len(low):
-        low = _FOREIGN.sub(" ", low)
-    return " ".join(_WORD.findall(low))
+        return " ".join(_FOREIGN.sub(" ", low).split())
+    return low
 
 
 def mark(text: str, kind: int) -> int:
@@ -63,31 +66,47 @@ def parsed(docs: DataFrame, key: str = "fetch_id", url: str = "url", mime: str =
             take = pa.array(at, pa.int64())
             urls = b.column(1).take(take)
             hosts = [re.sub(r"^[a-z]+://", "", u or "").split("/")[0].split(":")[0] for u in urls.to_pylist()]
-            text = pa.list_(pa.string())
+            text, number = pa.list_(pa.string()), pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0).take(take), urls, pa.array(hosts, pa.string()), pa.array([p.html for p in pages], pa.bool_()), pa.array([headline(p) for p in pages], pa.int32()),
-                    pa.array([[x.no for x in p.lines] for p in pages], pa.list_(pa.int32())), pa.array([[x.text for x in p.lines] for p in pages], text),
-                    pa.array([[x.own if x.links else None for x in p.lines] for p in pages], text), pa.array([[x.links for x in p.lines] for p in pages], pa.list_(pa.int32())), pa.array([[list(x.parts) or None for x in p.lines] for p in pages], pa.list_(text)),
-                    pa.array([["\x1f".join(x.path) for x in p.lines] for p in pages], text), pa.array([[x.element for x in p.lines] for p in pages], text),
+                    b.column(0).take(take),
+                    urls,
+                    pa.array(hosts, pa.string()),
+                    pa.array([p.html for p in pages], pa.bool_()),
+                    pa.array([p.head for p in pages], pa.int32()),
+                    pa.array([[x.no for x in p.lines] for p in pages], number),
+                    pa.array([[x.text for x in p.lines] for p in pages], text),
+                    pa.array([[x.own if x.links else None for x in p.lines] for p in pages], text),
+                    pa.array([[x.links for x in p.lines] for p in pages], number),
+                    pa.array([[list(x.parts) or None for x in p.lines] for p in pages], pa.list_(text)),
+                    pa.array([["\x1f".join(x.path) for x in p.lines] for p in pages], text),
+                    pa.array([[x.element for x in p.lines] for p in pages], text),
+                    pa.array([[x.flags for x in p.lines] for p in pages], number),
+                    pa.array([[x.label for x in p.lines] for p in pages], text),
                 ],
-                names=["fetch_id", "url", "host", "html", "head", "no", "text", "own", "links", "parts", "path", "element"],
-            )
+                names=[x.split()[0] for x in SCHEMA.split(", ")],
+            )
 
     rows = docs.select(F.col(key).alias("fetch_id"), F.col(url).alias("url"), F.col(mime).alias("mime"), F.col(content).alias("content"))
     return materialise(rows.where("fetch_id is not null and content is not null and content <> ''").mapInArrow(read, SCHEMA))
 
 
-def pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str, int, Page]]:
-    """``(fetch_id, url, host, headline, page)`` of the rows of :func:`parsed`."""
+_LINES = ("no", "text", "own", "links", "parts", "path", "element", "flags", "label")
+
+
+def pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str, Page]]:
+    """``(fetch_id, url, host, page)`` of the rows of :func:`parsed`."""
     names = batch.schema.names
-    col = {n: batch.column(names.index(n)).to_pylist() for n in ("fetch_id", "url", "host", "html", "head", "no", "text", "own", "links", "parts", "path", "element")}
+    col = {n: batch.column(names.index(n)).to_pylist() for n in ("fetch_id", "url", "host", "html", "head", *_LINES)}
+    paths: dict[str, tuple[str, ...]] = {"": ()}
     for i in range(batch.num_rows):
         lines = []
-        for no, text, own, links, parts, path, element in zip(*(col[n][i] for n in ("no", "text", "own", "links", "parts", "path", "element")), strict=True):
-            own = text if own is None else own
-            lines.append(Line(no, text, own, links, tuple(path.split("\x1f")) if path else (), element, parts=tuple(parts or ())))
-        yield col["fetch_id"][i], col["url"][i] or "", col["host"][i], col["head"][i], Page("", lines, col["html"][i])
+        for no, text, own, links, parts, path, element, flags, label in zip(*(col[n][i] for n in _LINES), strict=True):
+            at = paths.get(path)
+            if at is None:
+                at = paths[path] = tuple(path.split("\x1f"))
+            lines.append(Line(no, text, text if own is None else own, links, at, element, tuple(parts) if parts else (), flags, label))
+        yield col["fetch_id"][i], col["url"][i] or "", col["host"][i], Page(lines, col["html"][i], col["head"][i])
 
 
 LINE, WORD, PAIR, LABEL, PAGES = range(5)
@@ -119,50 +138,59 @@ def statistics(rows: DataFrame, words: bool = True) -> Stats:
     """Numbers of pages with each line, heading over links, word and pair of neighbours."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, Counter] = {k: Counter() for k in range(5)}
+        totals: dict[int, Counter] = {k: Counter() for k in (LINE, LABEL, WORD, PAGES)}
+        pairs: list[np.ndarray] = []
+        held = 0
         cache: dict[str, int] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for k, c in totals.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(c), pa.int8()), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], names=["kind", "h", "n"])
+                yield counts(k, list(c), list(c.values()))
                 c.clear()
+            if pairs:
+                yield counts(PAIR, *np.unique(np.concatenate(pairs), return_counts=True))
+                pairs.clear()
+
+        def counts(k: int, h, n) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int8)), pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["kind", "h", "n"])
 
         for b in batches:
             names = b.schema.names
-            texts, owns, elements, links, splits = (b.column(names.index(n)).to_pylist() for n in ("text", "own", "element", "links", "parts"))
-            for text, own, element, link, parts in zip(texts, owns, elements, links, splits, strict=True):
-                seen, labels = set(), set()
-                for i, t in enumerate(text):
-                    n = normal(t)
-                    seen.add(n)
-                    if own[i]:
-                        seen.add(normal(own[i]))
-                    if parts[i]:
-                        seen.update(map(normal, parts[i]))
-                    if element[i][:1] == "h" and element[i][1:].isdigit() and i + 1 < len(text) and link[i + 1]:
-                        labels.add(n)
+            columns = (b.column(names.index(n)).to_pylist() for n in ("text", "own", "element", "links", "parts"))
+            for text, own, element, link, parts in zip(*columns, strict=True):
+                seen, labels = set(text), set()
+                seen.update(x for x in own if x)
+                for p in parts:
+                    if p:
+                        seen.update(p)
+                for i, e in enumerate(element):
+                    if e[:1] == "h" and e[1:].isdigit() and i + 1 < len(text) and link[i + 1]:
+                        labels.add(text[i])
                 seen.discard("")
-                labels.discard("")
-                totals[LINE].update(mark(n, LINE) for n in seen)
-                totals[LABEL].update(mark(n, LABEL) for n in labels)
+                totals[LINE].update({mark(normal(n), LINE) for n in seen})
+                totals[LABEL].update({mark(normal(n), LABEL) for n in labels})
                 totals[PAGES][0] += 1
                 if words:
-                    uni, bi = set(), set()
+                    flat: list[int] = []
                     for t in text:
-                        h = []
-                        for w in _WORD.findall(t.lower()):
+                        for w in t.split(" "):
                             x = cache.get(w)
                             if x is None:
                                 x = cache[w] = mark(w, WORD)
-                            h.append(x)
-                        uni.update(h)
-                        bi.update(zip(h, h[1:], strict=False))
-                    totals[WORD].update(uni)
-                    totals[PAIR].update(pair(x, y) for x, y in bi)
+                            flat.append(x)
+                        flat.append(0)
+                    h = np.array(flat, np.int64)
+                    totals[WORD].update(set(flat))
+                    both = (h[:-1] != 0) & (h[1:] != 0)
+                    u = h.view(np.uint64)
+                    mine = np.unique(((u[:-1] * _A + u[1:] * _B + np.uint64(1)) & np.uint64(_MASK)).view(np.int64)[both])
+                    pairs.append(mine)
+                    held += len(mine)
                     if len(cache) > FLUSH:
                         cache.clear()
-            if sum(map(len, totals.values())) > FLUSH:
+            if held + sum(map(len, totals.values())) > FLUSH:
                 yield from flush()
+                held = 0
         yield from flush()
 
     sums = materialise(rows.select("text", "own", "element", "links", "parts").mapInArrow(count, "kind byte, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n")))
@@ -179,4 +207,4 @@ def statistics(rows: DataFrame, words: bool = True) -> Stats:
 
 def pair(x: int, y: int) -> int:
     """Hash of two neighbouring words' hashes."""
-    return (x * 0x9E3779B97F4A7C15 + y * 0xC2B2AE3D27D4EB4F + 1) & _MASK
+    return (x * int(_A) + y * int(_B) + 1) & _MASK

@@ -33,7 +33,7 @@ def squeeze(text: str) -> str:
 
 @dataclass(slots=True)
 class Line:
-    """A line with visible text."""
+    """A line with visible text; texts are words in lower case with a blank between."""
 
     no: int
     text: str = ""
@@ -44,19 +44,60 @@ class Line:
     path: tuple[str, ...] = ()
     #: name of the first element of the line
     element: str = ""
-    words: int = 0
-    own_words: int = 0
     #: the texts of the line's elements, if there are several
     parts: tuple[str, ...] = ()
+    #: what its punctuation tells, see :data:`ENDS` and those below
+    flags: int = 0
+    #: the words before a colon
+    label: str = ""
+
+
+#: Ends like a sentence; ends with any mark; names what the page is filed under; is about the page;
+#: has signs of no script of the corpus; is an address or a row of tags.
+ENDS, CLOSED, FILED, ABOUT, GARBLED, ADDRESS = (1 << k for k in range(6))
+#: Share of signs of no script that shows a line to be garbled.
+GARBLED_SHARE = 0.08
+
+_ENDS = re.compile(r"[.!?…][\"”»’)\]]*$")
+_CLOSED = re.compile(r"[.!?…:;,][\"”»’)\]]*$|[\"”»]$")
+_FILED = re.compile(r"^(#\s*|\w+:\s*)[^\s,#]+(,\s*[^\s,]*)*$")
+_ABOUT = re.compile(r"^\s*(#\s*\S|©)")
+_LABEL = re.compile(r"^\s*([^:]{2,60}):\s")
+# all but letters and marks of the corpus' scripts (fixed values)
+_ODD = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿŒœŠšŽžŸА-яЁё«»¿¡‘’“”„–—…•·€£©№°\xa0]")
+
+
+def words_of(text: str) -> str:
+    """Words of ``text`` in lower case, with one blank between."""
+    return " ".join(_WORD.findall(text.lower()))
+
+
+def flags_of(text: str) -> int:
+    """Flags of a line's visible text."""
+    out = 0
+    if _CLOSED.search(text):
+        out |= CLOSED | (ENDS if _ENDS.search(text) else 0)
+    if len(text) < 200 and _FILED.match(text):
+        out |= FILED
+    if _ABOUT.match(text):
+        out |= ABOUT
+    if not text.isascii() and len(_ODD.findall(text)) > GARBLED_SHARE * len(text):
+        out |= GARBLED
+    if "#" in text or (" " not in text and "." in text):
+        pieces = text.split()
+        if len(pieces) < 2 or 2 * sum(x[0] == "#" for x in pieces) > len(pieces):
+            out |= ADDRESS
+    return out
 
 
 @dataclass(slots=True)
 class Page:
-    """Lines with visible text, and the title."""
+    """Lines with visible text."""
 
-    title: str = ""
     lines: list[Line] = field(default_factory=list)
     html: bool = False
+    #: index of the headline's line, -1 if none is known
+    head: int = -1
 
 
 def is_page(mime: str | None, content: str) -> bool:
@@ -82,9 +123,10 @@ def parse(content: str, mime: str | None) -> Page:
     if not page.html:
         for no, raw in enumerate(content.split("\n"), 1):
             text = squeeze(raw)
-            if text:
-                n = len(_WORD.findall(text))
-                page.lines.append(Line(no, text, text, 0, (), "", n, n))
+            low = words_of(text)
+            if low:
+                page.lines.append(line := Line(no, low, low, flags=flags_of(text)))
+                line.label = _label(text)
         return page
     stack: list[tuple[str, str]] = []
     unseen: list[str] = []
@@ -169,22 +211,29 @@ def parse(content: str, mime: str | None) -> Page:
         parts = [squeeze(x) for x in whole.split(_BREAK) if not x.isspace()] if _BREAK in whole else [squeeze(whole)]
         parts = [x for x in parts if x]
         text = " ".join(parts)
-        if text and any(c.isalnum() for c in text):
-            line.text, line.own, line.path = text, squeeze("".join(own_parts)) if line.links else text, path or ()
+        low = words_of(text)
+        if low:
+            line.text, line.own, line.path = low, words_of(squeeze("".join(own_parts))) if line.links else low, path or ()
             if len(parts) > 1 and line.element not in TABLE:
-                line.parts = tuple(parts)
-            line.words, line.own_words = len(_WORD.findall(text)), len(_WORD.findall(line.own))
+                line.parts = tuple(map(words_of, parts))
+            line.flags = flags_of(text)
+            line.label = _label(text)
             page.lines.append(line)
-    page.title = squeeze("".join(title))
+    page.head = headline(page, words_of(squeeze("".join(title))))
     return page
 
 
-def headline(page: Page) -> int:
+def _label(text: str) -> str:
+    m = _LABEL.match(text) if ":" in text else None
+    return words_of(m.group(1)) if m else ""
+
+
+def headline(page: Page, title: str) -> int:
     """Index of the line that is the page's headline, -1 if none is known.
 
     The title begins with it; a heading of the first level comes next.
     """
     for i, line in enumerate(page.lines):
-        if page.title and line.words >= 3 and not line.links and page.title.startswith(line.text):
+        if title and not line.links and title.startswith(line.text) and line.text.count(" ") > 1:
             return i
     return next((i for i, line in enumerate(page.lines) if line.element == "h1"), -1)

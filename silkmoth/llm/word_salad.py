@@ -9,7 +9,6 @@ A page whose main part holds more incoherent words than words of sentences is sp
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from silkmoth.llm.page_stats import LINE, Stats, mark, normal, pages_of, pair, parsed, statistics
 from silkmoth.llm.page_stats import WORD as _KIND
-from silkmoth.llm.pages import Page
+from silkmoth.llm.pages import ADDRESS, ENDS, FILED, GARBLED, Page
 
 #: Value of a pair that the corpus hardly knows; a known pair has 1 and a tenth of its information.
 FLOOR = -1.0
@@ -29,21 +28,11 @@ TIMES, SHARE = 3, 0.01
 EXCESS = 0.6
 #: Share of repeated words from which on an incoherent line counts against its page.
 REPEATED = 0.3
-#: Share of signs of no script of the corpus that shows a line to be garbled; it judges nothing.
-GARBLED = 0.08
 #: Where Cyrillic letters begin (fixed value).
 CYRILLIC = "\u0400"
 #: Incoherent words that a spam page has at least.
 LEAST = 20
 
-_WORD = re.compile(r"\w+")
-_END = re.compile(r"[.!?…][\"”»’)\]]*$")
-# a short list of names after a mark or a label: what an article is filed under
-FILED = re.compile(r"^(#\s*|\w+:\s*)[^\s,#]+(,\s*[^\s,]*)*$")
-# all but letters and marks of the corpus' scripts (fixed values)
-_ODD = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿŒœŠšŽžŸА-яЁё«»¿¡‘’“”„–—…•·€£©№°\xa0]")
-
-
 class Values:
     """Values of pairs of words, remembered up to a bound."""
 
@@ -67,21 +56,19 @@ class Values:
         return got
 
 
-def judge(page: Page, head: int, site: set[int], value: Values) -> tuple[int, int]:
+def judge(page: Page, site: set[int], value: Values) -> tuple[int, int]:
     """Words of sentences, and of incoherent lines, in the main part of a page.
 
     ``site`` has the hashes of lines that belong to the sites.
     """
+    head = page.head
     main = page.lines[head].path if head >= 0 else ()
     rows = []
     for i, line in enumerate(page.lines):
-        if i == head or (page.html and line.path[: len(main)] != main):
-            continue
-        text = line.text
-        if mark(normal(text), LINE) in site or (len(text) < 200 and FILED.match(text)) or (not text.isascii() and len(_ODD.findall(text)) > GARBLED * len(text)):
+        if i == head or line.flags & (FILED | GARBLED) or (page.html and line.path[: len(main)] != main):
             continue
-        words = _WORD.findall(text.lower())
-        if words:
+        if mark(normal(line.text), LINE) not in site:
+            words = line.text.split(" ")
             rows.append((line, words, list(zip(words, words[1:], strict=False))))
     pairs = Counter(p for _, _, ps in rows for p in ps)
     often = Counter(x for _, w, _ in rows for x in w)
@@ -99,12 +86,9 @@ def judge(page: Page, head: int, site: set[int], value: Values) -> tuple[int, in
                 total += FLOOR  # rare names with letters beyond ASCII, and unknown Cyrillic words, say nothing
                 n += 1
         excess = sum(p in much for p in own_pairs) if much else 0
-        pieces = line.text.split()
-        # an address, or a row of tags
-        address = ("." in line.text and len(pieces) < 2) or 2 * sum(x[0] == "#" for x in pieces) > len(pieces) > 1
-        own = len(_WORD.findall(line.own)) if line.links else len(words)
-        if not address and ((n and total >= 0 and excess < EXCESS * len(own_pairs)) or (not n and own)):
-            if own >= 4 and _END.search(line.text):
+        own = line.own.count(" ") + 1 if line.own else 0
+        if not line.flags & ADDRESS and ((n and total >= 0 and excess < EXCESS * len(own_pairs)) or (not n and own)):
+            if own >= 4 and line.flags & ENDS:
                 good += len(words)
         else:
             bad_lines.append((words, own))
@@ -136,7 +120,7 @@ def spam_pages(docs: DataFrame, **names: str) -> DataFrame:
         stats = shared.value
         value = Values(stats)
         for b in batches:
-            got = [(f, *judge(page, head, stats.lines, value)) for f, _, _, head, page in pages_of(b)]
+            got = [(f, *judge(page, stats.lines, value)) for f, _, _, page in pages_of(b)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([is_spam(g[1], g[2]) for g in got], pa.bool_())], names=["fetch_id", "sentence_words", "incoherent_words", "spam"])
 
     return rows.mapInArrow(find, "fetch_id bigint, sentence_words bigint, incoherent_words bigint, spam boolean").dropDuplicates(["fetch_id"])
