@@ -24,9 +24,10 @@ from silkmoth.plans.lineage import materialise
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac-roman", "cp850", "cp437", "cp1254", "iso8859-15")
 #: Single-byte pairs (read as, truly) of Cyrillic text.
 SINGLE = (("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1252", "koi8-r"), ("latin-1", "koi8-r"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1252", "cp866"), ("cp1251", "iso8859-5"), ("iso8859-5", "cp1251"), ("koi8-r", "cp866"), ("mac-cyrillic", "cp1251"), ("cp1251", "mac-cyrillic"))
-#: Pairs with less than this many millionths of a bit (log2 of one more) are improbable;
-#: pairs of capitals and signs, or of two kinds of characters, need MIXED more.
-IMPROBABLE, MIXED = 7.0, 5.0
+#: Pairs with less than this many millionths of a bit (log2 of one more) are improbable.
+#: Pairs of capitals and signs, or of two kinds of characters, always are: right texts have
+#: them seldom, and a source that is garbled throughout must not make them look usual.
+IMPROBABLE = 7.0
 #: Letters that a run needs before a single-byte mapping is tried, and the gain a pair.
 LETTERS, GAIN = 5, 2.5
 #: Layers of wrong decoding that are undone at most.
@@ -40,11 +41,11 @@ _CLASS[:_A] = np.arange(_A)
 _CLASS[_B0:_B1] = _A + np.arange(_B1 - _B0)
 _CLASS[0x2500:0x25A0] = K - 2
 
-# kinds of classes: 0 ASCII, 1 small Latin letters, 2 Cyrillic, 3 the rest
+# kinds of classes: 0 ASCII, 1 small Latin letters, 2 Russian letters, 3 the rest
 _KIND = np.full(K, 3, np.uint8)
 _KIND[:0x80] = 0
 _KIND[[c for c in range(0xDF, 0x100) if c != 0xF7]] = 1
-_KIND[0x400:0x460] = 2
+_KIND[[0x401, *range(0x410, 0x450), 0x451]] = 2
 
 #: What a restored character may be (fixed values): Latin-1 letters and signs, a few letters beyond, Cyrillic, punctuation.
 _FIT = frozenset([*range(0xA0, 0xB8), *range(0xB9, 0x100), 0x152, 0x153, 0x160, 0x161, 0x178, 0x17D, 0x17E, *range(0x400, 0x460), 0x490, 0x491, *range(0x2010, 0x203B), 0x20AC, 0x2116, 0x2122, 0x2212])
@@ -104,24 +105,27 @@ def pair_scores(counts: np.ndarray) -> np.ndarray:
 
 
 def segments(scores: list[float]) -> list[tuple[int, int]]:
-    """All maximal scoring segments of ``scores`` (linear time)."""
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at the end
-    total = 0.0
+    """Disjoint maximum-scoring segments of ``scores``, in linear time.
+
+    A segment begins with a positive score and ends where its sum was greatest
+    before it fell back to zero.
+    """
+    out: list[tuple[int, int]] = []
+    start, end, total, best = -1, 0, 0.0, 0.0
     for i, s in enumerate(scores):
-        before, total = total, total + s
-        if s <= 0:
-            continue
-        cur = (i, i + 1, before, total)
-        while stack:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= cur[2]:
-                k -= 1
-            if k < 0 or stack[k][3] >= cur[3]:
-                break
-            cur = (stack[k][0], cur[1], stack[k][2], cur[3])
-            del stack[k:]
-        stack.append(cur)
-    return [(a, b) for a, b, _, _ in stack]
+        if start < 0:
+            if s <= 0:
+                continue
+            start, total, best = i, 0.0, 0.0
+        total += s
+        if total > best:
+            best, end = total, i + 1
+        elif total <= 0:
+            out.append((start, end))
+            start = -1
+    if start >= 0:
+        out.append((start, end))
+    return out
 
 
 def improbable_runs(text: str, scores: np.ndarray, below: float = IMPROBABLE) -> list[tuple[int, int]]:
@@ -135,7 +139,7 @@ def improbable_runs(text: str, scores: np.ndarray, below: float = IMPROBABLE) ->
         return []
     a, b = c[at], c[at + 1]
     mixed = (_KIND[a] != _KIND[b]) | (_KIND[a] == 3)
-    hits = at[scores[a, b] < below + np.where(mixed, MIXED, 0.0)]
+    hits = at[mixed | (scores[a, b] < below)]
     if not len(hits):
         return []
     rare = np.zeros(len(c), bool)
@@ -188,18 +192,18 @@ def _fits(got: str, before: str, after: str, garbled: str) -> bool:
         alone = sum(map(_cyrillic, got)) == 1
         return not alone or not any(map(_cyrillic, garbled)) and (_cyrillic(before) or _cyrillic(after) or any("\x80" <= c <= "\x9f" for c in garbled))
     if any(map(_cyrillic, garbled)):
-        # Latin letters and signs read as Cyrillic stand in Latin words; Cyrillic words own such letters
-        inner = any(c in "‚„…†‡€‰‹‘’“”•–—™›¤¦§©«¬®°±µ¶·№»\xa0\xad" or not c.isalpha() for c in garbled)
-        return inner and not _cyrillic(before) and not _cyrillic(after) or _latin(before) and not _cyrillic(after)
+        # Latin letters and signs read as Cyrillic stand apart from Cyrillic words
+        foreign = any(not ("А" <= c <= "я" or c in "Ёё") for c in garbled)
+        return (foreign and not _cyrillic(before) and not _cyrillic(after)) or (_latin(before) and not _cyrillic(after))
     first = got[0]
     if first.islower() and before.isupper() and not after.islower() and not any("\x80" <= c <= "\x9f" for c in garbled):
         return False  # a capital with a closing mark
     return True
 
 
-def _once(text: str, lo: int, hi: int) -> tuple[str, int, int] | None:
-    """The range with its best inverse mapping undone, or None; also where it really lies."""
-    lo, hi = max(0, lo - 2), min(len(text), hi + 2)
+def _once(text: str, lo: int, hi: int, floor: int) -> tuple[str, int, int] | None:
+    """The range with its best inverse mapping undone, or None; also where it really lies, not before ``floor``."""
+    lo, hi = max(floor, lo - 2), min(len(text), hi + 2)
     part = text[lo:hi]
     best: tuple[int, str] | None = None
     for to_byte, pattern in _tables():
@@ -272,7 +276,7 @@ def repair(content: str, scores: np.ndarray, below: float = IMPROBABLE) -> tuple
         for lo, hi in improbable_runs(text, scores, below):
             if hi <= at:
                 continue
-            got = _once(text, max(lo, at), hi)
+            got = _once(text, max(lo, at), hi, at)
             if got is None:
                 # single-byte mappings need whole words
                 a, b = max(lo, at), hi
@@ -288,8 +292,6 @@ def repair(content: str, scores: np.ndarray, below: float = IMPROBABLE) -> tuple
                         changed += 1
                 continue
             part, lo, hi = got
-            if lo < at:
-                part, lo = part[at - lo :], at
             out += [text[at:lo], part]
             at = hi
             changed += 1

@@ -16,7 +16,7 @@ CONTAINERS = frozenset(["div", "nav", "article", "aside", "footer", "header", "s
 #: Elements whose content is no visible text (fixed values).
 UNSEEN = frozenset(["script", "style", "head", "title", "noscript", "template"])
 #: Elements that break text (fixed values); others are inline.
-_TOKEN = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(class|id|width)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _BLANKS = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
@@ -141,6 +141,7 @@ def parse(content: str, mime: str | None) -> Page:
         own_parts.clear()
         path: tuple[str, ...] | None = None
         at, n = 0, len(raw)
+        last = raw.rfind(">")  # no tag ends behind it
         while at <= n:
             if comment:
                 end = raw.find("-->", at)
@@ -148,7 +149,7 @@ def parse(content: str, mime: str | None) -> Page:
                     break
                 comment, at = False, end + 3
                 continue
-            m = _TOKEN.search(raw, at)
+            m = _TOKEN.search(raw, at, last + 1) if at <= last or raw.find("<!--", at) >= 0 else None
             piece = raw[at : m.start()] if m else raw[at:]
             if piece:
                 if unseen:
