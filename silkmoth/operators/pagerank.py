@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silkmoth.plans.lineage import materialise
+from silkmoth.plans.lineage import materialise, release
 
 #: Rounds, damping and base (fixed values).
 ROUNDS, DAMPING, BASE = 30, 0.85, 0.15
@@ -48,6 +48,7 @@ def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, b
         return ranks
     scale = 1.0
     for _ in range(rounds):
-        ranks = materialise(step(links, ranks, scale, damping, base))
+        old, ranks = ranks, materialise(step(links, ranks, scale, damping, base))
+        release(old)
         scale = sources / ranks.agg(F.sum("rank")).first()[0]
     return ranks.select("url", (F.col("rank") * F.lit(scale)).alias("rank"))
