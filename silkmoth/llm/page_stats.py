@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import marshal
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkmoth.llm.pages import Line, Page, is_page, parse
-from silkmoth.plans.lineage import materialise
+from silkmoth.plans.lineage import materialise, slices
 
 #: Share of the pages (and number) from which on a line belongs to the sites, not to an article.
 #: Each page adds each of its lines once, so at most 1/SHARED x (mean lines of a page) lines qualify.
@@ -22,7 +23,7 @@ SHARED, SHARED_LEAST = 0.002, 3
 #: The same for words and for pairs of neighbouring words.
 SEEN, SEEN_LEAST = 0.0002, 3
 #: Hashes a worker holds before it sends its counts.
-FLUSH = 1_500_000
+FLUSH = 600_000
 #: Most qualifying hashes that are broadcast (twelve bytes each); more is an error, as it is far beyond the bounds above.
 MAX_HASHES = 20_000_000
 
@@ -31,10 +32,7 @@ _MASK = (1 << 63) - 1
 # odd numbers that spread the hashes of pairs
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-SCHEMA = (
-    "fetch_id bigint, url string, host string, html boolean, head int, no array<int>, text array<string>, own array<string>, links array<int>, "
-    "parts array<array<string>>, path array<string>, element array<string>, flags array<int>, label array<string>"
-)
+SCHEMA = "fetch_id bigint, url string, host string, html boolean, head int, lines binary"
 
 
 def normal(low: str) -> str:
@@ -44,6 +42,19 @@ def normal(low: str) -> str:
     return low
 
 
+def unit_of(line: Line) -> str:
+    """The line's words as a unit, made once."""
+    if not line.unit:
+        line.unit = normal(line.text)
+    return line.unit
+
+
+def start(unit: str) -> str:
+    """The first words of a unit of ``HEAD_WORDS`` or more, else nothing."""
+    words = unit.split(" ", HEAD_WORDS)
+    return " ".join(words[:HEAD_WORDS]) if len(words) >= HEAD_WORDS else ""
+
+
 def mark(text: str, kind: int) -> int:
     """A hash of ``text`` for one kind of count."""
     return xxhash.xxh3_64_intdigest(text, seed=kind) & _MASK
@@ -57,7 +68,7 @@ def parsed(docs: DataFrame, key: str = "fetch_id", url: str = "url", mime: str =
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at, pages = [], []
             for i, (m, c) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 if is_page(m, c):
@@ -66,50 +77,33 @@ def parsed(docs: DataFrame, key: str = "fetch_id", url: str = "url", mime: str =
             take = pa.array(at, pa.int64())
             urls = b.column(1).take(take)
             hosts = [re.sub(r"^[a-z]+://", "", u or "").split("/")[0].split(":")[0] for u in urls.to_pylist()]
-            text, number = pa.list_(pa.string()), pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(take),
-                    urls,
-                    pa.array(hosts, pa.string()),
-                    pa.array([p.html for p in pages], pa.bool_()),
-                    pa.array([p.head for p in pages], pa.int32()),
-                    pa.array([[x.no for x in p.lines] for p in pages], number),
-                    pa.array([[x.text for x in p.lines] for p in pages], text),
-                    pa.array([[x.own if x.links else None for x in p.lines] for p in pages], text),
-                    pa.array([[x.links for x in p.lines] for p in pages], number),
-                    pa.array([[list(x.parts) or None for x in p.lines] for p in pages], pa.list_(text)),
-                    pa.array([["\x1f".join(x.path) for x in p.lines] for p in pages], text),
-                    pa.array([[x.element for x in p.lines] for p in pages], text),
-                    pa.array([[x.flags for x in p.lines] for p in pages], number),
-                    pa.array([[x.label for x in p.lines] for p in pages], text),
-                ],
-                names=[x.split()[0] for x in SCHEMA.split(", ")],
+                [b.column(0).take(take), urls, pa.array(hosts, pa.string()), pa.array([p.html for p in pages], pa.bool_()), pa.array([p.head for p in pages], pa.int32()), pa.array([packed(p) for p in pages], pa.binary())],
+                names=["fetch_id", "url", "host", "html", "head", "lines"],
             )
 
     rows = docs.select(F.col(key).alias("fetch_id"), F.col(url).alias("url"), F.col(mime).alias("mime"), F.col(content).alias("content"))
     return materialise(rows.where("fetch_id is not null and content is not null and content <> ''").mapInArrow(read, SCHEMA))
 
 
-_LINES = ("no", "text", "own", "links", "parts", "path", "element", "flags", "label")
+def packed(page: Page) -> bytes:
+    """The lines of a page as one value, which only workers of the same job read."""
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}
+    return marshal.dumps([(x.no, x.text, x.own if x.links else None, x.links, paths.setdefault(x.path, x.path), x.element, x.parts, x.flags, x.label) for x in page.lines])
 
 
 def pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str, Page]]:
     """``(fetch_id, url, host, page)`` of the rows of :func:`parsed`."""
     names = batch.schema.names
-    col = {n: batch.column(names.index(n)).to_pylist() for n in ("fetch_id", "url", "host", "html", "head", *_LINES)}
-    paths: dict[str, tuple[str, ...]] = {"": ()}
-    for i in range(batch.num_rows):
-        lines = []
-        for no, text, own, links, parts, path, element, flags, label in zip(*(col[n][i] for n in _LINES), strict=True):
-            at = paths.get(path)
-            if at is None:
-                at = paths[path] = tuple(path.split("\x1f"))
-            lines.append(Line(no, text, text if own is None else own, links, at, element, tuple(parts) if parts else (), flags, label))
-        yield col["fetch_id"][i], col["url"][i] or "", col["host"][i], Page(lines, col["html"][i], col["head"][i])
+    columns = (batch.column(names.index(n)).to_pylist() for n in ("fetch_id", "url", "host", "html", "head", "lines"))
+    for f, url, host, is_html, head, lines in zip(*columns, strict=True):
+        own = [Line(no, text, text if own is None else own, links, path, element, parts, flags, label) for no, text, own, links, path, element, parts, flags, label in marshal.loads(lines)]
+        yield f, url or "", host, Page(own, is_html, head)
 
 
-LINE, WORD, PAIR, LABEL, PAGES = range(5)
+LINE, WORD, PAIR, LABEL, HEAD, PAGES = range(6)
+#: Words by which long units are looked up first.
+HEAD_WORDS = 4
 
 
 @dataclass
@@ -123,6 +117,7 @@ class Stats:
     def __post_init__(self) -> None:
         self.lines = set(self.keys[LINE].tolist())
         self.labels = set(self.keys[LABEL].tolist())
+        self.heads = set(self.keys[HEAD].tolist())
         self.words = dict(zip(self.keys[WORD].tolist(), self.counts[WORD].tolist(), strict=True))
         self.pairs = dict(zip(self.keys[PAIR].tolist(), self.counts[PAIR].tolist(), strict=True))
 
@@ -134,11 +129,14 @@ class Stats:
         self.__post_init__()
 
 
-def statistics(rows: DataFrame, words: bool = True) -> Stats:
-    """Numbers of pages with each line, heading over links, word and pair of neighbours."""
+def statistics(rows: DataFrame, units: bool = True) -> Stats:
+    """Numbers of pages with each line, heading over links, word and pair of neighbours.
+
+    ``units`` adds the first words of lines, for finding units inside a line.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, Counter] = {k: Counter() for k in (LINE, LABEL, WORD, PAGES)}
+        totals: dict[int, Counter] = {k: Counter() for k in (LINE, LABEL, HEAD, WORD, PAGES)}
         pairs: list[np.ndarray] = []
         held = 0
         cache: dict[str, int] = {}
@@ -154,48 +152,49 @@ def statistics(rows: DataFrame, words: bool = True) -> Stats:
         def counts(k: int, h, n) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int8)), pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["kind", "h", "n"])
 
-        for b in batches:
-            names = b.schema.names
-            columns = (b.column(names.index(n)).to_pylist() for n in ("text", "own", "element", "links", "parts"))
-            for text, own, element, link, parts in zip(*columns, strict=True):
+        for b in slices(batches):
+            for lines in map(marshal.loads, b.column(0).to_pylist()):
+                text = [x[1] for x in lines]
                 seen, labels = set(text), set()
-                seen.update(x for x in own if x)
-                for p in parts:
-                    if p:
-                        seen.update(p)
-                for i, e in enumerate(element):
-                    if e[:1] == "h" and e[1:].isdigit() and i + 1 < len(text) and link[i + 1]:
-                        labels.add(text[i])
+                last = None
+                for _, low, own, links, _, element, parts, _, _ in lines:
+                    if own:
+                        seen.add(own)
+                    if parts:
+                        seen.update(parts)
+                    if links and last is not None:
+                        labels.add(last)
+                    last = low if element[:1] == "h" and element[1:].isdigit() else None
                 seen.discard("")
-                totals[LINE].update({mark(normal(n), LINE) for n in seen})
+                every = {normal(n) for n in seen}
+                totals[LINE].update([mark(n, LINE) for n in every])
+                if units:
+                    totals[HEAD].update({mark(start(n), HEAD) for n in every})
                 totals[LABEL].update({mark(normal(n), LABEL) for n in labels})
                 totals[PAGES][0] += 1
-                if words:
-                    flat: list[int] = []
-                    for t in text:
-                        for w in t.split(" "):
-                            x = cache.get(w)
-                            if x is None:
-                                x = cache[w] = mark(w, WORD)
-                            flat.append(x)
-                        flat.append(0)
-                    h = np.array(flat, np.int64)
-                    totals[WORD].update(set(flat))
-                    both = (h[:-1] != 0) & (h[1:] != 0)
-                    u = h.view(np.uint64)
-                    mine = np.unique(((u[:-1] * _A + u[1:] * _B + np.uint64(1)) & np.uint64(_MASK)).view(np.int64)[both])
-                    pairs.append(mine)
-                    held += len(mine)
-                    if len(cache) > FLUSH:
-                        cache.clear()
+                flat = " \n ".join(text).split(" ")
+                known = [cache.get(w) for w in flat]
+                if None in known:
+                    for i, x in enumerate(known):
+                        if x is None:
+                            known[i] = cache.setdefault(flat[i], mark(flat[i], WORD) if flat[i] != "\n" else 0)
+                h = np.array(known, np.int64)
+                totals[WORD].update(set(known))
+                both = (h[:-1] != 0) & (h[1:] != 0)
+                u = h.view(np.uint64)
+                mine = np.unique(((u[:-1] * _A + u[1:] * _B + np.uint64(1)) & np.uint64(_MASK)).view(np.int64)[both])
+                pairs.append(mine)
+                held += len(mine)
+                if len(cache) > FLUSH:
+                    cache.clear()
             if held + sum(map(len, totals.values())) > FLUSH:
                 yield from flush()
                 held = 0
         yield from flush()
 
-    sums = materialise(rows.select("text", "own", "element", "links", "parts").mapInArrow(count, "kind byte, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n")))
+    sums = materialise(rows.select("lines").mapInArrow(count, "kind byte, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n")))
     pages = (sums.where(F.col("kind") == PAGES).agg(F.sum("n")).first()[0]) or 0
-    least = {LINE: max(SHARED_LEAST, SHARED * pages), LABEL: max(SHARED_LEAST, SHARED * pages), WORD: max(SEEN_LEAST, SEEN * pages), PAIR: max(SEEN_LEAST, SEEN * pages)}
+    least = {LINE: max(SHARED_LEAST, SHARED * pages), LABEL: max(SHARED_LEAST, SHARED * pages), HEAD: max(SHARED_LEAST, SHARED * pages), WORD: max(SEEN_LEAST, SEEN * pages), PAIR: max(SEEN_LEAST, SEEN * pages)}
     bound = F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, float(v))])
     kept = sums.where(F.col("kind") != PAGES).where(F.col("n") >= bound[F.col("kind").cast("int")])
     if kept.count() > MAX_HASHES:

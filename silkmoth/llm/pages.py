@@ -16,11 +16,11 @@ CONTAINERS = frozenset(["div", "nav", "article", "aside", "footer", "header", "s
 #: Elements whose content is no visible text (fixed values).
 UNSEEN = frozenset(["script", "style", "head", "title", "noscript", "template"])
 #: Elements that break text (fixed values); others are inline.
-_TOKEN = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9]*)([^>]*)>|<[!?][^>]*>", re.S)
+_TOKEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(class|id|width)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_BLANKS = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 _BREAK = "\x1e"
+_QUOTES = "\"'"
 #: Elements of tables (fixed values); their cells are no units of a line.
 TABLE = frozenset(["table", "tr", "td", "th", "tbody", "thead"])
 INLINE = frozenset(["a", "b", "i", "em", "strong", "span", "font", "small", "u", "sup", "sub", "mark", "abbr"])
@@ -28,7 +28,7 @@ INLINE = frozenset(["a", "b", "i", "em", "strong", "span", "font", "small", "u",
 
 def squeeze(text: str) -> str:
     """``text`` with character references resolved and blanks squeezed."""
-    return _BLANKS.sub(" ", html.unescape(text) if "&" in text else text).strip()
+    return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
 @dataclass(slots=True)
@@ -50,6 +50,8 @@ class Line:
     flags: int = 0
     #: the words before a colon
     label: str = ""
+    #: the text as a unit, filled in where it is needed
+    unit: str = ""
 
 
 #: Ends like a sentence; ends with any mark; names what the page is filed under; is about the page;
@@ -58,10 +60,8 @@ ENDS, CLOSED, FILED, ABOUT, GARBLED, ADDRESS = (1 << k for k in range(6))
 #: Share of signs of no script that shows a line to be garbled.
 GARBLED_SHARE = 0.08
 
-_ENDS = re.compile(r"[.!?…][\"”»’)\]]*$")
-_CLOSED = re.compile(r"[.!?…:;,][\"”»’)\]]*$|[\"”»]$")
-_FILED = re.compile(r"^(#\s*|\w+:\s*)[^\s,#]+(,\s*[^\s,]*)*$")
-_ABOUT = re.compile(r"^\s*(#\s*\S|©)")
+_CLOSERS = "\"”»’)]"
+_FILED = re.compile(r"(#\s*|\w+:\s*)[^\s,#]+(,\s*[^\s,]*)*$")
 _LABEL = re.compile(r"^\s*([^:]{2,60}):\s")
 # all but letters and marks of the corpus' scripts (fixed values)
 _ODD = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿŒœŠšŽžŸА-яЁё«»¿¡‘’“”„–—…•·€£©№°\xa0]")
@@ -75,11 +75,14 @@ def words_of(text: str) -> str:
 def flags_of(text: str) -> int:
     """Flags of a line's visible text."""
     out = 0
-    if _CLOSED.search(text):
-        out |= CLOSED | (ENDS if _ENDS.search(text) else 0)
-    if len(text) < 200 and _FILED.match(text):
+    last = text.rstrip(_CLOSERS)[-1:] or " "
+    if last in ".!?…":
+        out |= CLOSED | ENDS
+    elif last in ":;," or text[-1:] in ("\"", "”", "»"):
+        out |= CLOSED
+    if len(text) < 200 and (text[:1] == "#" or ":" in text) and _FILED.match(text):
         out |= FILED
-    if _ABOUT.match(text):
+    if text[:1] == "©" or (text[:1] == "#" and len(text) > 1):
         out |= ABOUT
     if not text.isascii() and len(_ODD.findall(text)) > GARBLED_SHARE * len(text):
         out |= GARBLED
@@ -133,31 +136,62 @@ def parse(content: str, mime: str | None) -> Page:
     comment = False
     title: list[str] = []
     in_link = False
-    text_parts: list[str] = []
-    own_parts: list[str] = []
     for no, raw in enumerate(content.split("\n"), 1):
+        if comment or "<!--" in raw:
+            raw, comment = _uncommented(raw, comment)
+        if not raw or (unseen and "<" not in raw and unseen[-1] != "title"):
+            continue
         line = Line(no)
-        text_parts.clear()
-        own_parts.clear()
+        text_parts: list[str] = []
+        own_parts: list[str] = []
         path: tuple[str, ...] | None = None
-        at, n = 0, len(raw)
-        last = raw.rfind(">")  # no tag ends behind it
-        while at <= n:
-            if comment:
-                end = raw.find("-->", at)
-                if end < 0:
-                    break
-                comment, at = False, end + 3
-                continue
-            m = _TOKEN.search(raw, at, last + 1) if at <= last or raw.find("<!--", at) >= 0 else None
-            piece = raw[at : m.start()] if m else raw[at:]
+        # text, slash, name, attributes, text, ...; behind the last > there is no tag
+        end = raw.rfind(">") + 1
+        tokens = _TOKEN.split(raw[:end])
+        tokens[-1] += raw[end:]
+        for k in range(0, len(tokens), 4):
+            if k:
+                name = tokens[k - 2]
+                if name is not None:
+                    closing = tokens[k - 3] == "/"
+                    name = name.lower()
+                    if name in UNSEEN:
+                        if closing:
+                            if name in unseen:
+                                del unseen[unseen.index(name) :]
+                        elif not tokens[k - 1].endswith("/") and (name != "head" or not unseen):
+                            unseen.append(name)
+                    elif unseen and name != "body" and unseen[-1] in ("script", "style"):
+                        pass
+                    else:
+                        if unseen and name == "body":
+                            unseen.clear()
+                        if name == "a":
+                            in_link = not closing
+                        elif name not in INLINE:
+                            in_link = False
+                            if text_parts:
+                                text_parts.append(_BREAK)
+                                own_parts.append(" ")
+                        if not closing and not line.element:
+                            line.element = name
+                        if name in CONTAINERS and not unseen:
+                            if closing:
+                                for at in range(len(stack) - 1, -1, -1):
+                                    if stack[at][0] == name:
+                                        del stack[at:]
+                                        break
+                            elif not tokens[k - 1].endswith("/"):
+                                attrs = tokens[k - 1] and " ".join(f"{a.lower()}={v.strip(_QUOTES)}" for a, v in _ATTR.findall(tokens[k - 1]))
+                                stack.append((name, f"{name} {attrs}"))
+            piece = tokens[k]
             if piece:
                 if unseen:
                     if unseen[-1] == "title":
                         title.append(piece)
                 elif not piece.isspace():
                     if path is None:
-                        path = tuple(s for _, s in stack)
+                        path = tuple([x for _, x in stack])
                     text_parts.append(piece)
                     if in_link:
                         line.links += 1
@@ -166,45 +200,6 @@ def parse(content: str, mime: str | None) -> Page:
                 elif text_parts:
                     text_parts.append(" ")
                     own_parts.append(" ")
-            if not m:
-                break
-            at = m.end()
-            name = m.group(2)
-            if name is None:
-                comment = m.group() == "<!--"
-                continue
-            name = name.lower()
-            closing = m.group(1) == "/"
-            if name in UNSEEN:
-                if closing:
-                    if name in unseen:
-                        del unseen[unseen.index(name) :]
-                elif not m.group(3).endswith("/") and (name != "head" or not unseen):
-                    unseen.append(name)
-                continue
-            if unseen:
-                if name == "body":
-                    unseen.clear()
-                elif unseen[-1] in ("script", "style"):
-                    continue
-            if name == "a":
-                in_link = not closing
-            elif name not in INLINE:
-                in_link = False
-                if text_parts:
-                    text_parts.append(_BREAK)
-                    own_parts.append(" ")
-            if not line.element and not closing:
-                line.element = name
-            if name in CONTAINERS and not unseen:
-                if closing:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == name:
-                            del stack[k:]
-                            break
-                elif not m.group(3).endswith("/"):
-                    attrs = " ".join(f"{a.lower()}={v.strip(chr(34) + chr(39))}" for a, v in _ATTR.findall(m.group(3)))
-                    stack.append((name, f"{name} {attrs}"))
         in_link = in_link and not text_parts  # an unclosed link ends with its line
         if not text_parts:
             continue
@@ -224,6 +219,23 @@ def parse(content: str, mime: str | None) -> Page:
     return page
 
 
+def _uncommented(raw: str, comment: bool) -> tuple[str, bool]:
+    """A line without its comments, and whether one is still open."""
+    out, at = [], 0
+    while True:
+        if comment:
+            end = raw.find("-->", at)
+            if end < 0:
+                return "".join(out), True
+            at, comment = end + 3, False
+        start = raw.find("<!--", at)
+        if start < 0:
+            out.append(raw[at:])
+            return "".join(out), False
+        out.append(raw[at:start])
+        at, comment = start + 4, True
+
+
 def _label(text: str) -> str:
     m = _LABEL.match(text) if ":" in text else None
     return words_of(m.group(1)) if m else ""

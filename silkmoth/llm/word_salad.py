@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silkmoth.llm.page_stats import LINE, Stats, mark, normal, pages_of, pair, parsed, statistics
+from silkmoth.llm.page_stats import LINE, Stats, mark, pages_of, pair, parsed, statistics, unit_of
 from silkmoth.llm.page_stats import WORD as _KIND
 from silkmoth.llm.pages import ADDRESS, ENDS, FILED, GARBLED, Page
+from silkmoth.plans.lineage import slices
 
 #: Value of a pair that the corpus hardly knows; a known pair has 1 and a tenth of its information.
 FLOOR = -1.0
@@ -36,7 +37,7 @@ LEAST = 20
 class Values:
     """Values of pairs of words, remembered up to a bound."""
 
-    def __init__(self, stats: Stats, most: int = 1_000_000):
+    def __init__(self, stats: Stats, most: int = 400_000):
         self.stats, self.most = stats, most
         self.words: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], tuple[float, bool, bool]] = {}
@@ -67,7 +68,7 @@ def judge(page: Page, site: set[int], value: Values) -> tuple[int, int]:
     for i, line in enumerate(page.lines):
         if i == head or line.flags & (FILED | GARBLED) or (page.html and line.path[: len(main)] != main):
             continue
-        if mark(normal(line.text), LINE) not in site:
+        if mark(unit_of(line), LINE) not in site:
             words = line.text.split(" ")
             rows.append((line, words, list(zip(words, words[1:], strict=False))))
     pairs = Counter(p for _, _, ps in rows for p in ps)
@@ -75,10 +76,11 @@ def judge(page: Page, site: set[int], value: Values) -> tuple[int, int]:
     least = max(TIMES, SHARE * sum(often.values()) + 1e-9)
     much = {p for p, n in pairs.items() if n >= least}
     good, bad_lines = 0, []
+    known = value.pairs
     for line, words, own_pairs in rows:
         total, n = 0.0, 0
         for ab in own_pairs:
-            v, a, b = value(ab)
+            v, a, b = known.get(ab) or value(ab)
             if v:
                 total += v
                 n += 1
@@ -114,12 +116,12 @@ def spam_pages(docs: DataFrame, **names: str) -> DataFrame:
     those of all pages as delivered.
     """
     rows = parsed(docs, **names)
-    shared = docs.sparkSession.sparkContext.broadcast(statistics(rows))  # size checked
+    shared = docs.sparkSession.sparkContext.broadcast(statistics(rows, units=False))  # size checked
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats = shared.value
         value = Values(stats)
-        for b in batches:
+        for b in slices(batches):
             got = [(f, *judge(page, stats.lines, value)) for f, _, _, page in pages_of(b)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([is_spam(g[1], g[2]) for g in got], pa.bool_())], names=["fetch_id", "sentence_words", "incoherent_words", "spam"])
 
