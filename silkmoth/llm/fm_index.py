@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: A suffix position is kept for every so many text positions.
-SAMPLE = 8
+SAMPLE = 4
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -35,22 +35,26 @@ class WaveletMatrix:
         self.ranks: list[np.ndarray] = []
         self.zeros: list[int] = []
         cur = s.astype(np.int64)
+        every = np.arange(sigma, dtype=np.int64)
+        lo = np.zeros(sigma, np.int64)  # where each symbol's range begins, level by level
         for b in range(self.bits - 1, -1, -1):
             bit = (cur >> b) & 1
-            self.ranks.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
-            self.zeros.append(int(len(bit) - bit.sum()))
+            r = np.concatenate([[0], np.cumsum(bit)]).astype(np.int32)
+            zeros = int(len(bit) - r[-1])
+            self.ranks.append(r)
+            self.zeros.append(zeros)
+            a = r[lo].astype(np.int64)
+            lo = np.where((every >> b) & 1 == 1, zeros + a, lo - a)
             cur = np.concatenate([cur[bit == 0], cur[bit == 1]])
+        self.begin = lo
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Occurrences of each ``symbol`` before each position ``at``."""
-        lo, hi = np.zeros_like(at), at.astype(np.int64)
+        hi = at.astype(np.int64)
         for level, b in enumerate(range(self.bits - 1, -1, -1)):
-            r = self.ranks[level]
-            one = ((symbol >> b) & 1).astype(bool)
-            a, z = r[lo].astype(np.int64), r[hi].astype(np.int64)
-            lo = np.where(one, self.zeros[level] + a, lo - a)
-            hi = np.where(one, self.zeros[level] + z, hi - z)
-        return hi - lo
+            z = self.ranks[level][hi].astype(np.int64)
+            hi = np.where((symbol >> b) & 1 == 1, self.zeros[level] + z, hi - z)
+        return hi - self.begin[symbol]
 
 
 class FMIndex:

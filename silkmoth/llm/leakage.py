@@ -7,13 +7,13 @@ item whose hits lie closely on one diagonal are aligned word by word.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +32,17 @@ SHARD = 300_000
 #: Most items; they are broadcast, so more is an error.
 MAX_ITEMS = 100_000
 
-_WORDS = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+_WORDS = re.compile(r"[^\W_]+")
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff\ufe20-\ufe2f\u00ad\u200b-\u200f\u2060\ufeff]+")
 # letters that do not decompose (fixed values)
 _PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "ı": "i"})
 
 
 def words_of(text: str) -> list[str]:
     """Words without case, accents and punctuation."""
-    flat = unicodedata.normalize("NFKD", text.casefold())
-    flat = regex.sub(r"\p{M}+|[­​-‏⁠﻿]", "", flat).translate(_PLAIN)
+    flat = text.casefold()
+    if not flat.isascii():
+        flat = _MARKS.sub("", unicodedata.normalize("NFKD", flat)).translate(_PLAIN)
     return _WORDS.findall(flat)
 
 
@@ -182,27 +184,22 @@ def search_shard(index: FMIndex, text: np.ndarray, starts: np.ndarray, items: It
     doc = np.searchsorted(starts, where, side="right") - 1
     item, ip = items.item[k], items.place[k]
     dp = where - starts[doc]
-    # hits of a pair in order of the item's words
-    order = np.lexsort((dp, ip, item, doc))
-    doc, item, ip, dp = doc[order], item[order], ip[order], dp[order]
+    need = np.array([_need(len(w), whole) for w, whole in zip(items.words, items.whole, strict=True)])
+    size = np.array([len(w) if whole else LEAST + LEAST // PER_EDIT for w, whole in zip(items.words, items.whole, strict=True)])
+    keep = dense(doc, item, ip, dp, size, need)
+    doc, item, ip, dp = doc[keep], item[keep], ip[keep], dp[keep]
     if not len(doc):
         return []
-    pair = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
-    begin = np.flatnonzero(pair)
+    order = np.lexsort((dp, ip, item, doc))
+    doc, item, ip, dp = doc[order], item[order], ip[order], dp[order]
+    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
     end = np.append(begin[1:], len(doc))
-    need = np.array([_need(len(w), whole) for w, whole in zip(items.words, items.whole, strict=True)])
-    enough = np.flatnonzero(end - begin >= need[item[begin]])
-    out = []
     ends = np.append(starts[1:], len(text))
-    for b in enough.tolist():
-        s = slice(begin[b], end[b])
-        d, i = int(doc[begin[b]]), int(item[begin[b]])
-        size = len(items.words[i]) if items.whole[i] else LEAST + LEAST // PER_EDIT
-        seeds = dense(ip[s], dp[s], size, int(need[i]))
-        if not seeds:
-            continue
+    out = []
+    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+        d, i = int(doc[a]), int(item[a])
         own = text[starts[d] : ends[d]]
-        got = align(items.words[i].tolist(), own.tolist(), items.whole[i], seeds)
+        got = align(items.words[i].tolist(), own.tolist(), items.whole[i], list(zip(ip[a:b].tolist(), dp[a:b].tolist(), strict=True)))
         if got:
             out.append((d, i, got[0], got[1]))
     return distinct_leaks(index, text, starts, items, out)
@@ -238,24 +235,27 @@ def _need(words: int, whole: bool) -> int:
     return max(1, n - PHRASE + 1 - PHRASE * (n // PER_EDIT))
 
 
-def dense(ip: np.ndarray, dp: np.ndarray, size: int, need: int) -> list[tuple[int, int]]:
-    """Hits that share a stretch of ``size`` words and a band of diagonals with ``need`` hits."""
-    slack = max(1, size // PER_EDIT)
-    diagonal = dp - ip
-    order = np.lexsort((ip, diagonal // (slack + 1)))
-    keep: set[int] = set()
-    band = diagonal // (slack + 1)
+def dense(doc: np.ndarray, item: np.ndarray, ip: np.ndarray, dp: np.ndarray, size: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Numbers of the hits that begin a dense stretch.
+
+    Of a document and an item, hits in one band of diagonals and within ``size``
+    words of the item must be at ``need`` places or more.
+    """
+    slack = np.maximum(1, size // PER_EDIT)
+    band = (dp - ip) // (slack[item] + 1)
+    keep = np.zeros(len(ip), bool)
     for shift in (0, 1):  # a band and its neighbour, so that no stretch is cut
-        key = (band + shift) // 2
-        order = np.lexsort((ip, key))
-        k, i = key[order], ip[order]
-        j = np.searchsorted(k * (1 << 32) + i, k * (1 << 32) + i + size, side="right")
-        # distinct item places from each hit on
-        fresh = np.concatenate([[1], ((k[1:] != k[:-1]) | (i[1:] != i[:-1])).astype(int)])
+        both = (band + shift) // 2
+        order = np.lexsort((ip, both, item, doc))
+        d, t, k, at = doc[order], item[order], both[order], ip[order]
+        first = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
+        group = np.cumsum(first)
+        fresh = np.concatenate([[True], first[1:] | (at[1:] != at[:-1])])
         total = np.concatenate([[0], np.cumsum(fresh)])
-        got = total[j] - total[np.arange(len(i))]
-        keep.update(order[np.flatnonzero(got >= need)].tolist())
-    return [(int(ip[x]), int(dp[x])) for x in sorted(keep, key=lambda x: (ip[x], dp[x]))]
+        key = group * (1 << 32) + at
+        to = np.searchsorted(key, key + size[t], side="right")
+        keep[order[total[to] - total[:-1] + ~fresh >= need[t]]] = True
+    return np.flatnonzero(keep)
 
 
 def leaks(docs: DataFrame, items: Items, key: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
