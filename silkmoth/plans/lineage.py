@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,9 +43,22 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     copy = spark.read.schema(df.schema).parquet(path)
     _PATHS[copy] = path
+    _CREATED.append((os.getpid(), path))
     return copy
 
 
+_CREATED: list[tuple[int, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Delete the tables of a driver that ends, where the folder is mounted."""
+    for pid, path in _CREATED:
+        mounted = path.removeprefix("file://").removeprefix("file:")
+        if pid == os.getpid() and mounted.startswith("/"):
+            shutil.rmtree(mounted, ignore_errors=True)
+
+
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 

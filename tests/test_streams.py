@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ def test_word_count_stream(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("big bad big\nwolf,big\n")
     words = files.word_stream(spark, str(tmp_path / "in"))
     plan = topology.Topology(words).shuffle("keep", lambda d: d.where("word <> ''"), 2).fields("count", topology.word_counts, 2, "word").plan()
-    got = topology.run_to_table(plan, f"t-{tmp_path.name}")
+    got = topology.run_to_table(plan, f"t-{uuid.uuid4().hex}")
     assert {tuple(r) for r in got.collect()} == {("big", 3), ("bad", 1), ("wolf", 1)}
 
 
