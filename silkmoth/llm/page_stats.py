@@ -11,13 +11,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkmoth.llm.pages import Line, Page, is_page, parse
 from silkmoth.plans.lineage import materialise, slices
 
+#: Longest lines of a main part that tell its copies.
+TELLING = 2
 #: Share of the pages (and number) from which on a line belongs to the sites, not to an article.
+#: Pages are different main parts here: copies of one count once, see :func:`statistics`.
 #: Each page adds each of its lines once, so at most 1/SHARED x (mean lines of a page) lines qualify.
 SHARED, SHARED_LEAST = 0.002, 3
 #: The same for words and for pairs of neighbouring words.
@@ -32,7 +36,7 @@ _MASK = (1 << 63) - 1
 # odd numbers that spread the hashes of pairs
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-SCHEMA = "fetch_id bigint, url string, host string, html boolean, head int, lines binary"
+SCHEMA = "fetch_id bigint, url string, host string, html boolean, head int, lines binary, row bigint, body bigint"
 
 
 def normal(low: str) -> str:
@@ -64,10 +68,13 @@ def parsed(docs: DataFrame, key: str = "fetch_id", url: str = "url", mime: str =
     """One row per HTML or plain text page with its visible lines; written once.
 
     Rows with a null key or content, empty contents and other kinds of documents
-    have no row. Redelivered rows stay.
+    have no row. Redelivered rows stay. ``row`` numbers the rows, ``body`` is the
+    same for copies of one main part.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        n = (task.partitionId() if task else 0) << 36
         for b in slices(batches):
             at, pages = [], []
             for i, (m, c) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
@@ -76,16 +83,35 @@ def parsed(docs: DataFrame, key: str = "fetch_id", url: str = "url", mime: str =
                     pages.append(parse(c, m))
             take = pa.array(at, pa.int64())
             urls = b.column(1).take(take)
+            no = pa.array(range(n, n + len(at)), pa.int64())
+            n += len(at)
             hosts = [re.sub(r"^[a-z]+://", "", u or "").split("/")[0].split(":")[0] for u in urls.to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), urls, pa.array(hosts, pa.string()), pa.array([p.html for p in pages], pa.bool_()), pa.array([p.head for p in pages], pa.int32()), pa.array([packed(p) for p in pages], pa.binary())],
-                names=["fetch_id", "url", "host", "html", "head", "lines"],
+                [b.column(0).take(take), urls, pa.array(hosts, pa.string()), pa.array([p.html for p in pages], pa.bool_()), pa.array([p.head for p in pages], pa.int32()), pa.array([packed(p) for p in pages], pa.binary()), no, pa.array([body_of(p) for p in pages], pa.int64())],
+                names=["fetch_id", "url", "host", "html", "head", "lines", "row", "body"],
             )
 
     rows = docs.select(F.col(key).alias("fetch_id"), F.col(url).alias("url"), F.col(mime).alias("mime"), F.col(content).alias("content"))
     return materialise(rows.where("fetch_id is not null and content is not null and content <> ''").mapInArrow(read, SCHEMA))
 
 
+def main_of(page: Page) -> tuple[str, ...]:
+    """The containers around the headline, none if there is no headline."""
+    return page.lines[page.head].path if page.head >= 0 else ()
+
+
+def body_of(page: Page) -> int:
+    """A hash of the main part by its longest lines beside the headline.
+
+    Navigation, headline and small changes do not matter, so copies on other sites,
+    pages fetched again and rows delivered again have the same.
+    """
+    main = main_of(page)
+    inside = [x for i, x in enumerate(page.lines) if i != page.head and x.path[: len(main)] == main] or page.lines
+    texts = {x.own for x in inside if x.own} or {x.text for x in inside}  # links to other pages differ between copies
+    return mark("\n".join(sorted(texts, key=lambda t: (-len(t), t))[:TELLING]), BODY)
+
+
 def packed(page: Page) -> bytes:
     """The lines of a page as one value, which only workers of the same job read."""
     paths: dict[tuple[str, ...], tuple[str, ...]] = {}
@@ -101,7 +127,7 @@ def pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str, Page]]:
         yield f, url or "", host, Page(own, is_html, head)
 
 
-LINE, WORD, PAIR, LABEL, HEAD, PAGES = range(6)
+LINE, WORD, PAIR, LABEL, HEAD, PAGES, BODY = range(7)
 #: Words by which long units are looked up first.
 HEAD_WORDS = 4
 
@@ -132,6 +158,8 @@ class Stats:
 def statistics(rows: DataFrame, units: bool = True) -> Stats:
     """Numbers of pages with each line, heading over links, word and pair of neighbours.
 
+    Rows with one id count once, and so do copies of one main part: of them the
+    first row stands for all, however many they are.
     ``units`` adds the first words of lines, for finding units inside a line.
     """
 
@@ -192,7 +220,10 @@ def statistics(rows: DataFrame, units: bool = True) -> Stats:
                 held = 0
         yield from flush()
 
-    sums = materialise(rows.select("lines").mapInArrow(count, "kind byte, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n")))
+    ids = rows.groupBy("fetch_id").agg(F.min(F.struct("row", "body")).alias("x"))
+    first = ids.groupBy("x.body").agg(F.min("x.row").alias("row")).select("row")
+    once = rows.select("row", "lines").join(first.hint("shuffle_hash"), "row", "left_semi")  # by row, so that no task holds all copies
+    sums = materialise(once.select("lines").mapInArrow(count, "kind byte, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n")))
     pages = (sums.where(F.col("kind") == PAGES).agg(F.sum("n")).first()[0]) or 0
     least = {LINE: max(SHARED_LEAST, SHARED * pages), LABEL: max(SHARED_LEAST, SHARED * pages), HEAD: max(SHARED_LEAST, SHARED * pages), WORD: max(SEEN_LEAST, SEEN * pages), PAIR: max(SEEN_LEAST, SEEN * pages)}
     bound = F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, float(v))])

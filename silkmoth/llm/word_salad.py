@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silkmoth.llm.page_stats import LINE, Stats, mark, pages_of, pair, parsed, statistics, unit_of
+from silkmoth.llm.page_stats import LINE, Stats, main_of, mark, pages_of, pair, parsed, statistics, unit_of
 from silkmoth.llm.page_stats import WORD as _KIND
-from silkmoth.llm.pages import ADDRESS, ENDS, FILED, GARBLED, Page
+from silkmoth.llm.pages import ADDRESS, ENDS, FILED, GARBLED, Line, Page
 from silkmoth.plans.lineage import slices
 
 #: Value of a pair that the corpus hardly knows; a known pair has 1 and a tenth of its information.
@@ -57,20 +57,30 @@ class Values:
         return got
 
 
+def main_lines(page: Page, site: set[int]) -> list[Line]:
+    """Lines of the main part beside the headline.
+
+    It is the container of the headline; without one, what stands between the lines
+    of the sites at the page's beginning and end, or everything if that is nothing.
+    Lines in between count wherever else they occur.
+    """
+    main = main_of(page)
+    at = [i for i, x in enumerate(page.lines) if i != page.head and not (page.html and x.path[: len(main)] != main)]
+    if not main:
+        own = [k for k, i in enumerate(at) if mark(unit_of(page.lines[i]), LINE) not in site]
+        at = at[own[0] : own[-1] + 1] if own else at
+    return [page.lines[i] for i in at if not page.lines[i].flags & (FILED | GARBLED)]
+
+
 def judge(page: Page, site: set[int], value: Values) -> tuple[int, int]:
     """Words of sentences, and of incoherent lines, in the main part of a page.
 
     ``site`` has the hashes of lines that belong to the sites.
     """
-    head = page.head
-    main = page.lines[head].path if head >= 0 else ()
     rows = []
-    for i, line in enumerate(page.lines):
-        if i == head or line.flags & (FILED | GARBLED) or (page.html and line.path[: len(main)] != main):
-            continue
-        if mark(unit_of(line), LINE) not in site:
-            words = line.text.split(" ")
-            rows.append((line, words, list(zip(words, words[1:], strict=False))))
+    for line in main_lines(page, site):
+        words = line.text.split(" ")
+        rows.append((line, words, list(zip(words, words[1:], strict=False))))
     pairs = Counter(p for _, _, ps in rows for p in ps)
     often = Counter(x for _, w, _ in rows for x in w)
     least = max(TIMES, SHARE * sum(often.values()) + 1e-9)
@@ -113,7 +123,7 @@ def spam_pages(docs: DataFrame, **names: str) -> DataFrame:
 
     Pages are HTML and plain text; other kinds, null and empty contents and rows
     with a null id have no row. Rows with one id come out once. Corpus counts are
-    those of all pages as delivered.
+    those of all different main parts.
     """
     rows = parsed(docs, **names)
     shared = docs.sparkSession.sparkContext.broadcast(statistics(rows, units=False))  # size checked
