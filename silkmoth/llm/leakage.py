@@ -123,29 +123,46 @@ def align(item: list[int], doc: list[int], whole: bool, seeds: list[tuple[int, i
             if best:
                 return best[1], best[2]
         return None
-    tried: set[tuple[int, int]] = set()
+    done: list[tuple[int, int, int]] = []
+    best = None
     for p, q in seeds:
-        while p and q and item[p - 1] == doc[q - 1]:  # to the start of the equal run
-            p, q = p - 1, q - 1
-        if (p, q) in tried:
-            continue
-        tried.add((p, q))
+        if any(lo <= p < hi and q - p == d for lo, hi, d in done):
+            continue  # in an equal run that was extended already
+        lo, hi = p, p
+        while lo and q - p + lo and item[lo - 1] == doc[q - p + lo - 1]:
+            lo -= 1
+        while hi < n and q - p + hi < m and item[hi] == doc[q - p + hi]:
+            hi += 1
+        done.append((lo, hi, q - p))
         got = _stretch(item, doc, p, q)
-        if got:
-            return got
-    return None
+        if got and (best is None or got[1] - got[0] > best[1] - best[0]):
+            best = got
+    return best
 
 
 def _stretch(item: list[int], doc: list[int], p: int, q: int) -> tuple[int, int] | None:
-    """A stretch that begins with item word ``p`` at document word ``q``."""
-    n, m = len(item) - p, len(doc) - q
-    if n < LEAST:
-        return None
-    most = max(n // PER_EDIT, 1)
-    big = most + 1
+    """The longest stretch through item word ``p`` at document word ``q``, extended both ways."""
+    most = len(item) // PER_EDIT
+    after = _reach(item[p:], doc[q : q + len(item) - p + most], most)
+    before = _reach(item[:p][::-1], doc[max(0, q - p - most) : q][::-1], most)
+    best = None
+    for e, (i, j) in enumerate(after):
+        for f, (k, h) in enumerate(before):
+            if i + k >= LEAST and e + f <= (i + k) // PER_EDIT and (best is None or i + k > best[0]):
+                best = (i + k, q - h, q + j)
+    return best[1:] if best else None
+
+
+def _reach(item: list[int], doc: list[int], most: int) -> list[tuple[int, int]]:
+    """For each number of edits, the most item words repeated from the beginning on, and document words.
+
+    Each ends with equal words, or is empty.
+    """
+    n, m = len(item), len(doc)
+    out: list[tuple[int, int]] = []
     # furthest-reaching words by edits: reach[d] = item words matched on diagonal d
     reach = {0: 0}
-    found = None
+    top = (0, 0)
     for edits in range(most + 1):
         if edits:
             step: dict[int, int] = {}
@@ -156,16 +173,15 @@ def _stretch(item: list[int], doc: list[int], p: int, q: int) -> tuple[int, int]
             reach = step
         for d, i in reach.items():
             start = i
-            while i < n and i + d < m and item[p + i] == doc[q + i + d]:
+            while i < n and i + d < m and item[i] == doc[i + d]:
                 i += 1
             reach[d] = i
-            if i > start and i >= LEAST and edits <= i // PER_EDIT and (found is None or i + d > found):
-                found = i + d
-        if found is not None and edits < most:
-            continue
-        if edits >= big:
+            if i > start and i > top[0]:
+                top = (i, i + d)
+        out.append(top)
+        if top[0] == n or not reach:
             break
-    return (q, q + found) if found is not None else None
+    return out
 
 
 def search_shard(index: FMIndex, text: np.ndarray, starts: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
@@ -184,9 +200,8 @@ def search_shard(index: FMIndex, text: np.ndarray, starts: np.ndarray, items: It
     doc = np.searchsorted(starts, where, side="right") - 1
     item, ip = items.item[k], items.place[k]
     dp = where - starts[doc]
-    need = np.array([_need(len(w), whole) for w, whole in zip(items.words, items.whole, strict=True)])
-    size = np.array([len(w) if whole else LEAST + LEAST // PER_EDIT for w, whole in zip(items.words, items.whole, strict=True)])
-    keep = dense(doc, item, ip, dp, size, need)
+    size = np.array([len(w) for w in items.words])
+    keep = dense(doc, item, ip, dp, size, np.array(items.whole, bool))
     doc, item, ip, dp = doc[keep], item[keep], ip[keep], dp[keep]
     if not len(doc):
         return []
@@ -229,19 +244,21 @@ def distinct_leaks(index: FMIndex, text: np.ndarray, starts: np.ndarray, items:
     return sorted(out)
 
 
-def _need(words: int, whole: bool) -> int:
-    """Phrases that survive the edits allowed in the shortest stretch."""
-    n = words if whole else LEAST
-    return max(1, n - PHRASE + 1 - PHRASE * (n // PER_EDIT))
+def _need(words: int) -> int:
+    """Phrases that survive the edits allowed in a stretch of ``words``."""
+    return max(1, words - PHRASE + 1 - PHRASE * (words // PER_EDIT))
 
 
-def dense(doc: np.ndarray, item: np.ndarray, ip: np.ndarray, dp: np.ndarray, size: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Numbers of the hits that begin a dense stretch.
+def dense(doc: np.ndarray, item: np.ndarray, ip: np.ndarray, dp: np.ndarray, size: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Numbers of the hits that may lie in a stretch.
 
-    Of a document and an item, hits in one band of diagonals and within ``size``
-    words of the item must be at ``need`` places or more.
+    ``size`` has the words of each item. Of a document and an item, hits in one band
+    of diagonals must be at as many places as the edits allowed in a stretch of some
+    length leave within that length.
     """
     slack = np.maximum(1, size // PER_EDIT)
+    least = np.array([_need(int(n)) for n in size]) if len(size) else size
+    floor = np.where(whole, least, min(_need(LEAST), _need(-(-LEAST // PER_EDIT) * PER_EDIT)))
     band = (dp - ip) // (slack[item] + 1)
     keep = np.zeros(len(ip), bool)
     for shift in (0, 1):  # a band and its neighbour, so that no stretch is cut
@@ -249,12 +266,26 @@ def dense(doc: np.ndarray, item: np.ndarray, ip: np.ndarray, dp: np.ndarray, siz
         order = np.lexsort((ip, both, item, doc))
         d, t, k, at = doc[order], item[order], both[order], ip[order]
         first = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
-        group = np.cumsum(first)
+        group = np.cumsum(first) - 1
         fresh = np.concatenate([[True], first[1:] | (at[1:] != at[:-1])])
+        enough = np.bincount(group, fresh, minlength=group[-1] + 1 if len(group) else 0)[group] >= floor[t] if len(group) else first[:0]
+        keep[order[enough & whole[t]]] = True
+        near = enough & ~whole[t]
+        order, t, at, group, fresh = order[near], t[near], at[near], group[near], fresh[near]
+        if not len(order):
+            continue
         total = np.concatenate([[0], np.cumsum(fresh)])
         key = group * (1 << 32) + at
-        to = np.searchsorted(key, key + size[t], side="right")
-        keep[order[total[to] - total[:-1] + ~fresh >= need[t]]] = True
+        steps = range(LEAST // PER_EDIT, int(size[t].max()) // PER_EDIT + 1)
+        for edits in steps:  # the longest stretch with so many edits has the most room, the shortest the least need
+            words = max(LEAST, edits * PER_EDIT)
+            to = np.searchsorted(key, key + (edits + 1) * PER_EDIT, side="right")
+            ok = (total[to] - total[:-1] + ~fresh >= _need(words)) & (size[t] >= words)
+            # all hits of the window pass, as any of them may be the seed
+            mark = np.zeros(len(key) + 1, np.int64)
+            np.add.at(mark, np.flatnonzero(ok), 1)
+            np.add.at(mark, to[ok], -1)
+            keep[order[np.cumsum(mark[:-1]) > 0]] = True
     return np.flatnonzero(keep)
 
 

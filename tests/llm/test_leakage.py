@@ -88,3 +88,14 @@ def test_removal_spans(spark):
     found = spark.createDataFrame([(1, 7, 0, 10), (1, 8, 5, 20), (1, 9, 30, 40), (2, 7, 3, 4)], "doc_id long, item_id long, start long, end long")
     got = {(r.doc_id, r.start, r.end, tuple(r["items"])) for r in leakage.removal_spans(found).collect()}
     assert got == {(1, 0, 20, (7, 8)), (1, 30, 40, (9,)), (2, 3, 4, (7,))}
+
+
+def test_edit_near_the_beginning_of_the_shortest_stretch(spark):
+    passage = [*PASSAGE, *(f"v{i}" for i in range(40))]
+    early = PASSAGE[8:28]
+    early[2] = "other"
+    long = [w if i not in (10, 14, 18, 22) else "other" for i, w in enumerate(PASSAGE[:32])]
+    docs = {1: _filler(1) + early + _filler(2), 2: _filler(3) + long + _filler(4), 3: _filler(5) + early[:19] + _filler(6)}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    items = leakage.load_items(spark.createDataFrame([(1, " ".join(passage), None)], "item_id long, passage string, question string"))
+    assert {(r.doc_id, r.start, r.end) for r in leakage.leaks(df, items).collect()} == {(1, 60, 80), (2, 60, 92)}
