@@ -14,10 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkmoth.llm.fm_index import FMIndex
+from silkmoth.plans.lineage import materialise
 
 #: Words of a phrase that is searched.
 PHRASE = 4
@@ -25,8 +27,10 @@ PHRASE = 4
 LEAST = 20
 #: One word in so many may be changed, dropped or added.
 PER_EDIT = 8
-#: A word is common beyond this share of a shard's words (and this number).
-COMMON, COMMON_LEAST = 1e-4, 5
+#: A phrase is common beyond this share of all words (and this number) outside the documents found with its item.
+COMMON, COMMON_LEAST = 5e-6, 5
+#: Share of a stretch's phrases that are not common in a leak.
+RARE = 0.25
 #: Words that one index holds.
 SHARD = 300_000
 #: Most items; they are broadcast, so more is an error.
@@ -67,6 +71,13 @@ class Items:
         flat = [x for v in grams.values() for x in v]
         self.item = np.array([x[0] for x in flat], np.int64)
         self.place = np.array([x[1] for x in flat], np.int64)
+        self._order = np.argsort(self.item, kind="stable")
+        self._phrase = np.repeat(np.arange(len(sizes)), sizes)[self._order]
+        self._first = np.searchsorted(self.item[self._order], np.arange(len(self.words) + 1))
+
+    def of(self, i: int) -> np.ndarray:
+        """Numbers of the phrases of item ``i``."""
+        return self._phrase[self._first[i] : self._first[i + 1]]
 
 
 def load_items(items: DataFrame, most: int = MAX_ITEMS) -> Items:
@@ -184,10 +195,25 @@ def _reach(item: list[int], doc: list[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
-def search_shard(index: FMIndex, text: np.ndarray, starts: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
-    """``(document, item, from word, to word)`` of the leaks in one shard."""
+@dataclass
+class Found:
+    """Stretches ``(document, item, from word, to word)`` of a shard, and how often each phrase occurs in it.
+
+    ``inside`` has the item's phrases in the stretch's document, ``held`` those in the stretch.
+    """
+
+    stretches: list[tuple[int, int, int, int]]
+    inside: list[list[int]]
+    held: list[list[int]]
+    phrases: np.ndarray
+    counts: np.ndarray
+
+
+def search_shard(index: FMIndex, text: np.ndarray, starts: np.ndarray, items: Items) -> Found:
+    """What repeats items in one shard, common or not."""
+    none = np.zeros(0, np.int64)
     if not len(items.phrases):
-        return []
+        return Found([], [], [], none, none)
     lo, hi = index.search(items.phrases)
     found = np.flatnonzero(hi > lo)
     n = hi[found] - lo[found]
@@ -196,6 +222,8 @@ def search_shard(index: FMIndex, text: np.ndarray, starts: np.ndarray, items: It
     phrase = np.repeat(found, n)
     uses = items.starts[phrase + 1] - items.starts[phrase]
     k = np.repeat(items.starts[phrase] - np.concatenate([[0], np.cumsum(uses)[:-1]]), uses) + np.arange(uses.sum())
+    out = Found([], [], [], found, n)
+    by_place = np.argsort(place)
     where = np.repeat(place, uses)
     doc = np.searchsorted(starts, where, side="right") - 1
     item, ip = items.item[k], items.place[k]
@@ -204,44 +232,42 @@ def search_shard(index: FMIndex, text: np.ndarray, starts: np.ndarray, items: It
     keep = dense(doc, item, ip, dp, size, np.array(items.whole, bool))
     doc, item, ip, dp = doc[keep], item[keep], ip[keep], dp[keep]
     if not len(doc):
-        return []
+        return out
     order = np.lexsort((dp, ip, item, doc))
     doc, item, ip, dp = doc[order], item[order], ip[order], dp[order]
     begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
     end = np.append(begin[1:], len(doc))
     ends = np.append(starts[1:], len(text))
-    out = []
     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
         d, i = int(doc[a]), int(item[a])
         own = text[starts[d] : ends[d]]
         got = align(items.words[i].tolist(), own.tolist(), items.whole[i], list(zip(ip[a:b].tolist(), dp[a:b].tolist(), strict=True)))
         if got:
-            out.append((d, i, got[0], got[1]))
-    return distinct_leaks(index, text, starts, items, out)
+            out.stretches.append((d, i, got[0], got[1]))
+            lo, hi = np.searchsorted(place, [starts[d], ends[d]], sorter=by_place)
+            here = by_place[lo:hi]
+            here = here[np.isin(phrase[here], items.of(i))]
+            at = place[here] - starts[d]
+            out.inside.append(phrase[here].tolist())
+            out.held.append(phrase[here[(at >= got[0]) & (at + PHRASE <= got[1])]].tolist())
+    return out
 
 
-def distinct_leaks(index: FMIndex, text: np.ndarray, starts: np.ndarray, items: Items, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """``found`` without stretches of common phrases.
+def uncommon(parts: DataFrame) -> DataFrame:
+    """``(doc_id, item_id, start, end)``: the stretches of :func:`leaks`' parts without those of common phrases.
 
-    A leak holds a word that only its item has and that hardly occurs in the shard
-    outside the documents found with the item, however many these are.
+    At least ``RARE`` of a leak's phrases hardly occur in all documents outside those
+    found with the item, however many these are. Other items with the same words
+    do not matter.
     """
-    uses = np.zeros(len(items.numbers) + 3, np.int64)
-    for w in items.words:
-        uses[np.unique(w)] += 1
-    ends = np.append(starts[1:], len(text))
-    by_item: dict[int, list[tuple[int, int, int, int]]] = {}
-    for f in found:
-        by_item.setdefault(f[1], []).append(f)
-    out = []
-    for i, rows in by_item.items():
-        own = np.unique(items.words[i])
-        own = own[uses[own] == 1]
-        lo, hi = index.search(own[:, None])
-        inside = sum(np.bincount(text[starts[d] : ends[d]], minlength=len(uses)) for d in {r[0] for r in rows})
-        rare = own[(hi - lo) - inside[own] <= max(COMMON_LEAST, COMMON * len(text))]
-        out += [r for r in rows if np.isin(text[starts[r[0]] + r[2] : starts[r[0]] + r[3]], rare).any()]
-    return sorted(out)
+    counts = parts.where("kind = 1").groupBy("phrase").agg(F.sum("n").alias("n"))
+    words = parts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
+    found = parts.where("kind = 0")
+    inside = found.select("item", F.explode("inside").alias("phrase")).groupBy("item", "phrase").agg(F.count("*").alias("own"))
+    bound = F.greatest(F.lit(float(COMMON_LEAST)), COMMON * F.col("words"))
+    rare = inside.join(counts, "phrase").crossJoin(F.broadcast(words)).select("item", "phrase", (F.col("n") - F.col("own") <= bound).cast("int").alias("rare"))
+    share = found.select("row", "item", F.explode("held").alias("phrase")).join(rare, ["item", "phrase"]).groupBy("row").agg(F.avg("rare").alias("share"))
+    return found.join(share.where(F.col("share") >= RARE), "row").select("doc_id", "item_id", "start", "end")
 
 
 def _need(words: int) -> int:
@@ -289,6 +315,11 @@ def dense(doc: np.ndarray, item: np.ndarray, ip: np.ndarray, dp: np.ndarray, siz
     return np.flatnonzero(keep)
 
 
+_SCHEMA = "kind int, row bigint, doc_id bigint, item_id bigint, item bigint, start bigint, end bigint, inside array<bigint>, held array<bigint>, phrase bigint, n bigint"
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+_TYPES = [pa.int32()] + [pa.list_(pa.int64()) if "array" in x else pa.int64() for x in _SCHEMA.split(", ")[1:]]
+
+
 def leaks(docs: DataFrame, items: Items, key: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
     """``(doc_id, item_id, start, end)``: documents with the items they repeat.
 
@@ -306,14 +337,19 @@ def leaks(docs: DataFrame, items: Items, key: str = "doc_id", text: str = "text"
         parts: list[np.ndarray] = []
         held = 0
 
+        task = TaskContext.get()
+        row = (task.partitionId() if task else 0) << 36
+
         def flush() -> pa.RecordBatch:
+            nonlocal row
             starts = np.cumsum([0, *[len(p) for p in parts[:-1]]]).astype(np.int64)
             whole = np.concatenate(parts)
             got = search_shard(FMIndex(whole, sigma), whole, starts, own)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([keys[g[0]] for g in got], pa.int64()), pa.array([own.ids[g[1]] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.int64())],
-                names=["doc_id", "item_id", "start", "end"],
-            )
+            rows = [(0, row + k, keys[g[0]], own.ids[g[1]], g[1], g[2], g[3], x, y, None, None) for k, (g, x, y) in enumerate(zip(got.stretches, got.inside, got.held, strict=True))]
+            row += len(rows)
+            rows += [(1, *[None] * 8, p, n) for p, n in zip(got.phrases.tolist(), got.counts.tolist(), strict=True)]
+            rows.append((2, *[None] * 9, len(whole)))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -328,7 +364,7 @@ def leaks(docs: DataFrame, items: Items, key: str = "doc_id", text: str = "text"
             yield flush()
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(search, "doc_id bigint, item_id bigint, start bigint, end bigint")
+    return uncommon(materialise(rows.mapInArrow(search, _SCHEMA)))
 
 
 def removal_spans(found: DataFrame) -> DataFrame:

@@ -99,3 +99,13 @@ def test_edit_near_the_beginning_of_the_shortest_stretch(spark):
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
     items = leakage.load_items(spark.createDataFrame([(1, " ".join(passage), None)], "item_id long, passage string, question string"))
     assert {(r.doc_id, r.start, r.end) for r in leakage.leaks(df, items).collect()} == {(1, 60, 80), (2, 60, 92)}
+
+
+def test_items_that_share_a_passage_and_copies_of_a_shorter_overlap(spark):
+    text = " ".join(PASSAGE)
+    items = leakage.load_items(spark.createDataFrame([(1, text, "a"), (2, text, "b"), (3, None, " ".join(QUESTION)), (4, None, " ".join(QUESTION))], "item_id long, passage string, question string"))
+    docs = {1: _filler(1) + PASSAGE, 2: QUESTION + _filler(2)} | {100 + i: _filler(3) + PASSAGE[:15] + _filler(4) for i in range(200)} | {3: PASSAGE[:26]}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    found = leakage.leaks(df, items)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (1, 2), (3, 1), (3, 2), (2, 3), (2, 4)}
+    assert {tuple(r) for r in leakage.leaks(df, items, shard=50).collect()} == {tuple(r) for r in found.collect()}
