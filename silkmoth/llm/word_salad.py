@@ -27,12 +27,14 @@ FLOOR = -1.0
 TIMES, SHARE = 3, 0.01
 #: Share of excessive collocations that makes a line incoherent.
 EXCESS = 0.6
-#: Share of repeated words from which on an incoherent line counts against its page.
+#: Share of repeated words from which on an incoherent row of a table or list counts against its page.
 REPEATED = 0.3
 #: Where Cyrillic letters begin (fixed value).
 CYRILLIC = "\u0400"
-#: Incoherent words that a spam page has at least.
-LEAST = 20
+#: Share of the main part that is incoherent on a spam page at least, besides more than its sentences.
+GREATER = 0.25
+#: Elements of table and list rows (fixed values); their cells need not go together.
+ROWS = frozenset(["table", "tr", "td", "th", "ul", "ol", "li", "dl", "dt", "dd"])
 
 class Values:
     """Values of pairs of words, remembered up to a bound."""
@@ -72,8 +74,13 @@ def main_lines(page: Page, site: set[int]) -> list[Line]:
     return [page.lines[i] for i in at if not page.lines[i].flags & (FILED | GARBLED)]
 
 
-def judge(page: Page, site: set[int], value: Values) -> tuple[int, int]:
-    """Words of sentences, and of incoherent lines, in the main part of a page.
+def in_rows(line: Line, main: int) -> bool:
+    """Whether a line is of a table or list inside the main part, which ``main`` containers hold."""
+    return line.element in ROWS or any(x.split(" ", 1)[0] in ROWS for x in line.path[main:])
+
+
+def judge(page: Page, site: set[int], value: Values) -> tuple[int, int, int]:
+    """Words of sentences, of incoherent lines, and of all lines, in the main part of a page.
 
     ``site`` has the hashes of lines that belong to the sites.
     """
@@ -85,8 +92,9 @@ def judge(page: Page, site: set[int], value: Values) -> tuple[int, int]:
     often = Counter(x for _, w, _ in rows for x in w)
     least = max(TIMES, SHARE * sum(often.values()) + 1e-9)
     much = {p for p, n in pairs.items() if n >= least}
-    good, bad_lines = 0, []
+    good, bad_lines, rest = 0, [], []
     known = value.pairs
+    inner = len(main_of(page))
     for line, words, own_pairs in rows:
         total, n = 0.0, 0
         for ab in own_pairs:
@@ -102,20 +110,26 @@ def judge(page: Page, site: set[int], value: Values) -> tuple[int, int]:
         if not line.flags & ADDRESS and ((n and total >= 0 and excess < EXCESS * len(own_pairs)) or (not n and own)):
             if own >= 4 and line.flags & ENDS:
                 good += len(words)
+            else:
+                rest.append((line, words))
         else:
-            bad_lines.append((words, own))
-    again = Counter(x for w, _ in bad_lines for x in w)
+            bad_lines.append((line, words, own, in_rows(line, inner)))
+    again = Counter(x for _, w, _, _ in bad_lines for x in w)
     bad = 0
-    for words, own in bad_lines:
+    for line, words, own, row in bad_lines:
         long = [x for x in words if len(x) > 2]
-        if own == 0 or sum(again[x] >= TIMES for x in long) >= REPEATED * max(1, len(long)):
+        if own == 0 or not row or sum(again[x] >= TIMES for x in long) >= REPEATED * max(1, len(long)):
             bad += len(words)
-    return good, bad
+        else:
+            rest.append((line, words))
+    # what the sites put between, and is no case, is not of the main part
+    every = good + bad + sum(len(w) for line, w in rest if mark(unit_of(line), LINE) not in site)
+    return good, bad, every
 
 
-def is_spam(good: int, bad: int) -> bool:
-    """Whether the greater part is incoherent."""
-    return bad >= LEAST and bad > good
+def is_spam(good: int, bad: int, every: int) -> bool:
+    """Whether more than the sentences, and enough of all words, are incoherent."""
+    return bad > good and bad > GREATER * every
 
 
 def spam_pages(docs: DataFrame, **names: str) -> DataFrame:
@@ -133,6 +147,6 @@ def spam_pages(docs: DataFrame, **names: str) -> DataFrame:
         value = Values(stats)
         for b in slices(batches):
             got = [(f, *judge(page, stats.lines, value)) for f, _, _, page in pages_of(b)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([is_spam(g[1], g[2]) for g in got], pa.bool_())], names=["fetch_id", "sentence_words", "incoherent_words", "spam"])
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([is_spam(*g[1:]) for g in got], pa.bool_())], names=["fetch_id", "sentence_words", "incoherent_words", "spam"])
 
     return rows.mapInArrow(find, "fetch_id bigint, sentence_words bigint, incoherent_words bigint, spam boolean").dropDuplicates(["fetch_id"])
