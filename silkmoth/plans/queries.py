@@ -100,6 +100,13 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_links(rows).distinct()
 
 
+@query()
+def link_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every HTML fetch, also of those that ``parsed_links`` has no links of."""
+    docs = table(spark, sf_dir, "crawl_docs", "fetch_id", "url", "mime", "content").where(F.contains("mime", F.lit("text/html")))
+    return page_links(docs.where("fetch_id is not null and content is not null")).distinct()
+
+
 def page_links(docs: DataFrame) -> DataFrame:
     """``(fetch_id, pos, protocol, host, port, path)``: desired links of pages in page order."""
     base = docs.withColumn("base", urls.parse_url(F.col("url")))

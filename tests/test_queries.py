@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import subprocess
 import sys
 
@@ -33,3 +34,11 @@ def test_entry(spark):
 def test_core_does_not_need_the_text_operators():
     code = "import sys; sys.modules['silkmoth.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(n.startswith('p1_') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_links_of_every_html_fetch(spark):
+    docs = core.table(spark, oracle.SF, "crawl_docs", "fetch_id", "mime", "content").where("contains(mime, 'text/html') and fetch_id is not null")
+    with_links = {r.fetch_id for r in docs.collect() if re.search(r"<a\s[^>]*href=[\"']?/[\w/-]+[\"'\s>]", r.content or "")}
+    links = {tuple(r) for r in core.link_extract_all(spark, oracle.SF).collect()}
+    parsed = {tuple(r) for r in core.link_extract(spark, oracle.SF).collect()}
+    assert parsed < links and with_links <= {r[0] for r in links} and not with_links <= {r[0] for r in parsed}
