@@ -240,8 +240,8 @@ def _single(part: str, scores: np.ndarray) -> str | None:
     letters = sum(1 for c in part if ord(c) > 0xBF and c.isalpha())
     if letters < LETTERS:
         return None
-    now, pairs = _mean(part, scores)
-    if not pairs or now > IMPROBABLE:
+    now, pairs = _mean(part, scores)  # no ceiling: a source that is garbled throughout raises it itself
+    if not pairs:
         return None
     best = None
     for read, true in SINGLE:
@@ -262,11 +262,55 @@ _LOST = re.compile("\ufffd+|\u00e2\u20ac|\u00e2\x80|\u0432\u0402|\u0393\u00c7|\u
 _WORDS = re.compile(r"[^\x00-\x7f]+(?:[ .,:;!?()-]+[^\x00-\x7f]+)*")
 
 
+#: Single-byte encodings of Latin text (read as, truly), in order of trial.
+LATIN = (("cp1252", "mac-roman"), ("cp1252", "cp850"), ("latin-1", "cp850"), ("cp850", "cp1252"), ("mac-roman", "cp1252"), ("cp437", "cp1252"))
+# one sign or capital beyond ASCII where a small letter must stand: inside a word, or a capital at the end of one
+_LONE = re.compile(r"[\x80-\x9f¡-¬®-¶¸-¿×÷‚„ƒ†‡ˆ‰‹›•˜™Œ€√∫≈◊∂Ω∏π∞À-ÖØ-ÞŠŽŸ│┤╡╢╖╕╣║╗╝┐└┴┬├─┼╚╔╩╦╠═╬┘┌█▄▌▐▀](?:(?<=[a-zß-öø-ÿ].)(?=[a-zß-öø-ÿ])|(?<=[a-z]{2}[À-ÖØ-ÞŠŽŸŒ])(?!\w))")
+# the rest of UTF-8 read as a single-byte encoding, with its last byte replaced; other scripts inside a Latin word
+_HALF = re.compile(r"[ÃÂ](?=[? \xa0])(?:(?<=[a-zß-öø-ÿ].)|(?<=Ã)(?<!\S.))")
+_ALIEN = re.compile(r"[\u0370-\u03ff\u0590-\u06ff\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uff61-\uff9f](?<=[a-z]{2}.)[\u0370-\u03ff\u0590-\u06ff\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uff61-\uff9f]{0,3}(?=[a-z]|[^\w]|$)")
+_SCRIPTS = re.compile(r"[\u0370-\u03ff\u0590-\u06ff\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uff61-\uff9f]")
+
+
+def _lone(text: str) -> tuple[str, int, int]:
+    """``text`` with lone wrong characters restored, and the numbers of those restored and lost.
+
+    All of a text are restored by the one pair of encodings that fits most of them.
+    """
+    at = list(_LONE.finditer(text))
+    best: dict[str, str] = {}
+    for read, true in LATIN if at else ():
+        to = {}
+        for c in {m.group() for m in at}:
+            try:
+                got = c.encode(read).decode(true)
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                continue
+            if "ß" <= got <= "ÿ" and got != "÷":
+                to[c] = got
+        if len(to) > len(best):
+            best = to
+    fixed = sum(m.group() in best for m in at)
+    if fixed:
+        text = _LONE.sub(lambda m: best.get(m.group(), m.group()), text)
+    return text, fixed, len(at) - fixed
+
+
+def _unmapped(text: str) -> int:
+    """Sequences of wrong decoding that no mapping restores."""
+    n = len(_HALF.findall(text))
+    alien = _ALIEN.findall(text)
+    if alien and 4 * len(_SCRIPTS.findall(text)) < len(text):  # not a text in such a script
+        n += len(alien)
+    return n
+
+
 def repair(content: str, scores: np.ndarray, below: float = IMPROBABLE) -> tuple[str, int, int]:
     """``content`` restored, with the numbers of runs restored and of those lost.
 
-    Character references are resolved where that is needed to restore. U+FFFD and
-    marks whose last byte is missing are lost: what stood there is unknown.
+    Character references are resolved where that is needed to restore. U+FFFD,
+    characters whose last byte is missing, and letters of other scripts inside Latin
+    words are lost: what stood there is unknown.
     """
     text, fixed = plain(content), 0
     if text.isascii():
@@ -299,7 +343,9 @@ def repair(content: str, scores: np.ndarray, below: float = IMPROBABLE) -> tuple
             break
         fixed += changed
         text = "".join([*out, text[at:]])
-    lost = len(_LOST.findall(text))
+    text, lone, lost = _lone(text)
+    fixed += lone
+    lost += len(_LOST.findall(text)) + _unmapped(text)
     return (text if fixed else content), fixed, lost
 
 

@@ -82,3 +82,24 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "fetch_id long, content string, runs int")
     assert {tuple(r) for r in mojibake.garbled(df).collect()} == {(1, "café", 1, 0), (5, "a�", 0, 1)}
     assert mojibake.garbled(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("true", "wrong"), [("mac-roman", "cp1252"), ("cp850", "latin-1"), ("cp1252", "cp850")])
+def test_single_bytes_of_latin_text(scores, true, wrong):
+    assert mojibake.repair(_read("le marché fermé, un théâtre rénové", true, wrong), scores)[1] > 0
+    assert mojibake.repair("un cafŽ ouvert", scores)[:2] == ("un café ouvert", 1)
+
+
+@pytest.mark.parametrize("text", ["le cafÃ? ouvert", "voilÃ  tout", "un caf茅 ouvert", "un cafﾃｩ ouvert", "un cafΓ© ouvert"])
+def test_not_restorable_is_reported(scores, text):
+    assert sum(mojibake.repair(text, scores)[1:]) > 0
+
+
+def test_source_garbled_throughout(scores):
+    text = "Клиника области изучает ремонт моста порта"
+    raised = scores.copy()
+    raised[scores > 0] += 2  # what the garbled pairs' own number adds
+    wrong = _read(text, "koi8-r", "cp1251")
+    c = mojibake._CLASS[mojibake.codes(wrong)].astype(int)
+    raised[c[:-1:2], c[1::2]] = 8
+    assert mojibake._mean(wrong, raised)[0] > 0 and mojibake._single(wrong, raised) == text
