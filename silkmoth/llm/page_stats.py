@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import marshal
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,16 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkmoth.llm.pages import Line, Page, is_page, parse
-from silkmoth.plans.lineage import materialise, slices
+from silkmoth.plans.lineage import materialise, release, slices
 
 #: Longest lines of a main part that tell its copies.
 TELLING = 2
-#: Share of the pages (and number) from which on a line belongs to the sites, not to an article.
+#: Share of the pages (and number) from which on a word or a pair of neighbouring words is known.
 #: Pages are different main parts here: copies of one count once, see :func:`statistics`.
-#: Each page adds each of its lines once, so at most 1/SHARED x (mean lines of a page) lines qualify.
-SHARED, SHARED_LEAST = 0.002, 3
-#: The same for words and for pairs of neighbouring words.
+#: Each page adds each of its pairs once, so at most 1/SEEN x (mean words of a page) pairs qualify.
 SEEN, SEEN_LEAST = 0.0002, 3
+#: A word on so many times the least number of pages is known well enough to miss its neighbours.
+WELL = 10
+#: Information of neighbours that the corpus never has together; it lies between -1 and 1.
+FLOOR = -1.0
 #: Hashes a worker holds before it sends its counts.
 FLUSH = 600_000
 #: Most qualifying hashes that are broadcast (twelve bytes each); more is an error, as it is far beyond the bounds above.
@@ -33,8 +34,8 @@ MAX_HASHES = 20_000_000
 
 _FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _MASK = (1 << 63) - 1
-# odd numbers that spread the hashes of pairs
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+# a pair is told by the low bits of its words' hashes
+_LOW, _HIGH = (1 << 32) - 1, (1 << 31) - 1
 
 SCHEMA = "fetch_id bigint, url string, host string, html boolean, head int, lines binary, row bigint, body bigint"
 
@@ -53,12 +54,6 @@ def unit_of(line: Line) -> str:
     return line.unit
 
 
-def start(unit: str) -> str:
-    """The first words of a unit of ``HEAD_WORDS`` or more, else nothing."""
-    words = unit.split(" ", HEAD_WORDS)
-    return " ".join(words[:HEAD_WORDS]) if len(words) >= HEAD_WORDS else ""
-
-
 def mark(text: str, kind: int) -> int:
     """A hash of ``text`` for one kind of count."""
     return xxhash.xxh3_64_intdigest(text, seed=kind) & _MASK
@@ -115,7 +110,7 @@ def body_of(page: Page) -> int:
 def packed(page: Page) -> bytes:
     """The lines of a page as one value, which only workers of the same job read."""
     paths: dict[tuple[str, ...], tuple[str, ...]] = {}
-    return marshal.dumps([(x.no, x.text, x.own if x.links else None, x.links, paths.setdefault(x.path, x.path), x.element, x.parts, x.flags, x.label) for x in page.lines])
+    return marshal.dumps([(x.no, x.text, x.own if x.links else None, x.links, paths.setdefault(x.path, x.path), x.element, x.cuts, x.own_cuts, x.flags, x.label) for x in page.lines])
 
 
 def pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str, Page]]:
@@ -123,118 +118,158 @@ def pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str, Page]]:
     names = batch.schema.names
     columns = (batch.column(names.index(n)).to_pylist() for n in ("fetch_id", "url", "host", "html", "head", "lines"))
     for f, url, host, is_html, head, lines in zip(*columns, strict=True):
-        own = [Line(no, text, text if own is None else own, links, path, element, parts, flags, label) for no, text, own, links, path, element, parts, flags, label in marshal.loads(lines)]
+        own = [Line(no, text, text if own is None else own, links, path, element, cuts, own_cuts, flags, label) for no, text, own, links, path, element, cuts, own_cuts, flags, label in marshal.loads(lines)]
         yield f, url or "", host, Page(own, is_html, head)
 
 
-LINE, WORD, PAIR, LABEL, HEAD, PAGES, BODY = range(7)
-#: Words by which long units are looked up first.
-HEAD_WORDS = 4
+LINE, WORD, PAIR, PAGES, BODY = range(5)
 
 
-@dataclass
-class Stats:
-    """Hashes that pass their thresholds, sorted, with counts of pages."""
+def information(c, x, y, pages, least):
+    """Normalised pointwise mutual information of pairs on ``c`` of ``pages``, words on ``x`` and ``y``; discounted.
 
-    pages: int
-    keys: dict[int, np.ndarray]
-    counts: dict[int, np.ndarray]
-
-    def __post_init__(self) -> None:
-        self.lines = set(self.keys[LINE].tolist())
-        self.labels = set(self.keys[LABEL].tolist())
-        self.heads = set(self.keys[HEAD].tolist())
-        self.words = dict(zip(self.keys[WORD].tolist(), self.counts[WORD].tolist(), strict=True))
-        self.pairs = dict(zip(self.keys[PAIR].tolist(), self.counts[PAIR].tolist(), strict=True))
-
-    def __getstate__(self) -> dict:
-        return {"pages": self.pages, "keys": self.keys, "counts": self.counts}
+    The information log2(c pages / (x y)) is divided by its greatest value
+    log2(pages / c). As few pages tell little, ``least`` pages without the pair
+    are added, which count as :data:`FLOOR`.
+    """
+    c, x, y = (np.asarray(v, float) for v in (c, x, y))
+    pages = max(float(pages), 2.0)
+    own = np.log2(pages / np.minimum(c, pages - 0.5))
+    value = np.clip(np.log2(c * pages / (x * y)) / own, -1.0, 1.0)
+    return (c * value + least * FLOOR) / (c + least)
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.__post_init__()
 
+@dataclass
+class Stats:
+    """Words and pairs known to the corpus, with the numbers of their pages."""
 
-def statistics(rows: DataFrame, units: bool = True) -> Stats:
-    """Numbers of pages with each line, heading over links, word and pair of neighbours.
+    pages: int
+    least: float
+    #: mean information of all neighbours of all pages
+    mean: float
+    #: hash of a word -> pages, and of a pair -> information
+    word_keys: np.ndarray
+    word_pages: np.ndarray
+    pair_keys: np.ndarray
+    pair_values: np.ndarray
+
+    def pair(self, keys: np.ndarray) -> np.ndarray:
+        """Information of pairs by their hashes."""
+        if not len(self.pair_keys):
+            return np.full(len(keys), FLOOR, np.float32)
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_values[at], np.float32(FLOOR))
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """Whether words, by their hashes, are on so many pages that their neighbours are known too."""
+        if not len(self.word_keys):
+            return np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.word_keys, keys), len(self.word_keys) - 1)
+        return (self.word_keys[at] == keys) & (self.word_pages[at] >= WELL * self.least)
+
+
+def joined(texts: list[str]) -> list[str]:
+    """Words of lines in order, an empty word between lines that are no neighbours.
+
+    Lines of one word each (a list of addresses, of tags) are neighbours.
+    """
+    out: list[str] = []
+    single = False
+    for t in texts:
+        one = " " not in t
+        if out and not (one and single):
+            out.append("")
+        if one:
+            out.append(t)
+        else:
+            out += t.split(" ")
+        single = one
+    return out
+
+
+def pair_hashes(h: np.ndarray) -> np.ndarray:
+    """Hashes of all neighbours in a sequence of word hashes."""
+    return ((h[:-1] & _HIGH) << 32) | (h[1:] & _LOW)
+
+
+class Hashes:
+    """Hashes of words, remembered up to a bound; the empty word has 0."""
+
+    def __init__(self, most: int = FLUSH):
+        self.most = most
+        self.own: dict[str, int] = {"": 0}
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.own) > self.most:
+            self.own = {"": 0}
+        own = self.own
+        got = [own.get(w) for w in words]
+        if None in got:
+            for i, x in enumerate(got):
+                if x is None:
+                    got[i] = own.setdefault(words[i], mark(words[i], WORD))
+        return np.array(got, np.int64)
+
+
+def statistics(rows: DataFrame) -> Stats:
+    """Numbers of pages with each word and pair of neighbours, and the information of pairs.
 
     Rows with one id count once, and so do copies of one main part: of them the
     first row stands for all, however many they are.
-    ``units`` adds the first words of lines, for finding units inside a line.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, Counter] = {k: Counter() for k in (LINE, LABEL, HEAD, WORD, PAGES)}
+        words: list[np.ndarray] = []
         pairs: list[np.ndarray] = []
-        held = 0
-        cache: dict[str, int] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, c in totals.items():
-                yield counts(k, list(c), list(c.values()))
-                c.clear()
-            if pairs:
-                yield counts(PAIR, *np.unique(np.concatenate(pairs), return_counts=True))
-                pairs.clear()
+        held = pages = 0
+        hashes = Hashes()
 
         def counts(k: int, h, n) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int8)), pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["kind", "h", "n"])
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, got in ((WORD, words), (PAIR, pairs)):
+                if got:
+                    yield counts(k, *np.unique(np.concatenate(got), return_counts=True))
+                    got.clear()
+
         for b in slices(batches):
             for lines in map(marshal.loads, b.column(0).to_pylist()):
-                text = [x[1] for x in lines]
-                seen, labels = set(text), set()
-                last = None
-                for _, low, own, links, _, element, parts, _, _ in lines:
-                    if own:
-                        seen.add(own)
-                    if parts:
-                        seen.update(parts)
-                    if links and last is not None:
-                        labels.add(last)
-                    last = low if element[:1] == "h" and element[1:].isdigit() else None
-                seen.discard("")
-                every = {normal(n) for n in seen}
-                totals[LINE].update([mark(n, LINE) for n in every])
-                if units:
-                    totals[HEAD].update({mark(start(n), HEAD) for n in every})
-                totals[LABEL].update({mark(normal(n), LABEL) for n in labels})
-                totals[PAGES][0] += 1
-                flat = " \n ".join(text).split(" ")
-                known = [cache.get(w) for w in flat]
-                if None in known:
-                    for i, x in enumerate(known):
-                        if x is None:
-                            known[i] = cache.setdefault(flat[i], mark(flat[i], WORD) if flat[i] != "\n" else 0)
-                h = np.array(known, np.int64)
-                totals[WORD].update(set(known))
-                both = (h[:-1] != 0) & (h[1:] != 0)
-                u = h.view(np.uint64)
-                mine = np.unique(((u[:-1] * _A + u[1:] * _B + np.uint64(1)) & np.uint64(_MASK)).view(np.int64)[both])
-                pairs.append(mine)
-                held += len(mine)
-                if len(cache) > FLUSH:
-                    cache.clear()
-            if held + sum(map(len, totals.values())) > FLUSH:
+                h = hashes(joined([x[1] for x in lines]))
+                words.append(np.unique(h[h != 0]))
+                pairs.append(np.unique(pair_hashes(h)[(h[:-1] != 0) & (h[1:] != 0)]))
+                held += len(words[-1]) + len(pairs[-1])
+                pages += 1
+            if held > FLUSH:
                 yield from flush()
                 held = 0
         yield from flush()
+        yield counts(PAGES, [0], [pages])
 
     ids = rows.groupBy("fetch_id").agg(F.min(F.struct("row", "body")).alias("x"))
     first = ids.groupBy("x.body").agg(F.min("x.row").alias("row")).select("row")
     once = rows.select("row", "lines").join(first.hint("shuffle_hash"), "row", "left_semi")  # by row, so that no task holds all copies
     sums = materialise(once.select("lines").mapInArrow(count, "kind byte, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n")))
-    pages = (sums.where(F.col("kind") == PAGES).agg(F.sum("n")).first()[0]) or 0
-    least = {LINE: max(SHARED_LEAST, SHARED * pages), LABEL: max(SHARED_LEAST, SHARED * pages), HEAD: max(SHARED_LEAST, SHARED * pages), WORD: max(SEEN_LEAST, SEEN * pages), PAIR: max(SEEN_LEAST, SEEN * pages)}
-    bound = F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, float(v))])
-    kept = sums.where(F.col("kind") != PAGES).where(F.col("n") >= bound[F.col("kind").cast("int")])
+    totals = {r.kind: r.n for r in sums.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    pages = totals.get(PAGES, 0)
+    least = max(SEEN_LEAST, SEEN * pages)
+    kept = sums.where((F.col("kind") != PAGES) & (F.col("n") >= least))
     if kept.count() > MAX_HASHES:
-        raise ValueError("more lines, words and pairs qualify than may be broadcast")
+        raise ValueError("more words and pairs qualify than may be broadcast")
     got = kept.toArrow()
+    release(sums)
     kind, h, n = (got.column(c).to_numpy() for c in ("kind", "h", "n"))
-    return Stats(pages, {k: h[kind == k] for k in least}, {k: n[kind == k] for k in least})
-
-
-def pair(x: int, y: int) -> int:
-    """Hash of two neighbouring words' hashes."""
-    return (x * int(_A) + y * int(_B) + 1) & _MASK
+    order = np.argsort(h, kind="stable")
+    kind, h, n = kind[order], h[order], n[order]
+    wh, wn, ph, pn = h[kind == WORD], n[kind == WORD], h[kind == PAIR], n[kind == PAIR]
+
+    def pages_of_word(part: np.ndarray, mask: int) -> np.ndarray:
+        by = np.argsort(wh & mask, kind="stable")
+        at = np.searchsorted((wh & mask)[by], part)
+        return wn[by][np.minimum(at, max(len(wn) - 1, 0))]
+
+    # a pair's words are on its pages and so are known themselves
+    values = information(pn, np.maximum(pages_of_word(ph >> 32, _HIGH), pn), np.maximum(pages_of_word(ph & _LOW, _LOW), pn), pages, least).astype(np.float32) if len(ph) else np.zeros(0, np.float32)
+    every = max(totals.get(PAIR, 0), 1)
+    mean = float((pn * values).sum() + (every - pn.sum()) * FLOOR) / every
+    return Stats(pages, least, mean, wh, wn, ph, values)

@@ -8,6 +8,7 @@ its name, or nothing.
 from __future__ import annotations
 
 import html
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -19,7 +20,14 @@ UNSEEN = frozenset(["script", "style", "head", "title", "noscript", "template"])
 _TOKEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(class|id|width)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"\w+")
-_BREAK = "\x1e"
+# an address is one word, wherever it stands
+_DOTTED = re.compile(r"[a-z0-9]\.[a-z]")
+_WORD_OR_ADDRESS = re.compile(r"(?:https?://)?(?<![\w.@-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![\w.])(?:[:/]\S*)?|\w+")
+_HTML = re.compile(r"<(html|body|div|p|table|!doctype)\b", re.I)
+_OBJECT = re.compile(r"\s*(?:\[\s*)?\{\s*\"(?:[^\"\\\n]|\\.)*\"\s*:")
+_BREAK = "\ue000"
+# ends of segments: an element, a sentence, an entry of a row of entries
+_SEGMENT = re.compile(r"\s*\ue000\s*|(?<=[.!?…:])[\"”»’)]*\s+|\s+[·|•>/-]\s+")
 _QUOTES = "\"'"
 #: Elements of tables (fixed values); their cells are no units of a line.
 TABLE = frozenset(["table", "tr", "td", "th", "tbody", "thead"])
@@ -44,8 +52,10 @@ class Line:
     path: tuple[str, ...] = ()
     #: name of the first element of the line
     element: str = ""
-    #: the texts of the line's elements, if there are several
-    parts: tuple[str, ...] = ()
+    #: numbers of words of its segments (elements, sentences, entries), if there are several
+    cuts: tuple[int, ...] = ()
+    #: the same of the text outside links
+    own_cuts: tuple[int, ...] = ()
     #: what its punctuation tells, see :data:`ENDS` and those below
     flags: int = 0
     #: the words before a colon
@@ -55,8 +65,8 @@ class Line:
 
 
 #: Ends like a sentence; ends with any mark; names what the page is filed under; is about the page;
-#: has signs of no script of the corpus; is an address or a row of tags.
-ENDS, CLOSED, FILED, ABOUT, GARBLED, ADDRESS = (1 << k for k in range(6))
+#: has signs of no script of the corpus.
+ENDS, CLOSED, FILED, ABOUT, GARBLED = (1 << k for k in range(5))
 #: Share of signs of no script that shows a line to be garbled.
 GARBLED_SHARE = 0.08
 
@@ -68,10 +78,18 @@ _ODD = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿŒœŠšŽžŸА-яЁё«»¿¡‘
 
 
 def words_of(text: str) -> str:
-    """Words of ``text`` in lower case, with one blank between."""
+    """Words of ``text`` in lower case, with one blank between; an address is one word."""
+    if "." in text and _DOTTED.search(text):
+        return " ".join(_WORD_OR_ADDRESS.findall(text)).lower()
     return " ".join(_WORD.findall(text.lower()))
 
 
+def cut(text: str) -> tuple[str, tuple[int, ...]]:
+    """Words of ``text`` as :func:`words_of` has them, and the numbers of words of its segments, if there are several."""
+    pieces = [w for x in _SEGMENT.split(text) if (w := words_of(x))]
+    return " ".join(pieces), tuple([w.count(" ") + 1 for w in pieces]) if len(pieces) > 1 else ()
+
+
 def flags_of(text: str) -> int:
     """Flags of a line's visible text."""
     out = 0
@@ -86,10 +104,6 @@ def flags_of(text: str) -> int:
         out |= ABOUT
     if not text.isascii() and len(_ODD.findall(text)) > GARBLED_SHARE * len(text):
         out |= GARBLED
-    if "#" in text or (" " not in text and "." in text):
-        pieces = text.split()
-        if len(pieces) < 2 or 2 * sum(x[0] == "#" for x in pieces) > len(pieces):
-            out |= ADDRESS
     return out
 
 
@@ -104,20 +118,34 @@ class Page:
 
 
 def is_page(mime: str | None, content: str) -> bool:
-    """HTML, XHTML and plain text are pages; a null type is judged by its content."""
+    """HTML, XHTML and plain text are pages; a null type is judged by its content.
+
+    Of that, documents, images and JSON are no pages.
+    """
     if mime is None or not mime.strip():
         head = content.lstrip()[:5].lower()
-        return not (head.startswith("%pdf") or head.startswith("\x89png") or head[:1] in "{[")
+        return not (head.startswith(("%pdf", "\x89png")) or (head[:1] in ("{", "[") and _is_json(content)))
     m = mime.strip().lower()
     return "html" in m or m.startswith("text/plain")
 
 
+def _is_json(content: str) -> bool:
+    """Whether ``content`` is JSON, or begins as an object with a named value does."""
+    if _OBJECT.match(content):
+        return True
+    try:
+        json.loads(content)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
 def is_html(mime: str | None, content: str) -> bool:
     """Whether to read tags."""
     m = (mime or "").lower()
     if "html" in m:
         return True
-    return not m.strip() and "<" in content and re.search(r"<(html|body|div|p|table|!doctype)\b", content[:4000], re.I) is not None
+    return not m.strip() and _HTML.search(content) is not None
 
 
 def parse(content: str, mime: str | None) -> Page:
@@ -126,9 +154,9 @@ def parse(content: str, mime: str | None) -> Page:
     if not page.html:
         for no, raw in enumerate(content.split("\n"), 1):
             text = squeeze(raw)
-            low = words_of(text)
+            low, cuts = cut(text)
             if low:
-                page.lines.append(line := Line(no, low, low, flags=flags_of(text)))
+                page.lines.append(line := Line(no, low, low, cuts=cuts, flags=flags_of(text)))
                 line.label = _label(text)
         return page
     stack: list[tuple[str, str]] = []
@@ -204,14 +232,16 @@ def parse(content: str, mime: str | None) -> Page:
         if not text_parts:
             continue
         whole = "".join(text_parts)
-        parts = [squeeze(x) for x in whole.split(_BREAK) if not x.isspace()] if _BREAK in whole else [squeeze(whole)]
-        parts = [x for x in parts if x]
-        text = " ".join(parts)
-        low = words_of(text)
+        text = squeeze(whole)
+        low, cuts = cut(text)
         if low:
-            line.text, line.own, line.path = low, words_of(squeeze("".join(own_parts))) if line.links else low, path or ()
-            if len(parts) > 1 and line.element not in TABLE:
-                line.parts = tuple(map(words_of, parts))
+            line.text, line.own, line.path = low, low, path or ()
+            if line.links:
+                line.own, line.own_cuts = cut(squeeze("".join(own_parts)))
+            if line.element not in TABLE:
+                line.cuts = cuts
+            if _BREAK in text:
+                text = " ".join(text.replace(_BREAK, " ").split())
             line.flags = flags_of(text)
             line.label = _label(text)
             page.lines.append(line)

@@ -1,77 +1,41 @@
 """Keyword-stuffed and link-list pages: coherence of neighbouring words.
 
-A line is coherent where the pointwise mutual information of its neighbouring
-words is high enough on the mean, with pairs the corpus hardly knows at the
-floor, and where it is no excessive repetition of collocations of its page.
-A page whose main part holds more incoherent words than words of sentences is spam.
+A line is coherent where the mean pointwise mutual information of its
+neighbouring words, normalised and discounted by corpus counts, is nearer to the
+corpus's mean than to that of words never seen together, and where it is no
+excessive repetition of collocations of its page. A page whose main part holds
+more incoherent text than sentences is spam.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from silkmoth.llm.page_stats import LINE, Stats, main_of, mark, pages_of, pair, parsed, statistics, unit_of
-from silkmoth.llm.page_stats import WORD as _KIND
-from silkmoth.llm.pages import ADDRESS, ENDS, FILED, GARBLED, Line, Page
+from silkmoth.llm.page_stats import FLOOR, Hashes, Stats, main_of, pages_of, pair_hashes, parsed, statistics
+from silkmoth.llm.pages import ENDS, FILED, GARBLED, Line, Page
 from silkmoth.plans.lineage import slices
 
-#: Value of a pair that the corpus hardly knows; a known pair has 1 and a tenth of its information.
-FLOOR = -1.0
 #: A collocation is excessive from so many times and this share of the main part on.
 TIMES, SHARE = 3, 0.01
 #: Share of excessive collocations that makes a line incoherent.
 EXCESS = 0.6
-#: Share of repeated words from which on an incoherent row of a table or list counts against its page.
-REPEATED = 0.3
 #: Where Cyrillic letters begin (fixed value).
-CYRILLIC = "\u0400"
+CYRILLIC = "Ѐ"
 #: Share of the main part that is incoherent on a spam page at least, besides more than its sentences.
 GREATER = 0.25
 #: Elements of table and list rows (fixed values); their cells need not go together.
 ROWS = frozenset(["table", "tr", "td", "th", "ul", "ol", "li", "dl", "dt", "dd"])
 
-class Values:
-    """Values of pairs of words, remembered up to a bound."""
-
-    def __init__(self, stats: Stats, most: int = 400_000):
-        self.stats, self.most = stats, most
-        self.words: dict[str, int] = {}
-        self.pairs: dict[tuple[str, str], tuple[float, bool, bool]] = {}
-
-    def __call__(self, ab: tuple[str, str]) -> tuple[float, bool, bool]:
-        """Value of a pair, 0 if the corpus hardly knows it; whether each word's absence says something."""
-        got = self.pairs.get(ab)
-        if got is None:
-            if len(self.pairs) > self.most:
-                self.pairs.clear()
-                self.words.clear()
-            s = self.stats
-            x, y = (self.words.get(w) or self.words.setdefault(w, mark(w, _KIND)) for w in ab)
-            c = s.pairs.get(pair(x, y))
-            value = 0.0 if c is None else 1 + math.log2(c * s.pages / (s.words.get(x, c) * s.words.get(y, c))) / 10
-            got = self.pairs[ab] = (value, ab[0].isascii() or x in s.words, ab[1].isascii() or y in s.words)
-        return got
-
-
-def main_lines(page: Page, site: set[int]) -> list[Line]:
-    """Lines of the main part beside the headline.
-
-    It is the container of the headline; without one, what stands between the lines
-    of the sites at the page's beginning and end, or everything if that is nothing.
-    Lines in between count wherever else they occur.
-    """
+
+def main_lines(page: Page) -> list[Line]:
+    """Lines of the main part beside the headline: of its container, or of the whole page without a headline."""
     main = main_of(page)
-    at = [i for i, x in enumerate(page.lines) if i != page.head and not (page.html and x.path[: len(main)] != main)]
-    if not main:
-        own = [k for k, i in enumerate(at) if mark(unit_of(page.lines[i]), LINE) not in site]
-        at = at[own[0] : own[-1] + 1] if own else at
-    return [page.lines[i] for i in at if not page.lines[i].flags & (FILED | GARBLED)]
+    rows = (x for i, x in enumerate(page.lines) if i != page.head and not (page.html and x.path[: len(main)] != main))
+    return [x for x in rows if not x.flags & (FILED | GARBLED)]
 
 
 def in_rows(line: Line, main: int) -> bool:
@@ -79,74 +43,93 @@ def in_rows(line: Line, main: int) -> bool:
     return line.element in ROWS or any(x.split(" ", 1)[0] in ROWS for x in line.path[main:])
 
 
-def judge(page: Page, site: set[int], value: Values) -> tuple[int, int, int]:
-    """Words of sentences, of incoherent lines, and of all lines, in the main part of a page.
-
-    ``site`` has the hashes of lines that belong to the sites.
-    """
-    rows = []
-    for line in main_lines(page, site):
-        words = line.text.split(" ")
-        rows.append((line, words, list(zip(words, words[1:], strict=False))))
-    pairs = Counter(p for _, _, ps in rows for p in ps)
-    often = Counter(x for _, w, _ in rows for x in w)
-    least = max(TIMES, SHARE * sum(often.values()) + 1e-9)
-    much = {p for p, n in pairs.items() if n >= least}
-    good, bad_lines, rest = 0, [], []
-    known = value.pairs
-    inner = len(main_of(page))
-    for line, words, own_pairs in rows:
-        total, n = 0.0, 0
-        for ab in own_pairs:
-            v, a, b = known.get(ab) or value(ab)
-            if v:
-                total += v
-                n += 1
-            elif (a or (often[ab[0]] >= TIMES and max(ab[0]) < CYRILLIC)) and (b or (often[ab[1]] >= TIMES and max(ab[1]) < CYRILLIC)):
-                total += FLOOR  # rare names with letters beyond ASCII, and unknown Cyrillic words, say nothing
-                n += 1
-        excess = sum(p in much for p in own_pairs) if much else 0
-        own = line.own.count(" ") + 1 if line.own else 0
-        if not line.flags & ADDRESS and ((n and total >= 0 and excess < EXCESS * len(own_pairs)) or (not n and own)):
-            if own >= 4 and line.flags & ENDS:
-                good += len(words)
-            else:
-                rest.append((line, words))
-        else:
-            bad_lines.append((line, words, own, in_rows(line, inner)))
-    again = Counter(x for _, w, _, _ in bad_lines for x in w)
-    bad = 0
-    for line, words, own, row in bad_lines:
-        long = [x for x in words if len(x) > 2]
-        if own == 0 or not row or sum(again[x] >= TIMES for x in long) >= REPEATED * max(1, len(long)):
-            bad += len(words)
-        else:
-            rest.append((line, words))
-    # what the sites put between, and is no case, is not of the main part
-    every = good + bad + sum(len(w) for line, w in rest if mark(unit_of(line), LINE) not in site)
-    return good, bad, every
+class Judge:
+    """Judges pages by the corpus statistics; remembers hashes of words up to a bound."""
+
+    def __init__(self, stats: Stats):
+        self.stats = stats
+        self.hashes = Hashes()
+        #: half way from the corpus's mean to neighbours that never go together
+        self.least = (stats.mean + FLOOR) / 2
+
+    def lines(self, lines: list[Line]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per line: mean information of its neighbours, how many of them tell something, and the share of excessive ones."""
+        words: list[str] = []
+        at: list[int] = []
+        single = False
+        for i, line in enumerate(lines):
+            own = line.text.split(" ")
+            if words and not (len(own) == 1 and single):
+                words.append("")
+                at.append(i)
+            single = len(own) == 1
+            words += own
+            at += [i] * len(own)
+        k = len(lines)
+        h = self.hashes(words)
+        line = np.array(at, np.int64)
+        p = np.flatnonzero((h[:-1] != 0) & (h[1:] != 0))
+        keys = pair_hashes(h)[p]
+        value = self.stats.pair(keys)
+        # rare names with letters beyond ASCII, and unknown Cyrillic words, say nothing
+        distinct, which, often = np.unique(h, return_inverse=True, return_counts=True)
+        latin = np.fromiter((w.isascii() for w in words), bool, len(words))
+        other = np.flatnonzero(~latin)
+        tells = latin | self.stats.known(h)
+        for i in other[~tells[other]]:
+            tells[i] = often[which[i]] >= TIMES and max(words[i]) < CYRILLIC
+        tells = (tells[p] & tells[p + 1]) | (value > FLOOR)
+        _, same, times = np.unique(keys, return_inverse=True, return_counts=True)
+        much = (times >= max(TIMES, SHARE * np.count_nonzero(h) + 1e-9))[same] if len(keys) else np.zeros(0, bool)
+        # neighbours across lines count for both
+        a, b = line[p], line[p + 1]
+        across = a != b
+        both = np.concatenate([b, a[across]])
+        tells, value, much = (np.concatenate([x, x[across]]) for x in (tells, value, much))
+        n = np.bincount(both, tells, k)
+        mean = np.bincount(both, tells * value, k) / np.maximum(n, 1)
+        return mean, n, np.bincount(both, much, k) / np.maximum(np.bincount(both, minlength=k), 1)
+
+    def page(self, page: Page) -> tuple[int, int, int]:
+        """Letters of sentences, of incoherent lines, and of all lines, in the main part of a page."""
+        rows = main_lines(page)
+        if not rows:
+            return 0, 0, 0
+        inner = len(main_of(page))
+        good = bad = every = 0
+        for line, mean, n, excess in zip(rows, *(x.tolist() for x in self.lines(rows)), strict=True):
+            size = len(line.text)
+            every += size
+            own = line.own.count(" ") + 1 if line.own else 0
+            excessive = excess >= EXCESS
+            if excessive or (mean < self.least if n else not own):
+                # cells of rows outside links need not go together
+                if not own or excessive or not in_rows(line, inner):
+                    bad += size
+            elif own >= 4 and line.flags & ENDS:
+                good += size
+        return good, bad, every
 
 
 def is_spam(good: int, bad: int, every: int) -> bool:
-    """Whether more than the sentences, and enough of all words, are incoherent."""
+    """Whether more than the sentences, and enough of the main part, is incoherent."""
     return bad > good and bad > GREATER * every
 
 
 def spam_pages(docs: DataFrame, **names: str) -> DataFrame:
-    """``(fetch_id, sentence_words, incoherent_words, spam)`` of every page.
+    """``(fetch_id, sentence_letters, incoherent_letters, spam)`` of every page.
 
     Pages are HTML and plain text; other kinds, null and empty contents and rows
     with a null id have no row. Rows with one id come out once. Corpus counts are
     those of all different main parts.
     """
     rows = parsed(docs, **names)
-    shared = docs.sparkSession.sparkContext.broadcast(statistics(rows, units=False))  # size checked
+    shared = docs.sparkSession.sparkContext.broadcast(statistics(rows))  # size checked
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats = shared.value
-        value = Values(stats)
+        judge = Judge(shared.value)
         for b in slices(batches):
-            got = [(f, *judge(page, stats.lines, value)) for f, _, _, page in pages_of(b)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([is_spam(*g[1:]) for g in got], pa.bool_())], names=["fetch_id", "sentence_words", "incoherent_words", "spam"])
+            got = [(f, *judge.page(page)) for f, _, _, page in pages_of(b)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([is_spam(*g[1:]) for g in got], pa.bool_())], names=["fetch_id", "sentence_letters", "incoherent_letters", "spam"])
 
-    return rows.mapInArrow(find, "fetch_id bigint, sentence_words bigint, incoherent_words bigint, spam boolean").dropDuplicates(["fetch_id"])
+    return rows.mapInArrow(find, "fetch_id bigint, sentence_letters bigint, incoherent_letters bigint, spam boolean").dropDuplicates(["fetch_id"])
