@@ -35,6 +35,8 @@ RARE = 0.25
 SHARD = 300_000
 #: Most items; they are broadcast, so more is an error.
 MAX_ITEMS = 100_000
+#: Pairs of a hit and an item's phrase that are looked at together.
+TOGETHER = 2_000_000
 
 _WORDS = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff\ufe20-\ufe2f\u00ad\u200b-\u200f\u2060\ufeff]+")
@@ -52,17 +54,24 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Items:
-    """Items as sequences of word numbers, with their distinct phrases."""
+    """Texts of items as sequences of word numbers, with their distinct phrases.
 
-    ids: list[int]
+    Items of one text are one entry; ``ids`` has the ids of each.
+    """
+
+    ids: list[list[int]]
     words: list[np.ndarray]
     whole: list[bool]
     numbers: dict[str, int]
 
     def __post_init__(self) -> None:
         grams: dict[tuple, list[tuple[int, int]]] = {}
+        #: texts shorter than a phrase: length -> numbers of the texts
+        self.short: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
             t = w.tolist()
+            if len(t) < PHRASE:
+                self.short.setdefault(len(t), []).append(i)
             for p in range(len(t) - PHRASE + 1):
                 grams.setdefault(tuple(t[p : p + PHRASE]), []).append((i, p))
         self.phrases = np.array(list(grams), np.int64).reshape(-1, PHRASE)
@@ -76,30 +85,32 @@ class Items:
         self._first = np.searchsorted(self.item[self._order], np.arange(len(self.words) + 1))
 
     def of(self, i: int) -> np.ndarray:
-        """Numbers of the phrases of item ``i``."""
+        """Numbers of the phrases of text ``i``."""
         return self._phrase[self._first[i] : self._first[i + 1]]
 
+    def of_short(self, i: int) -> int:
+        """Number that stands for text ``i`` as a phrase of its own."""
+        return len(self.phrases) + i
+
 
 def load_items(items: DataFrame, most: int = MAX_ITEMS) -> Items:
     """Passages (or questions, where the passage is null) as :class:`Items`.
 
-    Items without an id, with fewer than ``LEAST`` words in the passage, with
-    neither passage nor question, or shorter than a phrase cannot be found and are
-    left out. Word 1 stands for all words that no item has, 2 ends a document.
+    Items without an id, with fewer than ``LEAST`` words in the passage, or with
+    neither passage nor question, cannot be found and are left out; a question may
+    be of any length. Word 1 stands for all words that no item has, 2 ends a document.
     """
     rows = items.select("item_id", "passage", "question").where("item_id is not null").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} items; search them in parts")
     numbers: dict[str, int] = {}
-    ids, words, whole = [], [], []
+    texts: dict[tuple[bool, tuple[int, ...]], set[int]] = {}
     for r in sorted({(r.item_id, r.passage, r.question) for r in rows}, key=repr):
         w = words_of(r[1] if r[1] is not None else r[2] or "")
-        if len(w) < (LEAST if r[1] is not None else PHRASE):
+        if len(w) < (LEAST if r[1] is not None else 1):
             continue
-        ids.append(r[0])
-        words.append(np.array([numbers.setdefault(x, len(numbers) + 3) for x in w], np.int64))
-        whole.append(r[1] is None)
-    return Items(ids, words, whole, numbers)
+        texts.setdefault((r[1] is None, tuple([numbers.setdefault(x, len(numbers) + 3) for x in w])), set()).add(r[0])
+    return Items([sorted(v) for v in texts.values()], [np.array(w, np.int64) for _, w in texts], [q for q, _ in texts], numbers)
 
 
 def align(item: list[int], doc: list[int], whole: bool, seeds: list[tuple[int, int]]) -> tuple[int, int] | None:
@@ -113,8 +124,12 @@ def align(item: list[int], doc: list[int], whole: bool, seeds: list[tuple[int, i
     if whole:
         most = n // PER_EDIT
         best = None
+        tried: list[int] = []
         for p, q in seeds:
-            lo, hi = max(0, q - p - most), min(m, q - p + n + most)
+            if any(abs(q - p - d) <= most for d in tried):
+                continue  # the window tried has it whole
+            tried.append(q - p)
+            lo, hi = max(0, q - p - 2 * most), min(m, q - p + n + 2 * most)
             # edit distance of the whole item to any part of the window
             part = doc[lo:hi]
             prev = [(0, j) for j in range(len(part) + 1)]
@@ -210,47 +225,77 @@ class Found:
 
 
 def search_shard(index: FMIndex, text: np.ndarray, starts: np.ndarray, items: Items) -> Found:
-    """What repeats items in one shard, common or not."""
+    """What repeats items in one shard, common or not.
+
+    Hits are paired with the items that have their phrase by blocks of documents,
+    so that phrases of many items, found often, do not fill the memory.
+    """
     none = np.zeros(0, np.int64)
+    out = Found([], [], [], none, none)
+    ends = np.append(starts[1:], len(text))
+    for length, own in items.short.items():
+        lo, hi = index.search(np.array([items.words[i] for i in own], np.int64).reshape(-1, length))
+        some = np.flatnonzero(hi > lo)
+        out.phrases = np.append(out.phrases, [items.of_short(own[k]) for k in some]).astype(np.int64)
+        out.counts = np.append(out.counts, hi[some] - lo[some]).astype(np.int64)
+        for k in some.tolist():
+            place = np.sort(index.locate(np.arange(lo[k], hi[k])))
+            docs, first, times = np.unique(np.searchsorted(starts, place, side="right") - 1, return_index=True, return_counts=True)
+            for d, at, n in zip(docs.tolist(), place[first].tolist(), times.tolist(), strict=True):
+                out.stretches.append((d, own[k], at - int(starts[d]), at - int(starts[d]) + length))
+                out.inside.append([])
+                out.held.append([items.of_short(own[k])])
     if not len(items.phrases):
-        return Found([], [], [], none, none)
+        return out
     lo, hi = index.search(items.phrases)
     found = np.flatnonzero(hi > lo)
     n = hi[found] - lo[found]
+    out.phrases, out.counts = np.append(out.phrases, found), np.append(out.counts, n)
     at = np.repeat(lo[found] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     place = index.locate(at)
     phrase = np.repeat(found, n)
+    order = np.argsort(place)
+    place, phrase = place[order], phrase[order]
+    hit_doc = np.searchsorted(starts, place, side="right") - 1
     uses = items.starts[phrase + 1] - items.starts[phrase]
+    size = np.array([len(w) for w in items.words])
+    whole = np.array(items.whole, bool)
+    # blocks of whole documents with a bounded number of pairs
+    last = np.flatnonzero(np.append(hit_doc[1:] != hit_doc[:-1], True)) + 1 if len(hit_doc) else none
+    sums = np.concatenate([[0], np.cumsum(uses)])
+    a = 0
+    while a < len(place):
+        b = int(last[max(np.searchsorted(sums[last], sums[a] + TOGETHER, side="right") - 1, np.searchsorted(last, a, side="right"))])
+        _pair(place[a:b], phrase[a:b], uses[a:b], text, starts, ends, items, size, whole, out)
+        a = b
+    return out
+
+
+def _pair(place: np.ndarray, phrase: np.ndarray, uses: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: Items, size: np.ndarray, whole: np.ndarray, out: Found) -> None:
+    """Add the stretches of the documents with the hits ``place``, in order, of ``phrase``."""
     k = np.repeat(items.starts[phrase] - np.concatenate([[0], np.cumsum(uses)[:-1]]), uses) + np.arange(uses.sum())
-    out = Found([], [], [], found, n)
-    by_place = np.argsort(place)
     where = np.repeat(place, uses)
     doc = np.searchsorted(starts, where, side="right") - 1
     item, ip = items.item[k], items.place[k]
     dp = where - starts[doc]
-    size = np.array([len(w) for w in items.words])
-    keep = dense(doc, item, ip, dp, size, np.array(items.whole, bool))
+    keep = dense(doc, item, ip, dp, size, whole)
+    if not len(keep):
+        return
     doc, item, ip, dp = doc[keep], item[keep], ip[keep], dp[keep]
-    if not len(doc):
-        return out
     order = np.lexsort((dp, ip, item, doc))
     doc, item, ip, dp = doc[order], item[order], ip[order], dp[order]
     begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
-    end = np.append(begin[1:], len(doc))
-    ends = np.append(starts[1:], len(text))
-    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+    for a, b in zip(begin.tolist(), np.append(begin[1:], len(doc)).tolist(), strict=True):
         d, i = int(doc[a]), int(item[a])
         own = text[starts[d] : ends[d]]
         got = align(items.words[i].tolist(), own.tolist(), items.whole[i], list(zip(ip[a:b].tolist(), dp[a:b].tolist(), strict=True)))
         if got:
+            lo, hi = np.searchsorted(place, [starts[d], ends[d]])
+            mine = np.isin(phrase[lo:hi], items.of(i))
+            here, at = phrase[lo:hi][mine], place[lo:hi][mine] - starts[d]
             out.stretches.append((d, i, got[0], got[1]))
-            lo, hi = np.searchsorted(place, [starts[d], ends[d]], sorter=by_place)
-            here = by_place[lo:hi]
-            here = here[np.isin(phrase[here], items.of(i))]
-            at = place[here] - starts[d]
-            out.inside.append(phrase[here].tolist())
-            out.held.append(phrase[here[(at >= got[0]) & (at + PHRASE <= got[1])]].tolist())
-    return out
+            out.inside.append(here.tolist())
+            out.held.append(here[(at >= got[0]) & (at + PHRASE <= got[1])].tolist())
 
 
 def uncommon(parts: DataFrame) -> DataFrame:
@@ -258,16 +303,21 @@ def uncommon(parts: DataFrame) -> DataFrame:
 
     At least ``RARE`` of a leak's phrases hardly occur in all documents outside those
     found with the item, however many these are. Other items with the same words
-    do not matter.
+    do not matter. A question shorter than a phrase is a phrase of its own, which must
+    be rare in all documents.
     """
     counts = parts.where("kind = 1").groupBy("phrase").agg(F.sum("n").alias("n"))
     words = parts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
     found = parts.where("kind = 0")
     inside = found.select("item", F.explode("inside").alias("phrase")).groupBy("item", "phrase").agg(F.count("*").alias("own"))
     bound = F.greatest(F.lit(float(COMMON_LEAST)), COMMON * F.col("words"))
-    rare = inside.join(counts, "phrase").crossJoin(F.broadcast(words)).select("item", "phrase", (F.col("n") - F.col("own") <= bound).cast("int").alias("rare"))
-    share = found.select("row", "item", F.explode("held").alias("phrase")).join(rare, ["item", "phrase"]).groupBy("row").agg(F.avg("rare").alias("share"))
-    return found.join(share.where(F.col("share") >= RARE), "row").select("doc_id", "item_id", "start", "end")
+    held = found.select("row", "item", F.explode("held").alias("phrase"))
+    # a short question is held by its documents without being inside
+    every = inside.unionByName(held.select("item", "phrase").distinct().join(inside, ["item", "phrase"], "left_anti").withColumn("own", F.lit(0).cast("long")))
+    rare = every.join(counts, "phrase").crossJoin(F.broadcast(words)).select("item", "phrase", (F.col("n") - F.col("own") <= bound).cast("int").alias("rare"))
+    share = held.join(rare, ["item", "phrase"]).groupBy("row").agg(F.avg("rare").alias("share"))
+    leaks_ = found.join(share.where(F.col("share") >= RARE), "row").select("doc_id", F.explode("item_ids").alias("item_id"), "start", "end")
+    return leaks_
 
 
 def _need(words: int) -> int:
@@ -315,7 +365,7 @@ def dense(doc: np.ndarray, item: np.ndarray, ip: np.ndarray, dp: np.ndarray, siz
     return np.flatnonzero(keep)
 
 
-_SCHEMA = "kind int, row bigint, doc_id bigint, item_id bigint, item bigint, start bigint, end bigint, inside array<bigint>, held array<bigint>, phrase bigint, n bigint"
+_SCHEMA = "kind int, row bigint, doc_id bigint, item_ids array<bigint>, item bigint, start bigint, end bigint, inside array<bigint>, held array<bigint>, phrase bigint, n bigint"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 _TYPES = [pa.int32()] + [pa.list_(pa.int64()) if "array" in x else pa.int64() for x in _SCHEMA.split(", ")[1:]]
 

@@ -109,3 +109,32 @@ def test_items_that_share_a_passage_and_copies_of_a_shorter_overlap(spark):
     found = leakage.leaks(df, items)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (1, 2), (3, 1), (3, 2), (2, 3), (2, 4)}
     assert {tuple(r) for r in leakage.leaks(df, items, shard=50).collect()} == {tuple(r) for r in found.collect()}
+
+
+def test_items_over_one_vocabulary_in_any_shard(spark):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(500)]
+    passages = {i: [rng.choice(vocabulary) for _ in range(40)] for i in range(300)}
+    rows = [(i, " ".join(w), None) for i, w in passages.items()] + [(1000 + i, " ".join(w), None) for i, w in passages.items()]
+    items = leakage.load_items(spark.createDataFrame(rows, "item_id long, passage string, question string"))
+    docs = spark.createDataFrame([(i, " ".join([rng.choice(vocabulary) for _ in range(30)] + w)) for i, w in passages.items()], "doc_id long, text string")
+    want = {(i, i) for i in passages} | {(i, 1000 + i) for i in passages}
+    for shard in (3_000, 300_000):
+        assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items, shard=shard).collect()} == want
+
+
+def test_short_questions(spark):
+    rows = [(1, None, "Quid novi?"), (2, None, "Why"), (3, None, ""), (4, None, "Ubi est Roma")]
+    items = leakage.load_items(spark.createDataFrame(rows, "item_id long, passage string, question string"))
+    docs = {1: "so quid novi then", 2: "ubi est, Roma! ubi est roma", 3: "ubi est"} | {10 + i: f"why not {i}" for i in range(20)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.start, r.end) for r in leakage.leaks(df, items).collect()} == {(1, 1, 1, 3), (2, 4, 0, 3)}
+
+
+def test_phrase_of_many_items_found_often(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "TOGETHER", 500)
+    opening = "read the text below and then answer".split()
+    items = leakage.load_items(spark.createDataFrame([(i, " ".join(opening + [f"i{i}w{k}" for k in range(20)]), None) for i in range(200)], "item_id long, passage string, question string"))
+    rows = [(i, " ".join(opening + [f"i{i}w{k}" for k in range(20)])) for i in range(0, 200, 10)] + [(1000 + i, " ".join(opening)) for i in range(300)]
+    got = leakage.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i) for i in range(0, 200, 10)}
