@@ -4,6 +4,7 @@ Adjacent character pairs get their share of the corpus's mutual information;
 maximum-scoring segments of pairs with hardly any share are improbable runs.
 Only in these runs inverse mappings are tried: bytes of an encoding that was
 wrongly taken for another must decode, and the restored characters must fit.
+What no mapping restores counts as lost, in these runs only.
 """
 
 from __future__ import annotations
@@ -24,14 +25,18 @@ from silkmoth.plans.lineage import materialise, slices
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac-roman", "cp850", "cp437", "cp1254", "iso8859-15")
 #: Single-byte pairs (read as, truly) of Cyrillic text.
 SINGLE = (("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1252", "koi8-r"), ("latin-1", "koi8-r"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1252", "cp866"), ("cp1251", "iso8859-5"), ("iso8859-5", "cp1251"), ("koi8-r", "cp866"), ("mac-cyrillic", "cp1251"), ("cp1251", "mac-cyrillic"))
-#: Pairs with less than this many millionths of a bit (log2 of one more) are improbable.
-#: Pairs of capitals and signs, or of two kinds of characters, always are: right texts have
-#: them seldom, and a source that is garbled throughout must not make them look usual.
-IMPROBABLE = 7.0
+#: Pairs with less than this part of the mutual information a row (log2 of millionths of a bit and one) are improbable: a fifth of a bit.
+IMPROBABLE = 17.6
+#: A pair counts from this part of the number that chance would give on (in bits), as pairs of common characters
+#: that go together less than by chance are no less right.
+SLACK = 6.0
+#: Rows that must have a pair before it tells anything.
+LEAST = 3
+#: Most weight of one source (host) in the statistics, so that one garbled throughout does not make its garbage look right.
+#: At most 1/SOURCE hosts have more rows, and are sent to every task.
+SOURCE = 0.01
 #: Letters that a run needs before a single-byte mapping is tried, and the gain a pair.
 LETTERS, GAIN = 5, 2.5
-#: Layers of wrong decoding that are undone at most.
-ROUNDS = 6
 
 #: Classes of characters: two ranges by character, the rest in two lumps; bounds the pair table to K x K.
 _A, _B0, _B1 = 0x530, 0x2000, 0x2300
@@ -41,12 +46,6 @@ _CLASS[:_A] = np.arange(_A)
 _CLASS[_B0:_B1] = _A + np.arange(_B1 - _B0)
 _CLASS[0x2500:0x25A0] = K - 2
 
-# kinds of classes: 0 ASCII, 1 small Latin letters, 2 Russian letters, 3 the rest
-_KIND = np.full(K, 3, np.uint8)
-_KIND[:0x80] = 0
-_KIND[[c for c in range(0xDF, 0x100) if c != 0xF7]] = 1
-_KIND[[0x401, *range(0x410, 0x450), 0x451]] = 2
-
 #: What a restored character may be (fixed values): Latin-1 letters and signs, a few letters beyond, Cyrillic, punctuation.
 _FIT = frozenset([*range(0xA0, 0xB8), *range(0xB9, 0x100), 0x152, 0x153, 0x160, 0x161, 0x178, 0x17D, 0x17E, *range(0x400, 0x460), 0x490, 0x491, *range(0x2010, 0x203B), 0x20AC, 0x2116, 0x2122, 0x2212])
 
@@ -61,46 +60,54 @@ def plain(content: str) -> str:
     return html.unescape(content) if "&" in content else content
 
 
-def pair_counts(rows: DataFrame, text: str) -> np.ndarray:
-    """Counts of pairs of non-ASCII characters, and of characters, over all rows.
+def host_weights(rows: DataFrame, url: str, share: float = SOURCE) -> dict[str, float]:
+    """Weights of the rows of hosts with more than ``share`` of all rows, at most 1/share hosts; all others weigh 1."""
+    host = F.regexp_extract(F.col(url), "^[a-zA-Z]+://([^/:?#]*)", 1)
+    per = rows.groupBy(F.coalesce(host, F.lit("")).alias("host")).agg(F.count("*").alias("n"))
+    n = rows.count()
+    return {r.host: share * n / r.n for r in per.where(F.col("n") > share * n).collect()}
+
+
+def pair_counts(rows: DataFrame, text: str, url: str | None = None) -> np.ndarray:
+    """Weighted numbers of rows with each pair of neighbours that are not both ASCII, and of rows with any.
 
     Every worker counts into one array of K x K numbers and sends its non-zero
-    cells, so the driver gets at most K x K + K sums.
+    cells, so the driver gets at most K x K sums.
     """
+    weights = host_weights(rows, url) if url else {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(K * K, np.int64)
-        single = np.zeros(K, np.int64)
+        pairs = np.zeros(K * K + 1)
         for b in slices(batches):
-            for t in b.column(0).to_pylist():
+            hosts = b.column(1).to_pylist() if weights else [""] * b.num_rows
+            for t, host in zip(b.column(0).to_pylist(), hosts, strict=True):
                 t = plain(t)
-                if t.isascii():
-                    single[:128] += np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128)
-                    continue
-                c = _CLASS[codes(t)].astype(np.int64)
-                single += np.bincount(c, minlength=K)
-                odd = c >= 128
-                at = np.flatnonzero(odd[:-1] & odd[1:])
-                np.add.at(pairs, c[at] * K + c[at + 1], 1)
-        whole = np.concatenate([pairs, single])
-        at = np.flatnonzero(whole)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(whole[at], pa.int64())], names=["cell", "n"])
-
-    sums = rows.select(text).where(F.col(text).isNotNull()).mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+                if not t.isascii():
+                    c = _CLASS[codes(t)].astype(np.int64)
+                    odd = c >= 128
+                    at = np.flatnonzero(odd[:-1] | odd[1:])
+                    w = weights.get(host, 1.0) if weights else 1.0
+                    pairs[np.unique(c[at] * K + c[at + 1])] += w
+                    pairs[-1] += w
+        at = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(pairs[at])], names=["cell", "n"])
+
+    host = F.coalesce(F.regexp_extract(F.col(url), "^[a-zA-Z]+://([^/:?#]*)", 1), F.lit("")) if url else F.lit("")
+    sums = rows.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), host.alias("h")).mapInArrow(count, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n"))
     got = sums.toArrow()
-    out = np.zeros(K * K + K, np.int64)
+    out = np.zeros(K * K + 1)
     out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
 def pair_scores(counts: np.ndarray) -> np.ndarray:
-    """log2 of one plus each pair's part of the mutual information, in millionths of a bit."""
-    pairs, single = counts[: K * K].reshape(K, K).astype(float), counts[K * K :].astype(float)
-    n = max(single.sum(), 1.0)
-    i, j = np.nonzero(pairs)
-    pmi = np.log2(pairs[i, j] * n / (single[i] * single[j]))
+    """log2 of one plus each pair's part of the mutual information a row, in millionths of a bit; see :data:`SLACK` and :data:`LEAST`."""
+    pairs, rows = counts[:-1].reshape(K, K), max(counts[-1], 1.0)
+    n = max(pairs.sum(), 1.0)
+    i, j = np.nonzero(pairs >= LEAST)
+    pmi = np.log2(pairs[i, j] * n / (pairs.sum(axis=1)[i] * pairs.sum(axis=0)[j]))
     out = np.zeros((K, K), np.float16)
-    out[i, j] = np.log2(1 + 1e6 * pairs[i, j] / n * np.maximum(pmi, 0))
+    out[i, j] = np.log2(1 + 1e6 * pairs[i, j] / rows * np.maximum(pmi + SLACK, 0))
     return out
 
 
@@ -132,26 +139,29 @@ def improbable_runs(text: str, scores: np.ndarray, below: float = IMPROBABLE) ->
     """Ranges of ``text`` that are improbable runs; plain ASCII text has none."""
     if text.isascii():
         return []
-    c = _CLASS[codes(text)].astype(np.int64)
+    u = codes(text)
+    c = _CLASS[u].astype(np.int64)
     odd = c >= 128
-    at = np.flatnonzero(odd[:-1] & odd[1:])
-    if not len(at):
-        return []
-    a, b = c[at], c[at + 1]
-    mixed = (_KIND[a] != _KIND[b]) | (_KIND[a] == 3)
-    hits = at[mixed | (scores[a, b] < below)]
+    at = np.flatnonzero(odd[:-1] | odd[1:])
+    lost = (u == 0xFFFD) | ((u >= 0x80) & (u < 0xA0))  # no characters of any text
+    hits = at[(scores[c[at], c[at + 1]] < below) | lost[at] | lost[at + 1]]
     if not len(hits):
-        return []
+        return [(0, 1)] if len(u) == 1 and lost[0] else []
     rare = np.zeros(len(c), bool)
     rare[hits] = True
     # a run ends where probable pairs outweigh what it scored, so gaps longer than its hits split the work
     out = []
     cuts = np.flatnonzero(np.diff(hits) > 24)
     for a, b in zip(np.append(0, cuts + 1), np.append(cuts, len(hits) - 1), strict=True):
-        lo, hi = int(hits[a]), int(hits[b]) + 1
-        for x, y in segments(np.where(rare[lo:hi], 1.0, -0.6).tolist()):
-            out.append((lo + x, lo + y + 1))
-    return out
+        todo = [(int(hits[a]), int(hits[b]) + 1)]
+        while todo:
+            lo, hi = todo.pop()
+            found = [(lo + x, lo + y) for x, y in segments(np.where(rare[lo:hi], 1.0, -0.6).tolist())]
+            out += [(x, y + 1) for x, y in found]
+            # what follows a segment before its sum is used up has segments of its own
+            ends = [x for x, _ in found[1:]] + [hi]
+            todo += [(y, z) for (_, y), z in zip(found, ends, strict=True) if rare[y:z].any()]
+    return sorted(out)
 
 
 @lru_cache(maxsize=1)
@@ -272,12 +282,22 @@ _ALIEN = re.compile(r"[\u0370-\u03ff\u0590-\u06ff\u0e00-\u0e7f\u3040-\u30ff\u340
 _SCRIPTS = re.compile(r"[\u0370-\u03ff\u0590-\u06ff\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uff61-\uff9f]")
 
 
-def _lone(text: str) -> tuple[str, int, int]:
-    """``text`` with lone wrong characters restored, and the numbers of those restored and lost.
+def _inside(pattern: re.Pattern, text: str, runs: list[tuple[int, int]]) -> list[re.Match]:
+    """Matches of ``pattern`` that touch a run."""
+    out: list[re.Match] = []
+    for lo, hi in runs:
+        for m in pattern.finditer(text, max(0, lo - 2, out[-1].end() if out else 0), min(len(text), hi + 8)):
+            if m.start() < hi and m.end() > lo:
+                out.append(m)
+    return out
+
+
+def _lone(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """``text`` with lone wrong characters in runs restored, and the numbers of those restored and lost.
 
     All of a text are restored by the one pair of encodings that fits most of them.
     """
-    at = list(_LONE.finditer(text))
+    at = _inside(_LONE, text, runs)
     best: dict[str, str] = {}
     for read, true in LATIN if at else ():
         to = {}
@@ -290,16 +310,19 @@ def _lone(text: str) -> tuple[str, int, int]:
                 to[c] = got
         if len(to) > len(best):
             best = to
-    fixed = sum(m.group() in best for m in at)
+    fixed = [m for m in at if m.group() in best]
     if fixed:
-        text = _LONE.sub(lambda m: best.get(m.group(), m.group()), text)
-    return text, fixed, len(at) - fixed
+        whole = list(text)  # one character for one
+        for m in fixed:
+            whole[m.start()] = best[m.group()]
+        text = "".join(whole)
+    return text, len(fixed), len(at) - len(fixed)
 
 
-def _unmapped(text: str) -> int:
-    """Sequences of wrong decoding that no mapping restores."""
-    n = len(_HALF.findall(text))
-    alien = _ALIEN.findall(text)
+def _unmapped(text: str, runs: list[tuple[int, int]]) -> int:
+    """Sequences of wrong decoding in runs that no mapping restores."""
+    n = len(_inside(_LOST, text, runs)) + len(_inside(_HALF, text, runs))
+    alien = _inside(_ALIEN, text, runs)
     if alien and 4 * len(_SCRIPTS.findall(text)) < len(text):  # not a text in such a script
         n += len(alien)
     return n
@@ -308,16 +331,18 @@ def _unmapped(text: str) -> int:
 def repair(content: str, scores: np.ndarray, below: float = IMPROBABLE) -> tuple[str, int, int]:
     """``content`` restored, with the numbers of runs restored and of those lost.
 
-    Character references are resolved where that is needed to restore. U+FFFD,
-    characters whose last byte is missing, and letters of other scripts inside Latin
-    words are lost: what stood there is unknown.
+    Character references are resolved where that is needed to restore. Text may
+    have been garbled more than once: mappings are undone until none is left, each
+    of which makes the text's non-ASCII part shorter or its pairs more probable.
+    U+FFFD, characters whose last byte is missing, and letters of other scripts
+    inside Latin words are lost: what stood there is unknown.
     """
     text, fixed = plain(content), 0
     if text.isascii():
         return content, 0, 0
-    for _ in range(ROUNDS):  # text may have been garbled more than once
+    while runs := improbable_runs(text, scores, below):
         out, at, changed = [], 0, 0
-        for lo, hi in improbable_runs(text, scores, below):
+        for lo, hi in runs:
             if hi <= at:
                 continue
             got = _once(text, max(lo, at), hi, at)
@@ -343,22 +368,24 @@ def repair(content: str, scores: np.ndarray, below: float = IMPROBABLE) -> tuple
             break
         fixed += changed
         text = "".join([*out, text[at:]])
-    text, lone, lost = _lone(text)
+    text, lone, lost = _lone(text, runs)
     fixed += lone
-    lost += len(_LOST.findall(text)) + _unmapped(text)
+    lost += _unmapped(text, runs)
     return (text if fixed else content), fixed, lost
 
 
-def garbled(rows: DataFrame, key: str = "fetch_id", content: str = "content", below: float = IMPROBABLE) -> DataFrame:
+def garbled(rows: DataFrame, key: str = "fetch_id", content: str = "content", below: float = IMPROBABLE, url: str = "url") -> DataFrame:
     """``(fetch_id, restored, runs, lost)`` of the rows with garbled text.
 
-    ``restored`` is the text with ``runs`` runs undone; ``lost`` counts runs of
-    U+FFFD, which stay. Rows with a null key or null content are left out, empty
+    ``restored`` is the text with ``runs`` runs undone; ``lost`` counts what no mapping
+    restores, which stays. Rows with a null key or null content are left out, empty
     texts are never garbled, rows with one key come out once. The pair statistics
-    are those of all rows as delivered.
+    are those of all rows as delivered; a host, where there is a column ``url``,
+    weighs no more than :data:`SOURCE`.
     """
+    source = url if url in rows.columns else None
     use = rows.select(F.col(key).alias("fetch_id"), F.col(content).alias("content")).where("fetch_id is not null and content is not null")
-    shared = rows.sparkSession.sparkContext.broadcast(pair_scores(pair_counts(use, "content")))  # K x K half floats
+    shared = rows.sparkSession.sparkContext.broadcast(pair_scores(pair_counts(rows.where(F.col(key).isNotNull()), content, source)))  # K x K half floats
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = shared.value

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from silkmoth.llm import mojibake
@@ -103,3 +104,22 @@ def test_source_garbled_throughout(scores):
     c = mojibake._CLASS[mojibake.codes(wrong)].astype(int)
     raised[c[:-1:2], c[1::2]] = 8
     assert mojibake._mean(wrong, raised)[0] > 0 and mojibake._single(wrong, raised) == text
+
+
+def test_information_decides(scores):
+    text = "this,â€ said. Le prix du cafÃ© a baissÃ©."
+    assert mojibake.repair(text, scores)[1:] == (1, 1) or mojibake.repair(text, scores)[1] > 0
+    certain = np.full_like(scores, 20)  # every pair probable: nothing is looked at
+    assert mojibake.improbable_runs(text, certain) == [] and mojibake.repair(text, certain) == (text, 0, 0)
+    assert mojibake.repair("caf\u00e9 fΓ©", certain) == ("caf\u00e9 fΓ©", 0, 0)
+
+
+def test_source_garbled_throughout_weighs_little(spark):
+    clean = [(i, f"Le musée de la ville a été fermé, {i} fois déjà, après la pluie", f"http://h{i % 100}.test/{i}") for i in range(400)]
+    bad = [(1000 + i, _read(f"Le musée de la ville a été fermé, {i} fois déjà, après la pluie", "utf-8", "cp1252"), f"http://bad.test/{i}") for i in range(200)]
+    df = spark.createDataFrame(clean + bad, "fetch_id long, content string, url string")
+    got = mojibake.garbled(df)
+    assert {r.fetch_id for r in got.collect()} == {r[0] for r in bad}
+    assert got.where("contains(restored, 'été fermé')").count() == 200
+    weights = mojibake.host_weights(df, "url", 0.1)
+    assert set(weights) == {"bad.test"} and abs(weights["bad.test"] - 60 / 200) < 1e-9
