@@ -14,12 +14,23 @@ def test_share_out():
 
 
 def test_siblings_take_before_ancestors():
-    root = mixing.build_tree([(("a", "en"), 10), (("a", "de"), 10), (("b", "en"), 1000)], {"a": 0.5, "b": 0.5}, {"a": 2, "b": 1})
+    root = mixing.build_tree([(("a", "en"), 10), (("a", "de"), 10), (("b", "en"), 1000)], {"a": 0.5, "b": 0.5}, {"a": 2, "b": 1}, 200)
     mixing.set_budgets(root, 200)
     a, b = root.children["a"], root.children["b"]
     assert (a.budget, b.budget) == (40, 160) and a.wanted == 100 and [c.budget for c in a.children.values()] == [20, 20]
 
 
+def test_shortage_stays_below_its_ancestor():
+    leaves = [(("web", "en", "a"), 10), (("web", "de", "b"), 500), (("books", "en", "a"), 90), (("books", "en", "b"), 500)]
+    root = mixing.build_tree(leaves, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 1}, 400, at=2)
+    mixing.set_budgets(root, 400)
+    web, books = root.children["web"], root.children["books"]
+    # source a wants 20 and 180 of the domains and has 10 and 90; each domain's shortage is taken inside the domain
+    assert (web.wanted, books.wanted) == (120, 280) and (web.budget, books.budget) == (120, 280)
+    assert web.children["en"].budget == 10 and web.children["de"].budget == 110
+    assert {k: c.budget for k, c in books.children["en"].children.items()} == {"a": 90, "b": 190}
+
+
 DOCS = "doc_id long, text string, lang string, source string, size string, repeats string"
 
 
@@ -49,7 +60,7 @@ def test_prefix_is_seeded_and_within_budget(spark):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
     sizes = mixing.sized(docs, mixing.word_size(F.col("text")))
     plan = mixing.plan_mix(sizes, _targets(spark, [("s", 0.35, 1)]))
-    plan.root.children["s"].children["en"].budget = 700.0
+    plan.root.children["s"].children[""].children["en"].budget = 700.0
     one, two = (sorted(r.doc_id for r in mixing.select_mix(sizes, plan, seed).collect()) for seed in (1, 1))
     assert one == two and len(one) == 350
     assert one != sorted(r.doc_id for r in mixing.select_mix(sizes, plan, 2).collect())
@@ -71,3 +82,33 @@ def test_empty_and_too_many(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_LEAVES", 1)
     with pytest.raises(ValueError, match="leaves"):
         mixing.plan_mix(mixing.sized(_docs(spark), mixing.word_size(F.col("text"))), _targets(spark, [("a", 0.5, 1)]))
+
+
+def test_no_document_is_used_more_often_than_its_cap(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, "", "en", "s"), (3, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    sizes = mixing.sized(docs, mixing.word_size(F.col("text")))
+    rows = mixing.select_mix(sizes, mixing.plan_mix(sizes, _targets(spark, [("s", 5.0, 2)]))).collect()
+    assert {(r.doc_id, r.repeats) for r in rows} == {(1, 2), (2, 2), (3, 2)}
+
+
+def test_levels_are_a_parameter(spark):
+    rows = [(i, "a b c d", "en" if i % 2 else "de", f"s{i % 3}", f"h{i % 5}.{'test' if i % 4 else 'example'}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, host string")
+    sizes = mixing.sized(docs, mixing.word_size(F.col("text")), half=F.col("doc_id") % 2)
+    targets = _targets(spark, [("s0", 0.5, 2), ("s1", 0.3, 2), ("s2", 0.2, 2)])
+    for levels in (("source",), ("domain", "lang", "source"), ("lang", "source", "half")):
+        plan = mixing.plan_mix(sizes, targets, levels)
+        report = {r.source: (r.share, r.short) for r in plan.report(spark).collect()}
+        assert all(abs(report[k][0] - w) < 1e-9 and not report[k][1] for k, w in (("s0", 0.5), ("s1", 0.3), ("s2", 0.2)))
+        got = {}
+        for r in mixing.select_mix(sizes, plan).collect():
+            got[r.source] = got.get(r.source, 0) + r.size * r.repeats
+        assert all(abs(got[k] - w * 960) <= 4 * len(plan.every()) for k, w in (("s0", 0.5), ("s1", 0.3), ("s2", 0.2)))
+
+
+def test_short_comes_from_the_budgets(spark):
+    sizes = mixing.sized(_docs(spark), mixing.word_size(F.col("text")))
+    plan = mixing.plan_mix(sizes, _targets(spark, [("news", 0.5, 2), ("blog", 0.02, 3)]))
+    for _, leaf in plan.every():
+        leaf.budget = leaf.capacity = 1e9
+    assert not any(r.short for r in plan.report(spark).collect())
