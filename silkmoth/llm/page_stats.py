@@ -27,6 +27,8 @@ SEEN, SEEN_LEAST = 0.0002, 3
 WELL = 10
 #: Information of neighbours that the corpus never has together; it lies between -1 and 1.
 FLOOR = -1.0
+#: Rows that are copies whose numbers are sent to every task (eight bytes each); more are joined.
+MAX_COPIES = 2_000_000
 #: Hashes a worker holds before it sends its counts.
 FLUSH = 600_000
 #: Most qualifying hashes that are broadcast (twelve bytes each); more is an error, as it is far beyond the bounds above.
@@ -37,7 +39,8 @@ _MASK = (1 << 63) - 1
 # a pair is told by the low bits of its words' hashes
 _LOW, _HIGH = (1 << 32) - 1, (1 << 31) - 1
 
-SCHEMA = "fetch_id bigint, url string, host string, html boolean, head int, lines binary, row bigint, body bigint"
+SCHEMA = "fetch_id bigint, url string, host string, html boolean, head int, lines binary, row bigint, body bigint, kind byte, h bigint, n bigint"
+_COUNTS = "kind byte, h bigint, n bigint"
 
 
 def normal(low: str) -> str:
@@ -59,37 +62,6 @@ def mark(text: str, kind: int) -> int:
     return xxhash.xxh3_64_intdigest(text, seed=kind) & _MASK
 
 
-def parsed(docs: DataFrame, key: str = "fetch_id", url: str = "url", mime: str = "mime", content: str = "content") -> DataFrame:
-    """One row per HTML or plain text page with its visible lines; written once.
-
-    Rows with a null key or content, empty contents and other kinds of documents
-    have no row. Redelivered rows stay. ``row`` numbers the rows, ``body`` is the
-    same for copies of one main part.
-    """
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        n = (task.partitionId() if task else 0) << 36
-        for b in slices(batches):
-            at, pages = [], []
-            for i, (m, c) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                if is_page(m, c):
-                    at.append(i)
-                    pages.append(parse(c, m))
-            take = pa.array(at, pa.int64())
-            urls = b.column(1).take(take)
-            no = pa.array(range(n, n + len(at)), pa.int64())
-            n += len(at)
-            hosts = [re.sub(r"^[a-z]+://", "", u or "").split("/")[0].split(":")[0] for u in urls.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), urls, pa.array(hosts, pa.string()), pa.array([p.html for p in pages], pa.bool_()), pa.array([p.head for p in pages], pa.int32()), pa.array([packed(p) for p in pages], pa.binary()), no, pa.array([body_of(p) for p in pages], pa.int64())],
-                names=["fetch_id", "url", "host", "html", "head", "lines", "row", "body"],
-            )
-
-    rows = docs.select(F.col(key).alias("fetch_id"), F.col(url).alias("url"), F.col(mime).alias("mime"), F.col(content).alias("content"))
-    return materialise(rows.where("fetch_id is not null and content is not null and content <> ''").mapInArrow(read, SCHEMA))
-
-
 def main_of(page: Page) -> tuple[str, ...]:
     """The containers around the headline, none if there is no headline."""
     return page.lines[page.head].path if page.head >= 0 else ()
@@ -211,45 +183,127 @@ class Hashes:
         return np.array(got, np.int64)
 
 
-def statistics(rows: DataFrame) -> Stats:
-    """Numbers of pages with each word and pair of neighbours, and the information of pairs.
+class Counts:
+    """Numbers of pages with each word and each pair of neighbours, as a worker counts them."""
 
-    Rows with one id count once, and so do copies of one main part: of them the
-    first row stands for all, however many they are.
-    """
+    def __init__(self) -> None:
+        self.hashes = Hashes()
+        self.words: list[np.ndarray] = []
+        self.pairs: list[np.ndarray] = []
+        self.held = self.pages = 0
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[np.ndarray] = []
-        pairs: list[np.ndarray] = []
-        held = pages = 0
-        hashes = Hashes()
+    def add(self, texts: list[str]) -> None:
+        """Count a page of lines."""
+        h = self.hashes(joined(texts))
+        own = np.unique(h)
+        self.words.append(own[1:] if len(own) and own[0] == 0 else own)
+        self.pairs.append(np.unique(pair_hashes(h)[(h[:-1] != 0) & (h[1:] != 0)]))
+        self.held += len(self.words[-1]) + len(self.pairs[-1])
+        self.pages += 1
+
+    def take(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(kind, hash, number)`` counted since the last time."""
+        for k, got in ((WORD, self.words), (PAIR, self.pairs)):
+            if got:
+                h, n = np.unique(np.concatenate(got), return_counts=True)
+                yield np.full(len(h), k, np.int8), h, n
+        if self.pages:
+            yield np.array([PAGES], np.int8), np.zeros(1, np.int64), np.array([self.pages])
+        self.words, self.pairs, self.held, self.pages = [], [], 0, 0
+
+
+@dataclass
+class Parsed:
+    """Pages with their visible lines, and counts of words and pairs of all of them."""
 
-        def counts(k: int, h, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int8)), pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["kind", "h", "n"])
+    rows: DataFrame
+    counts: DataFrame
+
+
+def parsed(docs: DataFrame, key: str = "fetch_id", url: str = "url", mime: str = "mime", content: str = "content") -> Parsed:
+    """One row per HTML or plain text page with its visible lines; written once, with the words counted on the way.
+
+    Rows with a null key or content, empty contents and other kinds of documents
+    have no row. Redelivered rows stay. ``row`` numbers the rows, ``body`` is the
+    same for copies of one main part.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        n = (task.partitionId() if task else 0) << 36
+        counts = Counts()
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for k, got in ((WORD, words), (PAIR, pairs)):
-                if got:
-                    yield counts(k, *np.unique(np.concatenate(got), return_counts=True))
-                    got.clear()
+            for columns in counts.take():
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(columns[0]), t) for t in types), *(pa.array(c) for c in columns)], names=names)
 
         for b in slices(batches):
-            for lines in map(marshal.loads, b.column(0).to_pylist()):
-                h = hashes(joined([x[1] for x in lines]))
-                words.append(np.unique(h[h != 0]))
-                pairs.append(np.unique(pair_hashes(h)[(h[:-1] != 0) & (h[1:] != 0)]))
-                held += len(words[-1]) + len(pairs[-1])
-                pages += 1
-            if held > FLUSH:
+            at, pages = [], []
+            for i, (m, c) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if is_page(m, c):
+                    at.append(i)
+                    pages.append(parse(c, m))
+                    counts.add([x.text for x in pages[-1].lines])
+            take = pa.array(at, pa.int64())
+            urls = b.column(1).take(take)
+            no = pa.array(range(n, n + len(at)), pa.int64())
+            n += len(at)
+            hosts = [re.sub(r"^[a-z]+://", "", u or "").split("/")[0].split(":")[0] for u in urls.to_pylist()]
+            none = [pa.nulls(len(at), t) for t in (pa.int8(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), urls, pa.array(hosts, pa.string()), pa.array([p.html for p in pages], pa.bool_()), pa.array([p.head for p in pages], pa.int32()), pa.array([packed(p) for p in pages], pa.binary()), no, pa.array([body_of(p) for p in pages], pa.int64()), *none],
+                names=names,
+            )
+            if counts.held > FLUSH:
                 yield from flush()
-                held = 0
         yield from flush()
-        yield counts(PAGES, [0], [pages])
 
+    rows = docs.select(F.col(key).alias("fetch_id"), F.col(url).alias("url"), F.col(mime).alias("mime"), F.col(content).alias("content"))
+    both = materialise(rows.where("fetch_id is not null and content is not null and content <> ''").mapInArrow(read, SCHEMA))
+    return Parsed(both.where("kind is null").drop("kind", "h", "n"), both.where("kind is not null").select("kind", "h", "n"))
+
+
+def statistics(pages_: Parsed) -> Stats:
+    """Numbers of pages with each word and pair of neighbours, and the information of pairs.
+
+    Rows with one id count once, and so do copies of one main part: of them the
+    first row stands for all, however many they are. All rows were counted when
+    they were parsed; what the copies added is counted again and taken off.
+    """
+    rows = pages_.rows
     ids = rows.groupBy("fetch_id").agg(F.min(F.struct("row", "body")).alias("x"))
     first = ids.groupBy("x.body").agg(F.min("x.row").alias("row")).select("row")
-    once = rows.select("row", "lines").join(first.hint("shuffle_hash"), "row", "left_semi")  # by row, so that no task holds all copies
-    sums = materialise(once.select("lines").mapInArrow(count, "kind byte, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n")))
+    copies = materialise(rows.select("row").join(first, "row", "left_anti"))
+    own: np.ndarray | None = None
+    if copies.count() <= MAX_COPIES:
+        own = np.sort(copies.toArrow().column(0).to_numpy())
+        again = rows.select("row", "lines")
+    else:
+        again = rows.select("row", "lines").join(copies.hint("shuffle_hash"), "row", "left_semi")
+    shared = rows.sparkSession.sparkContext.broadcast(own)  # size checked
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        few = shared.value
+        for b in slices(batches):
+            lines = b.column(1)
+            if few is not None:
+                lines = lines.filter(pa.array(np.isin(b.column(0).to_numpy(), few)))
+            for x in lines.to_pylist():
+                counts.add([line[1] for line in marshal.loads(x)])
+            if counts.held > FLUSH:
+                yield from taken(counts)
+        yield from taken(counts)
+
+    def taken(counts: Counts) -> Iterator[pa.RecordBatch]:
+        for kind, h, n in counts.take():
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h), pa.array(-n)], names=["kind", "h", "n"])
+
+    every = pages_.counts if own is not None and not len(own) else pages_.counts.unionByName(again.mapInArrow(count, _COUNTS))
+    sums = materialise(every.groupBy("kind", "h").agg(F.sum("n").alias("n")))
+    release(copies)
     totals = {r.kind: r.n for r in sums.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     pages = totals.get(PAGES, 0)
     least = max(SEEN_LEAST, SEEN * pages)

@@ -19,15 +19,21 @@ UNSEEN = frozenset(["script", "style", "head", "title", "noscript", "template"])
 #: Elements that break text (fixed values); others are inline.
 _TOKEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(class|id|width)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_WORD = re.compile(r"\w+")
 # an address is one word, wherever it stands
-_DOTTED = re.compile(r"[a-z0-9]\.[a-z]")
-_WORD_OR_ADDRESS = re.compile(r"(?:https?://)?(?<![\w.@-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![\w.])(?:[:/]\S*)?|\w+")
+_DOTTED = re.compile(r"\.[a-z](?<=[a-z0-9]..)")
+_WORD_OR_ADDRESS = re.compile(r"(?:https?://)?(?<![\w.@-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![\w.])(?:[:/]\S*)?|\w+|\x01")
 _HTML = re.compile(r"<(html|body|div|p|table|!doctype)\b", re.I)
 _OBJECT = re.compile(r"\s*(?:\[\s*)?\{\s*\"(?:[^\"\\\n]|\\.)*\"\s*:")
-_BREAK = "\ue000"
-# ends of segments: an element, a sentence, an entry of a row of entries
-_SEGMENT = re.compile(r"\s*\ue000\s*|(?<=[.!?…:])[\"”»’)]*\s+|\s+[·|•>/-]\s+")
+_BREAK, _MARK = "\x02", "\x01"
+# ends of segments: a sentence, an element, an entry of a row of entries
+_SENTENCE = re.compile(r"[.!?…:][\"”»’)]* ")
+_ENTRY = re.compile(r" [·|•>/-] ")
+_ENTRIES = re.compile(r"[·|•>/-] ")
+_WORD_OR_MARK = re.compile(r"\w+|\x01")
+# ASCII text is cut into words by a table
+_ASCII = bytes(c if chr(c) == _MARK or chr(c) == "_" or (c < 128 and chr(c).isalnum()) else 32 for c in range(256))
+# a line that is one element of text and no container
+_SIMPLE = re.compile(r"<(p|li|h[1-6]|span|td|dd|dt)(?: [^<>]*)?>([^<>]*)</\1>\s*$", re.I)
 _QUOTES = "\"'"
 #: Elements of tables (fixed values); their cells are no units of a line.
 TABLE = frozenset(["table", "tr", "td", "th", "tbody", "thead"])
@@ -79,15 +85,36 @@ _ODD = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿŒœŠšŽžŸА-яЁё«»¿¡‘
 
 def words_of(text: str) -> str:
     """Words of ``text`` in lower case, with one blank between; an address is one word."""
-    if "." in text and _DOTTED.search(text):
-        return " ".join(_WORD_OR_ADDRESS.findall(text)).lower()
-    return " ".join(_WORD.findall(text.lower()))
+    return cut(text)[0]
 
 
 def cut(text: str) -> tuple[str, tuple[int, ...]]:
-    """Words of ``text`` as :func:`words_of` has them, and the numbers of words of its segments, if there are several."""
-    pieces = [w for x in _SEGMENT.split(text) if (w := words_of(x))]
-    return " ".join(pieces), tuple([w.count(" ") + 1 for w in pieces]) if len(pieces) > 1 else ()
+    """Words of ``text`` (blanks squeezed) in lower case with one blank between, and the numbers of words of its segments, if there are several.
+
+    An address is one word.
+    """
+    marked = _SENTENCE.sub(" \x01 ", text)
+    if _BREAK in marked:
+        marked = marked.replace(_BREAK, " \x01 ")
+    if _ENTRIES.search(marked):
+        marked = _ENTRY.sub(" \x01 ", marked)
+    if "." in marked and _DOTTED.search(marked):
+        words = [x.lower() for x in _WORD_OR_ADDRESS.findall(marked)]
+    elif marked.isascii():
+        words = marked.lower().encode().translate(_ASCII).decode().split()
+    else:
+        words = _WORD_OR_MARK.findall(marked.lower())
+    if _MARK not in marked:
+        return " ".join(words), ()
+    cuts, at = [], 0
+    for i, w in enumerate(words):
+        if w == _MARK:
+            if i > at:
+                cuts.append(i - at)
+            at = i + 1
+    if len(words) > at:
+        cuts.append(len(words) - at)
+    return " ".join([w for w in words if w != _MARK]), tuple(cuts) if len(cuts) > 1 else ()
 
 
 def flags_of(text: str) -> int:
@@ -173,10 +200,15 @@ def parse(content: str, mime: str | None) -> Page:
         text_parts: list[str] = []
         own_parts: list[str] = []
         path: tuple[str, ...] | None = None
-        # text, slash, name, attributes, text, ...; behind the last > there is no tag
-        end = raw.rfind(">") + 1
-        tokens = _TOKEN.split(raw[:end])
-        tokens[-1] += raw[end:]
+        if not unseen and (simple := _SIMPLE.match(raw)):
+            line.element = simple.group(1).lower()
+            in_link = in_link and line.element == "span"
+            tokens = [simple.group(2)]
+        else:
+            # text, slash, name, attributes, text, ...; behind the last > there is no tag
+            end = raw.rfind(">") + 1
+            tokens = _TOKEN.split(raw[:end]) if end else [""]
+            tokens[-1] += raw[end:]
         for k in range(0, len(tokens), 4):
             if k:
                 name = tokens[k - 2]
@@ -237,11 +269,12 @@ def parse(content: str, mime: str | None) -> Page:
         if low:
             line.text, line.own, line.path = low, low, path or ()
             if line.links:
-                line.own, line.own_cuts = cut(squeeze("".join(own_parts)))
+                own = squeeze("".join(own_parts))
+                line.own, line.own_cuts = cut(own) if own else ("", ())
             if line.element not in TABLE:
                 line.cuts = cuts
             if _BREAK in text:
-                text = " ".join(text.replace(_BREAK, " ").split())
+                text = squeeze(text.replace(_BREAK, " "))
             line.flags = flags_of(text)
             line.label = _label(text)
             page.lines.append(line)

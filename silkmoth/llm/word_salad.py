@@ -9,6 +9,7 @@ more incoherent text than sentences is spam.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,37 +53,46 @@ class Judge:
         #: half way from the corpus's mean to neighbours that never go together
         self.least = (stats.mean + FLOOR) / 2
 
-    def lines(self, lines: list[Line]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per line: mean information of its neighbours, how many of them tell something, and the share of excessive ones."""
+    def lines(self, pages: list[list[Line]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each line of ``pages``: mean information of its neighbours, how many of them tell something, and the share of excessive ones."""
         words: list[str] = []
-        at: list[int] = []
-        single = False
-        for i, line in enumerate(lines):
-            own = line.text.split(" ")
-            if words and not (len(own) == 1 and single):
+        sizes: list[int] = []
+        own: list[int] = []
+        for k, lines in enumerate(pages):
+            single = False
+            for line in lines:
+                new = line.text.split(" ")
+                one = len(new) == 1
+                if words and not (one and single):
+                    words.append("")
+                    sizes[-1] += 1
+                words += new
+                sizes.append(len(new))
+                own.append(k)
+                single = one
+            if words and words[-1]:
                 words.append("")
-                at.append(i)
-            single = len(own) == 1
-            words += own
-            at += [i] * len(own)
-        k = len(lines)
-        h = self.hashes(words)
-        line = np.array(at, np.int64)
-        p = np.flatnonzero((h[:-1] != 0) & (h[1:] != 0))
-        keys = pair_hashes(h)[p]
-        value = self.stats.pair(keys)
+                sizes[-1] += 1
+        k = len(sizes)
+        at = np.repeat(np.arange(k), sizes)
+        page = np.array(own, np.int64)[at]
+        h, first, which = np.unique(self.hashes(words), return_index=True, return_inverse=True)
         # rare names with letters beyond ASCII, and unknown Cyrillic words, say nothing
-        distinct, which, often = np.unique(h, return_inverse=True, return_counts=True)
-        latin = np.fromiter((w.isascii() for w in words), bool, len(words))
-        other = np.flatnonzero(~latin)
-        tells = latin | self.stats.known(h)
-        for i in other[~tells[other]]:
-            tells[i] = often[which[i]] >= TIMES and max(words[i]) < CYRILLIC
+        latin = np.fromiter((words[i].isascii() for i in first.tolist()), bool, len(first))
+        tells = (latin | self.stats.known(h))[which]
+        foreign = [i for i in np.flatnonzero(~tells).tolist() if max(words[i]) < CYRILLIC]
+        often = Counter((own[at[i]], words[i]) for i in foreign)
+        tells[[i for i in foreign if often[own[at[i]], words[i]] >= TIMES]] = True
+        real = h[which] != 0
+        p = np.flatnonzero(real[:-1] & real[1:])
+        keys, same = np.unique(pair_hashes(h[which])[p], return_inverse=True)
+        value = self.stats.pair(keys)[same]
         tells = (tells[p] & tells[p + 1]) | (value > FLOOR)
-        _, same, times = np.unique(keys, return_inverse=True, return_counts=True)
-        much = (times >= max(TIMES, SHARE * np.count_nonzero(h) + 1e-9))[same] if len(keys) else np.zeros(0, bool)
+        _, same, times = np.unique(page[p] * (len(keys) + 1) + same, return_inverse=True, return_counts=True)
+        size = np.bincount(page, real, len(pages))
+        much = times[same] >= np.maximum(TIMES, SHARE * size + 1e-9)[page[p]]
         # neighbours across lines count for both
-        a, b = line[p], line[p + 1]
+        a, b = at[p], at[p + 1]
         across = a != b
         both = np.concatenate([b, a[across]])
         tells, value, much = (np.concatenate([x, x[across]]) for x in (tells, value, much))
@@ -90,25 +100,29 @@ class Judge:
         mean = np.bincount(both, tells * value, k) / np.maximum(n, 1)
         return mean, n, np.bincount(both, much, k) / np.maximum(np.bincount(both, minlength=k), 1)
 
-    def page(self, page: Page) -> tuple[int, int, int]:
-        """Letters of sentences, of incoherent lines, and of all lines, in the main part of a page."""
-        rows = main_lines(page)
-        if not rows:
-            return 0, 0, 0
-        inner = len(main_of(page))
-        good = bad = every = 0
-        for line, mean, n, excess in zip(rows, *(x.tolist() for x in self.lines(rows)), strict=True):
-            size = len(line.text)
-            every += size
-            own = line.own.count(" ") + 1 if line.own else 0
-            excessive = excess >= EXCESS
-            if excessive or (mean < self.least if n else not own):
-                # cells of rows outside links need not go together
-                if not own or excessive or not in_rows(line, inner):
-                    bad += size
-            elif own >= 4 and line.flags & ENDS:
-                good += size
-        return good, bad, every
+    def pages(self, pages: list[Page]) -> list[tuple[int, int, int]]:
+        """Letters of sentences, of incoherent lines, and of all lines, in the main part of each page."""
+        rows = [main_lines(p) for p in pages]
+        if not any(rows):
+            return [(0, 0, 0)] * len(pages)
+        told = zip(*(x.tolist() for x in self.lines(rows)), strict=True)
+        out = []
+        for page, lines in zip(pages, rows, strict=True):
+            inner = len(main_of(page))
+            good = bad = every = 0
+            for line in lines:
+                mean, n, excess = next(told)
+                size = len(line.text)
+                every += size
+                excessive = excess >= EXCESS
+                if excessive or (mean < self.least if n else not line.own):
+                    # cells of rows outside links need not go together
+                    if not line.own or excessive or not in_rows(line, inner):
+                        bad += size
+                elif line.flags & ENDS and line.own.count(" ") >= 3:
+                    good += size
+            out.append((good, bad, every))
+        return out
 
 
 def is_spam(good: int, bad: int, every: int) -> bool:
@@ -123,13 +137,14 @@ def spam_pages(docs: DataFrame, **names: str) -> DataFrame:
     with a null id have no row. Rows with one id come out once. Corpus counts are
     those of all different main parts.
     """
-    rows = parsed(docs, **names)
-    shared = docs.sparkSession.sparkContext.broadcast(statistics(rows))  # size checked
+    pages = parsed(docs, **names)
+    shared = docs.sparkSession.sparkContext.broadcast(statistics(pages))  # size checked
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for b in slices(batches):
-            got = [(f, *judge.page(page)) for f, _, _, page in pages_of(b)]
+            own = [(f, page) for f, _, _, page in pages_of(b)]
+            got = [(f, *x) for (f, _), x in zip(own, judge.pages([p for _, p in own]), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([is_spam(*g[1:]) for g in got], pa.bool_())], names=["fetch_id", "sentence_letters", "incoherent_letters", "spam"])
 
-    return rows.mapInArrow(find, "fetch_id bigint, sentence_letters bigint, incoherent_letters bigint, spam boolean").dropDuplicates(["fetch_id"])
+    return pages.rows.mapInArrow(find, "fetch_id bigint, sentence_letters bigint, incoherent_letters bigint, spam boolean").dropDuplicates(["fetch_id"])
