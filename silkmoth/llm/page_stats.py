@@ -29,8 +29,8 @@ WELL = 10
 FLOOR = -1.0
 #: Rows that are copies whose numbers are sent to every task (eight bytes each); more are joined.
 MAX_COPIES = 2_000_000
-#: Hashes a worker holds before it sends its counts.
-FLUSH = 600_000
+#: Hashes a worker holds before it sends its counts, and words whose hashes it remembers.
+FLUSH, REMEMBERED = 2_000_000, 400_000
 #: Most qualifying hashes that are broadcast (twelve bytes each); more is an error, as it is far beyond the bounds above.
 MAX_HASHES = 20_000_000
 
@@ -62,6 +62,13 @@ def mark(text: str, kind: int) -> int:
     return xxhash.xxh3_64_intdigest(text, seed=kind) & _MASK
 
 
+def main_texts(page: Page) -> list[str]:
+    """Texts of the lines of the main part, of all lines if that is not known."""
+    main = main_of(page)
+    depth = len(main)
+    return [x.text for x in page.lines if x.path[:depth] == main]
+
+
 def main_of(page: Page) -> tuple[str, ...]:
     """The containers around the headline, none if there is no headline."""
     return page.lines[page.head].path if page.head >= 0 else ()
@@ -90,8 +97,12 @@ def pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str, Page]]:
     names = batch.schema.names
     columns = (batch.column(names.index(n)).to_pylist() for n in ("fetch_id", "url", "host", "html", "head", "lines"))
     for f, url, host, is_html, head, lines in zip(*columns, strict=True):
-        own = [Line(no, text, text if own is None else own, links, path, element, cuts, own_cuts, flags, label) for no, text, own, links, path, element, cuts, own_cuts, flags, label in marshal.loads(lines)]
-        yield f, url or "", host, Page(own, is_html, head)
+        yield f, url or "", host, _page(lines, is_html, head)
+
+
+def _page(lines: bytes, is_html: bool, head: int) -> Page:
+    own = [Line(no, text, text if own is None else own, links, path, element, cuts, own_cuts, flags, label) for no, text, own, links, path, element, cuts, own_cuts, flags, label in marshal.loads(lines)]
+    return Page(own, is_html, head)
 
 
 LINE, WORD, PAIR, PAGES, BODY = range(5)
@@ -167,7 +178,7 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
 class Hashes:
     """Hashes of words, remembered up to a bound; the empty word has 0."""
 
-    def __init__(self, most: int = FLUSH):
+    def __init__(self, most: int = REMEMBERED):
         self.most = most
         self.own: dict[str, int] = {"": 0}
 
@@ -184,7 +195,7 @@ class Hashes:
 
 
 class Counts:
-    """Numbers of pages with each word and each pair of neighbours, as a worker counts them."""
+    """Numbers of main parts with each word and each pair of neighbours, as a worker counts them."""
 
     def __init__(self) -> None:
         self.hashes = Hashes()
@@ -245,7 +256,7 @@ def parsed(docs: DataFrame, key: str = "fetch_id", url: str = "url", mime: str =
                 if is_page(m, c):
                     at.append(i)
                     pages.append(parse(c, m))
-                    counts.add([x.text for x in pages[-1].lines])
+                    counts.add(main_texts(pages[-1]))
             take = pa.array(at, pa.int64())
             urls = b.column(1).take(take)
             no = pa.array(range(n, n + len(at)), pa.int64())
@@ -266,7 +277,7 @@ def parsed(docs: DataFrame, key: str = "fetch_id", url: str = "url", mime: str =
 
 
 def statistics(pages_: Parsed) -> Stats:
-    """Numbers of pages with each word and pair of neighbours, and the information of pairs.
+    """Numbers of pages whose main part has each word and pair of neighbours, and the information of pairs.
 
     Rows with one id count once, and so do copies of one main part: of them the
     first row stands for all, however many they are. All rows were counted when
@@ -279,20 +290,19 @@ def statistics(pages_: Parsed) -> Stats:
     own: np.ndarray | None = None
     if copies.count() <= MAX_COPIES:
         own = np.sort(copies.toArrow().column(0).to_numpy())
-        again = rows.select("row", "lines")
+        again = rows.select("row", "lines", "head", "html")
     else:
-        again = rows.select("row", "lines").join(copies.hint("shuffle_hash"), "row", "left_semi")
+        again = rows.select("row", "lines", "head", "html").join(copies.hint("shuffle_hash"), "row", "left_semi")
     shared = rows.sparkSession.sparkContext.broadcast(own)  # size checked
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
         few = shared.value
         for b in slices(batches):
-            lines = b.column(1)
             if few is not None:
-                lines = lines.filter(pa.array(np.isin(b.column(0).to_numpy(), few)))
-            for x in lines.to_pylist():
-                counts.add([line[1] for line in marshal.loads(x)])
+                b = b.filter(pa.array(np.isin(b.column(0).to_numpy(), few)))
+            for x, head, is_html in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                counts.add(main_texts(_page(x, is_html, head)))
             if counts.held > FLUSH:
                 yield from taken(counts)
         yield from taken(counts)

@@ -39,6 +39,10 @@ _QUOTES = "\"'"
 TABLE = frozenset(["table", "tr", "td", "th", "tbody", "thead"])
 INLINE = frozenset(["a", "b", "i", "em", "strong", "span", "font", "small", "u", "sup", "sub", "mark", "abbr"])
 
+# kinds of elements: links, inline, containers, those whose content is not seen, and others
+_LINK, _FLOWS, _HOLDS, _HIDES, _BLOCK = range(5)
+_KIND = {x: _FLOWS for x in INLINE} | {"a": _LINK} | {x: _HOLDS for x in CONTAINERS} | {x: _HIDES for x in UNSEEN}
+
 
 def squeeze(text: str) -> str:
     """``text`` with character references resolved and blanks squeezed."""
@@ -196,13 +200,13 @@ def parse(content: str, mime: str | None) -> Page:
             raw, comment = _uncommented(raw, comment)
         if not raw or (unseen and "<" not in raw and unseen[-1] != "title"):
             continue
-        line = Line(no)
+        element, links = "", 0
         text_parts: list[str] = []
         own_parts: list[str] = []
         path: tuple[str, ...] | None = None
         if not unseen and (simple := _SIMPLE.match(raw)):
-            line.element = simple.group(1).lower()
-            in_link = in_link and line.element == "span"
+            element = simple.group(1).lower()
+            in_link = in_link and element == "span"
             tokens = [simple.group(2)]
         else:
             # text, slash, name, attributes, text, ...; behind the last > there is no tag
@@ -210,32 +214,33 @@ def parse(content: str, mime: str | None) -> Page:
             tokens = _TOKEN.split(raw[:end]) if end else [""]
             tokens[-1] += raw[end:]
         for k in range(0, len(tokens), 4):
-            if k:
-                name = tokens[k - 2]
-                if name is not None:
-                    closing = tokens[k - 3] == "/"
+            if k and (name := tokens[k - 2]) is not None:
+                kind = _KIND.get(name)
+                if kind is None:
                     name = name.lower()
-                    if name in UNSEEN:
-                        if closing:
-                            if name in unseen:
-                                del unseen[unseen.index(name) :]
-                        elif not tokens[k - 1].endswith("/") and (name != "head" or not unseen):
-                            unseen.append(name)
-                    elif unseen and name != "body" and unseen[-1] in ("script", "style"):
-                        pass
-                    else:
-                        if unseen and name == "body":
-                            unseen.clear()
-                        if name == "a":
-                            in_link = not closing
-                        elif name not in INLINE:
-                            in_link = False
-                            if text_parts:
-                                text_parts.append(_BREAK)
-                                own_parts.append(" ")
-                        if not closing and not line.element:
-                            line.element = name
-                        if name in CONTAINERS and not unseen:
+                    kind = _KIND.get(name, _BLOCK)
+                closing = tokens[k - 3] == "/"
+                if kind == _HIDES:
+                    if closing:
+                        if name in unseen:
+                            del unseen[unseen.index(name) :]
+                    elif not tokens[k - 1].endswith("/") and (name != "head" or not unseen):
+                        unseen.append(name)
+                elif unseen and name != "body" and unseen[-1] in ("script", "style"):
+                    pass
+                else:
+                    if unseen and name == "body":
+                        unseen.clear()
+                    if not closing and not element:
+                        element = name
+                    if kind == _LINK:
+                        in_link = not closing
+                    elif kind != _FLOWS:
+                        in_link = False
+                        if text_parts:
+                            text_parts.append(_BREAK)
+                            own_parts.append(" ")
+                        if kind == _HOLDS and not unseen:
                             if closing:
                                 for at in range(len(stack) - 1, -1, -1):
                                     if stack[at][0] == name:
@@ -254,7 +259,7 @@ def parse(content: str, mime: str | None) -> Page:
                         path = tuple([x for _, x in stack])
                     text_parts.append(piece)
                     if in_link:
-                        line.links += 1
+                        links += 1
                     else:
                         own_parts.append(piece)
                 elif text_parts:
@@ -263,20 +268,20 @@ def parse(content: str, mime: str | None) -> Page:
         in_link = in_link and not text_parts  # an unclosed link ends with its line
         if not text_parts:
             continue
-        whole = "".join(text_parts)
-        text = squeeze(whole)
+        text = squeeze("".join(text_parts))
         low, cuts = cut(text)
         if low:
-            line.text, line.own, line.path = low, low, path or ()
-            if line.links:
+            line = Line(no, low, low, links, path or (), element)
+            if links:
                 own = squeeze("".join(own_parts))
                 line.own, line.own_cuts = cut(own) if own else ("", ())
-            if line.element not in TABLE:
+            if element not in TABLE:
                 line.cuts = cuts
             if _BREAK in text:
                 text = squeeze(text.replace(_BREAK, " "))
             line.flags = flags_of(text)
-            line.label = _label(text)
+            if ":" in text:
+                line.label = _label(text)
             page.lines.append(line)
     page.head = headline(page, words_of(squeeze("".join(title))))
     return page
