@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from silkmoth.llm.mixing import label_code
 
-#: Most labelled rows the model is fitted on (those of the lowest ids, if there are more).
+#: Most labelled rows the model is fitted on, the same number of each language (those of the lowest ids, if there are more).
 MAX_SAMPLES = 20_000
 #: Longest character n-gram.
 NGRAM = 5
@@ -163,7 +163,9 @@ class Labeller:
 def train(samples: DataFrame, lang: str = "lang", text: str = "text", key: str = "sample_id", most: int = MAX_SAMPLES) -> Model:
     """A model of at most ``most`` labelled rows; rows without text or label are left out."""
     rows = samples.select(F.col(key).alias("k"), label_code(F.col(lang)).alias("lang"), F.col(text).alias("text")).where("text is not null and lang <> 'und'")
-    got = rows.orderBy("k", "lang", "text").limit(most).collect()
+    langs = rows.select("lang").distinct().count()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("k", "text"))
+    got = rows.withColumn("at", place).where(F.col("at") <= max(1, most // max(langs, 1))).orderBy("at", "lang").limit(most).collect()
     if not got:
         raise ValueError("no labelled rows to fit a language model on")
     return Model([(r.lang, r.text) for r in got])

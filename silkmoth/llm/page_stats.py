@@ -22,7 +22,7 @@ TELLING = 2
 #: Share of the pages (and number) from which on a word or a pair of neighbouring words is known.
 #: Pages are different main parts here: copies of one count once, see :func:`statistics`.
 #: Each page adds each of its pairs once, so at most 1/SEEN x (mean words of a page) pairs qualify.
-SEEN, SEEN_LEAST = 0.0002, 3
+SEEN, SEEN_LEAST = 0.0006, 3
 #: A word on so many times the least number of pages is known well enough to miss its neighbours.
 WELL = 10
 #: Information of neighbours that the corpus never has together; it lies between -1 and 1.

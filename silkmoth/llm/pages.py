@@ -28,10 +28,13 @@ _BREAK, _MARK = "\x02", "\x01"
 # ends of segments: a sentence, an element, an entry of a row of entries
 _SENTENCE = re.compile(r"[.!?…:][\"”»’)]* ")
 _ENTRY = re.compile(r" [·|•>/-] ")
-_ENTRIES = re.compile(r"[·|•>/-] ")
+_ENTRIES = (" | ", " · ", " - ", " > ", " / ", " • ")
+# signs beyond ASCII that stand in running text (fixed values); words with others are found by the pattern below
+_SIGNS = re.compile("[«»“”„‘’‚‹›–—…·•©£€¿¡°№®™§´\xa0]")
 _WORD_OR_MARK = re.compile(r"\w+|\x01")
 # ASCII text is cut into words by a table
 _ASCII = bytes(c if chr(c) == _MARK or chr(c) == "_" or (c < 128 and chr(c).isalnum()) else 32 for c in range(256))
+_WIDE = _ASCII[:128] + bytes(range(128, 256))
 # a line that is one element of text and no container
 _SIMPLE = re.compile(r"<(p|li|h[1-6]|span|td|dd|dt)(?: [^<>]*)?>([^<>]*)</\1>\s*$", re.I)
 _QUOTES = "\"'"
@@ -100,14 +103,19 @@ def cut(text: str) -> tuple[str, tuple[int, ...]]:
     marked = _SENTENCE.sub(" \x01 ", text)
     if _BREAK in marked:
         marked = marked.replace(_BREAK, " \x01 ")
-    if _ENTRIES.search(marked):
-        marked = _ENTRY.sub(" \x01 ", marked)
+    for x in _ENTRIES:
+        if x in marked:
+            marked = _ENTRY.sub(" \x01 ", marked)
+            break
     if "." in marked and _DOTTED.search(marked):
         words = [x.lower() for x in _WORD_OR_ADDRESS.findall(marked)]
     elif marked.isascii():
         words = marked.lower().encode().translate(_ASCII).decode().split()
     else:
-        words = _WORD_OR_MARK.findall(marked.lower())
+        low = marked.lower()
+        words = _SIGNS.sub(" ", low).encode("utf-8", "surrogatepass").translate(_WIDE).decode("utf-8", "surrogatepass").split()
+        if not "".join(words).replace(_MARK, "").isalnum():
+            words = _WORD_OR_MARK.findall(low)
     if _MARK not in marked:
         return " ".join(words), ()
     cuts, at = [], 0
@@ -194,6 +202,7 @@ def parse(content: str, mime: str | None) -> Page:
     unseen: list[str] = []
     comment = False
     title: list[str] = []
+    shown: list[str] = []  # the text of each line as it stands
     in_link = False
     for no, raw in enumerate(content.split("\n"), 1):
         if comment or "<!--" in raw:
@@ -277,13 +286,19 @@ def parse(content: str, mime: str | None) -> Page:
                 line.own, line.own_cuts = cut(own) if own else ("", ())
             if element not in TABLE:
                 line.cuts = cuts
+            page.lines.append(line)
+            shown.append(text)
+    page.head = headline(page, words_of(squeeze("".join(title))))
+    # what the punctuation tells is asked of lines in the headline's container only
+    main = page.lines[page.head].path if page.head >= 0 else ()
+    depth = len(main)
+    for line, text in zip(page.lines, shown, strict=True):
+        if line.path[:depth] == main:
             if _BREAK in text:
                 text = squeeze(text.replace(_BREAK, " "))
             line.flags = flags_of(text)
             if ":" in text:
                 line.label = _label(text)
-            page.lines.append(line)
-    page.head = headline(page, words_of(squeeze("".join(title))))
     return page
 
 

@@ -30,6 +30,9 @@ GROUP = 200_000
 #: Letters that routes look at; 36 + 36^2 + 36^3 prefixes at most reach the driver.
 ROUTE_DEPTH = 3
 
+#: Redelivered keys that are sent to every task; more are met by a shuffle of all rows.
+MAX_AGAIN = 1_000_000
+
 _SUBTREE = "prefix string, suffixes array<string>, occurrences array<bigint>, records array<bigint>, n bigint"
 
 
@@ -109,45 +112,97 @@ def _rows(trie: BurstTrie) -> pa.RecordBatch:
     )
 
 
-def count_subtrees(rows: DataFrame, key: str, content: str, burst: int = BURST, flush: int = FLUSH) -> DataFrame:
-    """Subtrees of every worker; the row with a null prefix holds the worker's number of records."""
+def _records(n: int) -> pa.RecordBatch:
+    """The row that holds a worker's number of records."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array([None], pa.string()), pa.array([[]], pa.list_(pa.string())), pa.array([[]], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.int64())), pa.array([n], pa.int64())],
+        names=["prefix", "suffixes", "occurrences", "records", "n"],
+    )
+
+
+class _Worker:
+    """Counts of the texts of one worker; full tries go out as rows."""
+
+    def __init__(self, burst: int, flush: int):
+        self.trie, self.burst, self.flush, self.records = BurstTrie(burst), burst, flush, 0
+        self.occurred: Counter = Counter()
+        self.held: Counter = Counter()
+
+    def add(self, text: str) -> Iterator[pa.RecordBatch]:
+        self.records += 1
+        own = Counter(terms_of(text))
+        self.occurred.update(own)
+        self.held.update(own.keys())
+        if len(self.occurred) > self.flush // 4:
+            self._drain()
+            if self.trie.size > self.flush:
+                yield _rows(self.trie)
+                self.trie = BurstTrie(self.burst)
+
+    def _drain(self) -> None:
+        for term, k in self.occurred.items():
+            self.trie.add(term, k, self.held[term])
+        self.occurred.clear()
+        self.held.clear()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        self._drain()
+        if self.trie.size:
+            yield _rows(self.trie)
+        yield _records(self.records)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, seen, records = BurstTrie(burst), set(), 0
-        occurred: Counter = Counter()
-        held: Counter = Counter()
 
-        def drain() -> None:
-            for term, k in occurred.items():
-                trie.add(term, k, held[term])
-            occurred.clear()
-            held.clear()
+def count_subtrees(rows: DataFrame, key: str, content: str, burst: int = BURST, flush: int = FLUSH) -> DataFrame:
+    """Subtrees of every worker; the row with a null prefix holds the worker's number of records.
+
+    Texts are counted where they lie. Only those of keys that come more than once
+    are set aside and brought together, so that each counts once.
+    """
+    got = rows.select(F.col(key).alias("k"), F.col(content).alias("t")).where("k is not null and t is not null")
+    again = materialise(got.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
+    kind = got.schema["k"].dataType.simpleString()
 
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = _Worker(burst, flush)
+        last = None
         for b in slices(batches):
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if k in seen:
-                    continue
-                seen.add(k)
-                records += 1
-                own = Counter(terms_of(text))
-                occurred.update(own)
-                held.update(own.keys())
-                if len(occurred) > flush // 4:
-                    drain()
-                    if trie.size > flush:
-                        yield _rows(trie)
-                        trie = BurstTrie(burst)
-        drain()
-        if trie.size:
-            yield _rows(trie)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None], pa.string()), pa.array([[]], pa.list_(pa.string())), pa.array([[]], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.int64())), pa.array([records], pa.int64())],
-            names=["prefix", "suffixes", "occurrences", "records", "n"],
-        )
-
-    # redelivered rows meet in one partition, where the ids seen are kept
-    got = rows.select(key, content).where(rows[key].isNotNull() & rows[content].isNotNull())
-    return got.repartition(key).mapInArrow(count, _SUBTREE)
+                if k != last:  # rows of one key follow each other
+                    yield from work.add(text)
+                last = k
+        yield from work.end()
+
+    if again.count() > MAX_AGAIN:
+        return got.repartition("k").sortWithinPartitions("k").mapInArrow(alone, _SUBTREE)
+    shared = rows.sparkSession.sparkContext.broadcast(frozenset(again.toArrow().column(0).to_pylist()))  # size checked
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = _Worker(burst, flush)
+        several = shared.value
+        names = ["prefix", "suffixes", "occurrences", "records", "n", "k", "t"]
+
+        def wide(tries: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in tries:
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, types[0]), pa.nulls(x.num_rows, pa.string())], names=names)
+
+        types: list = [pa.int64()]
+        for b in slices(batches):
+            types[0] = b.column(0).type
+            later = []
+            for i, (k, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if k in several:
+                    later.append(i)
+                else:
+                    yield from wide(work.add(text))
+            if later:
+                part = b.take(pa.array(later, pa.int64()))
+                lists = pa.nulls(len(later), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(later), pa.string()), pa.nulls(len(later), pa.list_(pa.string())), lists, lists, pa.nulls(len(later), pa.int64()), part.column(0), part.column(1).cast(pa.string())], names=names)
+        yield from wide(work.end())
+
+    both = materialise(got.mapInArrow(first, f"{_SUBTREE}, k {kind}, t string"))
+    rest = both.where("k is not null").select("k", "t").repartition("k").sortWithinPartitions("k")
+    return both.where("k is null").drop("k", "t").unionByName(rest.mapInArrow(alone, _SUBTREE))
 
 
 def choose_routes(masses: dict[str, int], group: int = GROUP, depth: int = ROUTE_DEPTH) -> dict[str, int]:
@@ -201,7 +256,7 @@ def merge_subtrees(subtrees: DataFrame, group: int = GROUP, depth: int = ROUTE_D
     routes = choose_routes({r.p: r["count"] for r in masses.collect()}, group, depth)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 64):
             out: dict[str, tuple[list, list, list]] = {}
             for row in b.to_pylist():
                 p = row["prefix"]

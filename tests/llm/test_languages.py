@@ -56,3 +56,23 @@ def test_sentences():
 def test_training_needs_rows(spark):
     with pytest.raises(ValueError, match="no labelled rows"):
         langid.train(table(spark, SF, "lang_samples").where(F.lit(False)))
+
+
+def test_every_language_is_in_a_bounded_sample(spark):
+    rows = [(i, "en", "the cat") for i in range(50)] + [(100 + i, "fr", "le chat") for i in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "sample_id long, lang string, text string"), most=6)
+    assert model.langs == ["en", "fr"]
+
+
+def test_short_sentences(samples):
+    rows = list(samples)
+    random.Random(4).shuffle(rows)
+    work = langid.Labeller(langid.Model(rows[70:]))
+    right = every = 0
+    for lang, text in rows[:70]:
+        for a, b in langid.sentences(text):
+            short = " ".join(text[a:b].split()[:4])
+            if len(short.split()) == 4:
+                every += 1
+                right += {work.model.langs[s[2]] for s in work.segments(short)} == {lang}
+    assert right >= 0.9 * every

@@ -18,5 +18,4 @@ def test_same_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(llm.queries()) - set(llm.SQL)))
 def test_runs(spark, name):
-    assert llm.queries()[name](spark, oracle.SF).columns
-    assert llm.queries()[name](spark, oracle.SF).count() >= 0
+    assert llm.queries()[name](spark, oracle.SF).count() > 0

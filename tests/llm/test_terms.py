@@ -101,3 +101,12 @@ def test_distinctive_is_the_exact_order(spark, floor):
 
 def test_distinctive_empty(spark):
     assert parsimonious.distinctive(*parsimonious.fitted(_docs(spark, []))).collect() == []
+
+
+def test_redelivered_rows_count_once_either_way(spark, monkeypatch):
+    rows = [(i % 7, "u", None, f"the cat{i % 7}", "", 0) for i in range(40)] + [(100 + i, "u", None, "the dog", "", 0) for i in range(5)]
+    want = {"the": (12, 12), "dog": (5, 5)} | {f"cat{i}": (1, 1) for i in range(7)}
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(trie_counts, "MAX_AGAIN", most)
+        got = trie_counts.term_counts(_docs(spark, rows).repartition(5), "fetch_id", "content").collect()
+        assert {r.term: (r.occurrences, r.records) for r in got} == want and {r.mark for r in got if r.term == "the"} == {"common"}
