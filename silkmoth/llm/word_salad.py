@@ -21,7 +21,9 @@ from silkmoth.llm.pages import ENDS, FILED, GARBLED, Line, Page
 from silkmoth.plans.lineage import slices
 
 #: A collocation is excessive from so many times and this share of the main part on.
-TIMES, SHARE = 3, 0.01
+TIMES, SHARE = 5, 0.01
+#: A word beyond ASCII that a page has so often is no name, known or not.
+OFTEN = 3
 #: Share of excessive collocations that makes a line incoherent.
 EXCESS = 0.6
 #: Where Cyrillic letters begin (fixed value).
@@ -82,7 +84,7 @@ class Judge:
         tells = (latin | self.stats.known(h))[which]
         foreign = [i for i in np.flatnonzero(~tells).tolist() if max(words[i]) < CYRILLIC]
         often = Counter((own[at[i]], words[i]) for i in foreign)
-        tells[[i for i in foreign if often[own[at[i]], words[i]] >= TIMES]] = True
+        tells[[i for i in foreign if often[own[at[i]], words[i]] >= OFTEN]] = True
         real = h[which] != 0
         p = np.flatnonzero(real[:-1] & real[1:])
         keys, same = np.unique(pair_hashes(h[which])[p], return_inverse=True)
