@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +21,15 @@ LINK_START = r"https?://|/|[A-Za-z0-9.\-]+:[0-9]+/"
 DELIMITERS = ",;|\t\n\r "
 
 _OPEN, _CLOSE = "([{", ")]}"
+_OPENING = re.compile(r"[(\[{]")
+_BRACKETS = re.compile(r"\[*")
+_QUOTED = {q: re.compile(q + r"|\\") for q in "\"'"}
+
+
+@lru_cache(maxsize=16)
+def _patterns(start: str, delimiters: str) -> tuple[re.Pattern, re.Pattern]:
+    """How a value starts, with its quote, and what ends a plain stretch of it."""
+    return re.compile(rf"[\"']?(?:{start})"), re.compile("[" + re.escape(delimiters) + r"\\()\[\]{}]")
 
 
 def _pairs(text: str) -> dict[int, int]:
@@ -52,14 +62,24 @@ def unpack(text: str | None, start: str = LINK_START, delimiters: str = DELIMITE
     blank = set(delimiters) | {" ", "\t", "\n", "\r"}
     s = text.strip()
     depth = 0
-    while len(s) >= 2 and s[0] == "[" and s[-1] == "]" and _pairs(s).get(0, len(s) - 1) == len(s) - 1:
-        s = s[1:-1].strip()
-    begins = re.compile(rf"[\[]*(?:[\"']?)(?:{start})")
-    special = re.compile("[" + re.escape(delimiters) + r"\\()\[\]{}]")
-    pairs = _pairs(s) if re.search(r"[(\[{]", s) else {}
-    n, i = len(s), 0
+    pairs = _pairs(s) if _OPENING.search(s) else {}
+    i, n = 0, len(s)
+    while n - i >= 2 and s[i] == "[" and s[n - 1] == "]" and pairs.get(i, n - 1) == n - 1:
+        i, n = i + 1, n - 1  # brackets around the whole field
+        while i < n and s[i].isspace():
+            i += 1
+        while n > i and s[n - 1].isspace():
+            n -= 1
+    value_start, special = _patterns(start, delimiters)
+    row = [0, 0]  # the last row of opening brackets that was measured
     out: list[str] = []
 
+    def begins(at: int) -> bool:
+        """Whether a value, behind brackets and a quote, begins at ``at``."""
+        if not row[0] <= at < row[1]:
+            row[:] = at, _BRACKETS.match(s, at, n).end()
+        return value_start.match(s, row[1], n) is not None
+
     def skip(at: int) -> int:
         while at < n and s[at] in blank:
             at += 1
@@ -68,22 +88,22 @@ def unpack(text: str | None, start: str = LINK_START, delimiters: str = DELIMITE
     def ends(at: int) -> int:
         """Where the next piece begins if the delimiter at ``at`` ends a value, else -1."""
         to = skip(at)
-        return to if to >= n or begins.match(s, to) else -1
+        return to if to >= n or begins(to) else -1
 
     while True:
         i = skip(i)
         if i >= n:
             return out
-        if s[i] == "[" and i in pairs and begins.match(s, i):
+        if s[i] == "[" and pairs.get(i, n) < n and begins(i):
             i += 1  # a nested list; its closing bracket is stripped below
             depth += 1
             continue
         buf: list[str] = []
         if s[i] in "\"'":
             q, i, closed = s[i], i + 1, False
-            stop = re.compile(re.escape(q) + r"|\\")
+            stop = _QUOTED[q]
             while i < n:
-                m = stop.search(s, i)
+                m = stop.search(s, i, n)
                 if not m:
                     break
                 buf.append(s[i : m.start()])
@@ -107,9 +127,9 @@ def unpack(text: str | None, start: str = LINK_START, delimiters: str = DELIMITE
                 i = n
         else:
             while i < n:
-                m = special.search(s, i)
+                m = special.search(s, i, n)
                 if not m:
-                    buf.append(s[i:])
+                    buf.append(s[i:n])
                     i = n
                     break
                 buf.append(s[i : m.start()])
@@ -124,6 +144,7 @@ def unpack(text: str | None, start: str = LINK_START, delimiters: str = DELIMITE
                         i += 1
                 elif c in _OPEN:
                     to = pairs.get(i, i)
+                    to = to if to < n else i
                     buf.append(s[i : to + 1])
                     i = to + 1
                 elif c in _CLOSE:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -55,6 +56,18 @@ def test_long_text_is_linear():
     assert unpack("[" * 50_000) is not None
 
 
+def test_nesting_is_linear():
+    def took(n):
+        began = time.process_time()
+        assert unpack("[" * n + "/a" + "]" * n) == ["/a"]
+        assert unpack("[" * n + '"/a"') == ["/a"] or unpack("[" * n + "/a") is not None
+        return time.process_time() - began
+
+    took(1000)
+    assert took(400_000) < 400 * max(took(4_000), 0.01)
+    assert unpack("[[/a, [/b, /c]], /d]") == ["/a", "/b", "/c", "/d"]
+
+
 def test_rows(spark):
     rows = [(1, "/a,/b", "x"), (1, "/a,/b", "x"), (2, None, "y"), (None, "/c", "z"), (3, "  ", "z"), (4, "/d", "z")]
     df = spark.createDataFrame(rows, "line_id long, dest string, value string")
