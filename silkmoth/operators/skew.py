@@ -16,6 +16,20 @@ from silkmoth.plans.lineage import materialise
 
 #: Rows of one key that one chunk holds.
 CHUNK = 50_000
+#: Bytes of input that one range part is made of, by the planner's estimate.
+PART = 512 << 20
+
+
+def parts_for(df: DataFrame, part: int = PART) -> int:
+    """Number of parts for ``df``: the session's, or more where its input is large.
+
+    The input is what the plan's leaves read; where the planner knows no size the
+    session's number holds.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(least, -(-size // part)) if size < 1 << 60 else least
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -26,7 +40,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], partitions: int |
     folder, so the partition number of a row does not change if a task is redone.
     """
     cols = [*keys, *order]
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or parts_for(df)
     ranged = df.repartitionByRange(n, *[F.col(c) for c in cols]).withColumn("__part", F.spark_partition_id())
     rows = materialise(ranged)
     counts = rows.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
