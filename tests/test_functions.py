@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,15 @@ def test_html(spark):
     assert long.select(html.body_text(F.col("c"))).first()[0].endswith("a")
 
 
+def test_open_elements_are_linear(spark):
+    for text in ("<script>x" * 40_000 + "a", "<!-- " * 60_000 + "a", "<style" * 40_000 + "</style>a", "</head>" + "<head>" * 40_000 + "a"):
+        began = time.time()
+        df = spark.createDataFrame([(text,)], "c string")
+        assert df.select(html.body_text(F.col("c"))).first()[0].endswith("a") and time.time() - began < 20
+    refs = spark.createDataFrame([("a &amp;lt; &eacute;&Eacute; &nope; &; & &#39;x&copy",)], "c string")
+    assert refs.select(html.resolved(F.col("c"))).first()[0] == "a &lt; é\u00c9 &nope; &; & 'x&copy"
+
+
 def test_controls(spark):
     df = spark.createDataFrame([("a\nb\tc\u200bd\uffffe\ue000f",)], "c string")
     assert df.select(html.without_controls(F.col("c"))).first()[0] == "abcdef"
@@ -109,3 +120,11 @@ def test_xpath(spark):
     want = {"/a/b": True, '/a / b[ text() = "x y" ]': True, '/a[contains(text(),"z")][@id="1"]/c': True, "/a[b]": False, "//a": False, "a/b": False, "/a/": False, '/a[@href="x/y"]': False, "/a[": False, None: False}
     df = spark.createDataFrame([(p,) for p in want], "p string")
     assert {r[0]: r[1] for r in df.select("p", xpath.is_valid(F.col("p"))).collect()} == want
+
+
+def test_redirects_and_times(spark):
+    df = spark.createDataFrame([("http://a/, http://b/", False), ("http://a/, http://b/", True), (None, True)], "l string, s boolean")
+    assert [r[0] for r in df.select(http.redirect_targets(F.col("l"), F.col("s"))).collect()] == [["http://a/", "http://b/"], ["http://a/, http://b/"], []]
+    codes = spark.createDataFrame([(100,), (206,), (299,)], "s int").select(http.head_outcome(F.col("s"), F.lit(None), F.lit(1), F.lit("text/html"), 10))
+    assert [r[0] for r in codes.collect()] == ["undesired", "text/html", "text/html"]
+    assert spark.sql("select timestamp'2024-03-01 13:05:09' as t").select(http.iso_time(F.col("t"))).first()[0] == "2024-03-01T13:05:09"
