@@ -7,13 +7,19 @@ same chain, which is how plans are checked.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+import io
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from silkmoth.operators.crawl import gate, unseen
 from silkmoth.operators.skew import numbered
 from silkmoth.plans.lineage import shared_dir
 
@@ -52,6 +58,19 @@ class Topology:
             out = bolt(out)
         return out
 
+    def steps_table(self, spark: SparkSession) -> DataFrame:
+        """``(step, name, grouping, instances, keys)``, one row per bolt."""
+        rows = [(i, name, "fields" if keys else "shuffle", instances, list(keys)) for i, (name, _, instances, keys) in enumerate(self.steps, 1)]
+        return spark.createDataFrame(rows, "step int, name string, grouping string, instances int, keys array<string>")
+
+    def dump(self) -> str:
+        """The steps and the plan of the whole chain as text."""
+        head = [f"{i}: {name} x {instances} by {'fields ' + ', '.join(keys) if keys else 'shuffle'}" for i, (name, _, instances, keys) in enumerate(self.steps, 1)]
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            self.plan().explain("extended")
+        return "\n".join([*head, out.getvalue()])
+
     def run(self, path: str, mode: str = "append") -> StreamingQuery:
         """Run over what is there, write Parquet, and end; ``path`` holds output and checkpoint."""
         stream = self.plan().writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out")
@@ -74,6 +93,21 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFr
     return spark.read.parquet(last) if holder else spark.createDataFrame([], stream.schema)
 
 
+def stop(query: StreamingQuery, *folders: str, wait_s: float = 30) -> bool:
+    """Stop a stream, wait for its last batch and delete its ``folders``; whether it ended in time.
+
+    A stream that has failed, or is stopped already, counts as ended.
+    """
+    spark = SparkSession.getActiveSession()
+    query.stop()
+    with contextlib.suppress(Exception):  # the failure of the stream is the caller's to ask for
+        query.awaitTermination(int(wait_s))
+    for folder in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return not query.isActive
+
+
 def round_robin(rows: DataFrame, seq: str, instances: int) -> DataFrame:
     """``rows`` with the instance that gets each in turn, by a sequence number."""
     return rows.withColumn("instance", F.pmod(F.col(seq), F.lit(instances)).cast("int"))
@@ -94,6 +128,75 @@ def running_count(rows: DataFrame, word: str, seq: str) -> DataFrame:
     return placed.select("word", "seq", F.col("pos").cast("string").alias("count"))
 
 
+def counted(words: DataFrame, word: str = "word") -> DataFrame:
+    """``(word, count)`` for every tuple of a stream: how often its word has come so far, as text.
+
+    The state of a word is its count, kept from batch to batch. Null words are left out.
+    """
+
+    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        for frame in frames:
+            yield pd.DataFrame({"word": key[0], "count": np.arange(n + 1, n + 1 + len(frame)).astype(str)})
+            n += len(frame)
+        state.update((n,))
+
+    rows = words.select(F.col(word).alias("word")).where("word is not null")
+    return rows.groupBy("word").applyInPandasWithState(count, "word string, count string", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def polite(requests: DataFrame, host: str, at: str, tie: str, delay_s: float, keep_s: float = 86_400) -> DataFrame:
+    """Requests of a stream with ``start``: a request that comes before its host is free is put back until it is.
+
+    The state of a host is the time from which it is free; it is given up
+    ``keep_s`` after the host was asked last, by the watermark of ``at``. Requests
+    without a host or time are left out. A host's requests of one batch are taken
+    in order of arrival.
+    """
+    step = int(delay_s * 1_000_000)
+
+    def plan(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        free = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["at", "tie"])  # one host's requests of one batch
+        starts = []
+        for t in rows["at"].astype("int64"):
+            starts.append(t if free is None else max(t, free))
+            free = starts[-1] + step
+        state.update((free,))
+        state.setTimeoutTimestamp(max(free // 1000, state.getCurrentWatermarkMs()) + int(keep_s * 1000))
+        yield pd.DataFrame({"tie": rows["tie"].to_numpy(), "host": key[0], "start": starts})
+
+    rows = requests.select(F.col(host).alias("host"), F.col(at).cast("timestamp").alias("seen"), F.col(tie).cast("long").alias("tie")).where("host is not null and seen is not null")
+    kind = rows.schema["host"].dataType.simpleString()
+    timed = rows.withWatermark("seen", "1 hour").withColumn("at", F.unix_micros("seen"))
+    planned = timed.groupBy("host").applyInPandasWithState(plan, f"tie long, host {kind}, start long", "free long", "append", GroupStateTimeout.EventTimeTimeout)
+    return planned.select(F.col("tie").alias(tie), F.col("host").alias(host), F.timestamp_micros("start").alias("start"))
+
+
+def crawl_chain(frontier: DataFrame, rules: DataFrame, pages: DataFrame, seen: DataFrame, links: Bolt, instances: tuple[int, int, int] = (10, 10, 5)) -> Topology:
+    """The crawler's chain: spout of urls, crawl, parse and filter bolts, one plan over a stream or a batch.
+
+    ``frontier`` has ``(seq, url)``. The crawl bolt drops urls that ``rules``
+    ``(host_port, rules)`` forbid and brings the page ``(url, fetch_id, mime, content)``
+    of the others; urls without a page end there. The parse bolt makes links
+    ``(fetch_id, pos, url)`` by ``links``. The filter bolt lets each url pass once,
+    unless it is among the ``seen`` ones.
+    """
+    own = pages.select("url", "fetch_id", "mime", "content")
+
+    def crawled(urls: DataFrame) -> DataFrame:
+        once = seen_once(urls.select("url"), "url")  # a url is fetched once, however many rows ask for it
+        return gate(once, rules).where("allowed").select("url").join(own, "url")
+
+    def fresh(found: DataFrame) -> DataFrame:
+        return seen_once(unseen(found.select("url").where("url is not null"), seen), "url")
+
+    return Topology(frontier).shuffle("crawl", crawled, instances[0]).shuffle("parse", links, instances[1]).shuffle("filter", fresh, instances[2])
+
+
 def word_counts(words: DataFrame, word: str = "word") -> DataFrame:
     """Counts by word; on a stream in update or complete mode."""
     return words.groupBy(word).agg(F.count("*").alias("count"))
