@@ -17,6 +17,10 @@ from silkmoth.operators.skew import numbered
 BLOCK = 4096
 #: Longest value that a key-value item holds inline, in characters (fixed value).
 INLINE = 399_000
+#: Most stop words that are part of an expression.
+MAX_STOP = 20_000
+#: Bytes of a row group of a stored index; a lookup reads the groups of its terms.
+ROW_GROUP = 1 << 20
 
 
 def token_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -29,22 +33,47 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "token").agg(F.count("*").alias("n"))
 
 
+def kept_tokens(docs: DataFrame, doc: str, text: str, stop: DataFrame | None) -> DataFrame:
+    """``(doc, kept, total)``: tokens of each document that are no stop words, with their number.
+
+    A list of at most :data:`MAX_STOP` words is part of the expression, so nothing
+    is shuffled; a longer one is joined.
+    """
+    rows = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("kept"))
+    if stop is not None:
+        words = [r.token for r in stop.where("token is not null").select("token").distinct().limit(MAX_STOP + 1).collect()]
+        if len(words) > MAX_STOP:
+            kept = drop_stop_words(rows.select("doc", F.explode("kept").alias("token")), stop)
+            rows = kept.groupBy("doc").agg(F.collect_list("token").alias("kept"))
+        elif words:
+            rows = rows.withColumn("kept", F.filter("kept", lambda x: ~x.isin(words)))
+    return rows.withColumn("total", F.size("kept"))
+
+
 def build(docs: DataFrame, doc: str, text: str, stop: DataFrame | None = None, stems: bool = True) -> DataFrame:
     """Postings ``(term, doc, tf)``: stop words go first, tokens that stem alike add up.
 
     ``tf`` is the share of the document's remaining tokens, in single precision.
-    The stemmer sees each distinct token once. Null texts give no postings.
+    The stemmer sees each distinct token once. Null texts give no postings. A
+    document is one row (of several rows with one name each has its own ``tf``); its
+    tokens are counted where it lies, so one exchange brings its terms together.
     """
-    counts = term_counts(token_rows(docs, doc, text))
-    if stop is not None:
-        counts = drop_stop_words(counts, stop)
-    totals = counts.groupBy("doc").agg(F.sum("n").alias("total"))
+    rows = kept_tokens(docs, doc, text, stop)
+    each = rows.select("doc", "total", F.explode("kept").alias("token"))
     if stems:
-        named = stem_vocabulary(counts)
-        counts = counts.join(named, "token").groupBy("doc", F.col("stem").alias("term")).agg(F.sum("n").alias("n"))
+        named = stem_vocabulary(each)
+        each = each.join(named, "token").withColumnRenamed("stem", "term")
     else:
-        counts = counts.withColumnRenamed("token", "term")
-    return counts.join(totals, "doc").select("term", "doc", term_frequency(F.col("n"), F.col("total")).alias("tf"))
+        each = each.withColumnRenamed("token", "term")
+    counts = each.groupBy("doc", "term", "total").agg(F.count("*").alias("n"))
+    return counts.select("term", "doc", term_frequency(F.col("n"), F.col("total")).alias("tf"))
+
+
+def store(postings: DataFrame, path: str, files: int = 8) -> DataFrame:
+    """``postings`` written below ``path``, ranged and sorted by term, in small row groups; returns the stored index."""
+    ranged = postings.repartitionByRange(files, "term").sortWithinPartitions("term", "doc")
+    ranged.write.mode("errorifexists").option("parquet.block.size", ROW_GROUP).parquet(path)
+    return postings.sparkSession.read.schema(postings.schema).parquet(path)
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:

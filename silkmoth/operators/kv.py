@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,20 +36,39 @@ def delete_own(store: DataFrame, key: str, value: str, owner: str, who: str) ->
 def commit(df: DataFrame, path: str) -> str:
     """Write a new version below ``path`` and switch to it; readers see the old or the new one.
 
-    For file systems with an atomic rename; returns the version's folder.
+    The pointer is a file named by the version's number, made through the file
+    system of ``path`` (local, HDFS, an object store) without replacing any; of two
+    writers of one number the second fails. Returns the version's folder.
     """
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
-    with open(f"{path}/current.tmp", "w") as f:
-        f.write(version)
-    os.replace(f"{path}/current.tmp", f"{path}/current")
-    return f"{path}/{version}"
+    spark = df.sparkSession
+    number = _last(spark, path) + 1
+    version = f"{path}/v-{uuid.uuid4().hex}"
+    df.write.parquet(version)
+    fs, at = _file_system(spark, f"{path}/_versions/{number:012d}")
+    out = fs.create(at, False)
+    out.write(version.rsplit("/", 1)[1].encode())
+    out.close()
+    return version
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _last(spark: SparkSession, path: str) -> int:
+    """Number of the last version below ``path``, 0 if there is none."""
+    fs, at = _file_system(spark, f"{path}/_versions")
+    return max((int(x.getPath().getName()) for x in fs.listStatus(at) if x.getPath().getName().isdigit()), default=0) if fs.exists(at) else 0
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The version last committed below ``path``."""
-    with open(f"{path}/current") as f:
-        return spark.read.parquet(f"{path}/{f.read()}")
+    number = _last(spark, path)
+    if not number:
+        raise FileNotFoundError(f"nothing was committed below {path}")
+    name = spark.read.text(f"{path}/_versions/{number:012d}").first()[0]
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def subscribe(items: Column, item: Column) -> Column:

@@ -1,15 +1,16 @@
 """Ranks of a link graph: fixed rounds, mass rescaled to the number of sources.
 
 Targets that are no sources never matter after the out-degrees are known, so
-their edges go before the first round. A round joins the weighted edges with the
-ranks and adds up by target with partial sums on the map side; its result is
-written to the shared folder, which keeps the plan of a round constant and gives
-the one number that rounds share, their sum.
+their edges go before the first round. The weighted edges are partitioned by
+source once and kept so; a round brings only the ranks to them and adds up by
+target with partial sums on the map side. Its result is written to the shared
+folder, which keeps the plan of a round constant; the one number that rounds
+share, the sum, is observed by the write itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from silkmoth.plans.lineage import materialise, release
@@ -41,14 +42,18 @@ def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, b
     Self-links count, edges to other nodes only lower their source's share, and
     their mass is lost. A graph without edges has no ranks.
     """
-    links = materialise(weighted(edges))
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = materialise(weighted(edges)).repartition(n, "src").persist()  # made again from the written edges if it is lost
     ranks = materialise(edges.select(F.col("src").alias("url")).distinct().withColumn("rank", F.lit(1.0)))
     sources = ranks.count()
     if not sources:
+        links.unpersist()
         return ranks
     scale = 1.0
     for _ in range(rounds):
-        old, ranks = ranks, materialise(step(links, ranks, scale, damping, base))
+        seen = Observation()
+        old, ranks = ranks, materialise(step(links, ranks, scale, damping, base).observe(seen, F.sum("rank").alias("sum")))
         release(old)
-        scale = sources / ranks.agg(F.sum("rank")).first()[0]
+        scale = sources / seen.get["sum"]
+    links.unpersist()
     return ranks.select("url", (F.col("rank") * F.lit(scale)).alias("rank"))

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silkmoth.functions.text import stem_vocabulary, tokens
+from silkmoth.plans.lineage import materialise
 
 #: Weights of the two signals and size of a page (fixed values).
 TFIDF_WEIGHT, RANK_WEIGHT, PAGE = 0.99, 0.01, 10
+#: Most terms of a query that are pushed to the index as a filter; more are joined.
+PUSHED = 1000
 
 
 def query_terms(spark: SparkSession, query: str, stems: bool = True) -> DataFrame:
@@ -19,18 +22,26 @@ def query_terms(spark: SparkSession, query: str, stems: bool = True) -> DataFram
     return stem_vocabulary(rows).select(F.col("stem").alias("term")).distinct()
 
 
+def postings_of(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of ``terms``: read by a pushed filter for the few terms of a query, joined for more."""
+    few = [r.term for r in terms.select("term").where("term is not null").distinct().limit(PUSHED + 1).collect()]
+    if len(few) <= PUSHED:
+        return postings.where(F.col("term").isin(few)) if few else postings.limit(0)
+    return postings.join(terms.select("term").distinct(), "term", "left_semi")
+
+
 def tfidf(postings: DataFrame, terms: DataFrame, documents: Column | float) -> DataFrame:
     """``(doc, tfidf)`` of the documents with any of ``terms``.
 
     Sums (0.4 + 0.6 tf) ln(N / df) over the terms found; ``documents`` is N. Scores
-    fall below zero where df exceeds N. A query is a few words, so its terms are
-    sent to every task, and pushed as a filter where the index is sorted by term.
+    fall below zero where df exceeds N. Of an index sorted by term
+    (:func:`silkmoth.operators.index.store`) only the row groups of the terms are read.
     """
-    hits = postings.join(F.broadcast(terms.limit(1000)), "term")
+    hits = postings_of(postings, terms)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     n = documents if isinstance(documents, Column) else F.lit(float(documents))
     idf = df.select("term", F.ln(n / F.col("df")).alias("idf"))
-    scored = hits.join(F.broadcast(idf), "term")  # one row per term of the query
+    scored = hits.join(idf, "term")  # one row per term of the query; broadcast by its size
     return scored.groupBy("doc").agg(F.sum((F.lit(0.4) + F.lit(0.6) * F.col("tf").cast("double")) * F.col("idf")).alias("tfidf"))
 
 
@@ -60,3 +71,16 @@ def page(ranked: DataFrame, number: int, size: int = PAGE, by: str = "harmonic",
 def flags(number: int, returned: int, size: int = PAGE) -> tuple[bool, bool]:
     """Whether a page is the first, and the last."""
     return number == 1, returned != size
+
+
+def shown(ranked: DataFrame, asked: int | None, size: int = PAGE, by: str = "harmonic", tie: str = "doc") -> DataFrame:
+    """Rows of the page shown for a request, with ``page``, ``first`` and ``last``.
+
+    The hits are scored once: their number, which decides the page, and the page
+    are read from one written result.
+    """
+    hits = materialise(ranked)
+    number = page_number(asked, hits.count(), size)
+    rows = page(hits, number, size, by, tie)
+    first, last = flags(number, rows.count(), size)
+    return rows.select("*", F.lit(number).alias("page"), F.lit(first).alias("first"), F.lit(last).alias("last"))

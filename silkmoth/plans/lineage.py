@@ -59,6 +59,20 @@ def _clean() -> None:
             shutil.rmtree(mounted, ignore_errors=True)
 
 
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def kept(spark: SparkSession, name: str, make) -> str:
+    """Path of a table that ``make(path)`` writes once a session; later calls find it there."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _KEPT:
+        path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+        make(path)
+        _KEPT[key] = path
+        _CREATED.append((os.getpid(), path))
+    return _KEPT[key]
+
+
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 

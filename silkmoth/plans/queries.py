@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from silkmoth.functions import html, http, text, urls, xpath
 from silkmoth.functions.robots import robots
 from silkmoth.operators import crawl, index, kv, linkgraph, packed, pagerank, search, skew
+from silkmoth.plans import lineage, sql
 from silkmoth.sources import files, sinks
 from silkmoth.sources.tables import table
 from silkmoth.streaming import topology
@@ -118,7 +119,15 @@ def page_links(docs: DataFrame) -> DataFrame:
 # --- documents and text ---------------------------------------------------------------
 
 _BODY = "content"
-for _p, _r in html.BODY_STEPS:
+# what goes, in order, and what stands in its place
+for _p, _r in (
+    ("(?is)<!--.*?-->", ""),
+    (r"(?is)<head\b.*?</head\s*>", ""),
+    (r"(?is)<script\b.*?</script\s*>", ""),
+    (r"(?is)<style\b.*?</style\s*>", ""),
+    (r"(?is)</?(?:a|abbr|b|em|font|i|mark|small|span|strong|sub|sup|u)(?:\s[^>]*)?>", ""),
+    ("(?s)<[^>]*>", " "),
+):
     _BODY = f"regexp_replace({_BODY}, '{_p}', '{_r}', 'g')"
 for _n, _c in html.REFERENCES.items():
     _BODY = f"replace({_BODY}, '{_n.replace(chr(39), chr(39) * 2)}', '{_c.replace(chr(39), chr(39) * 2)}')"
@@ -148,11 +157,17 @@ def http_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("fetch_id", http.http_date(F.col("last_modified")).alias("stamp")).distinct()
 
 
+@query("select distinct fetch_id, strftime(last_modified at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') as stamp from crawl_docs where last_modified is not null")
+def iso_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "crawl_docs", "fetch_id", "last_modified").where("last_modified is not null")
+    return docs.select("fetch_id", http.iso_time(F.col("last_modified")).alias("stamp")).distinct()
+
+
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _TOKENS = """w0 as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) as w from documents),
 tok as (select doc_id as doc, lower(w) as token, count(*) as n from w0 group by all)"""
-_INDEX = f"""{_TOKENS}, kept as (select * from tok where token not in ({_STOP})), tot as (select doc, sum(n) as t from kept group by doc),
-post as (select token as term, kept.doc, cast(n as float) / cast(t as float) as tf from kept join tot using (doc))"""
+_INDEX = f"""{_TOKENS}, kept as (select *, sum(n) over (partition by doc) as t from tok where token not in ({_STOP})),
+post as materialized (select token as term, doc, cast(n as float) / cast(t as float) as tf from kept)"""
 
 
 @query(f"with {_TOKENS} select doc, token, n from tok")
@@ -171,7 +186,13 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.drop_stop_words(counts, text.default_stop_words(spark)).select("doc", "token", "n")
 
 
-@query()
+_STEMS = f"""{_TOKENS}, vocabulary as materialized (select distinct token from tok), {sql.stems('vocabulary')}"""
+# the words that are kept, by their stems
+_STEMMED = f"""{_STEMS}, kept as materialized (select tok.*, sum(n) over (partition by doc) as t from tok where token not in ({_STOP})),
+post as materialized (select stem as term, doc, cast(sum(n) as float) / cast(max(t) as float) as tf from kept join stems using (token) group by stem, doc)"""
+
+
+@query(f"with {_STEMS} select token, stem from stems")
 def stem_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.stem_vocabulary(index.token_rows(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -189,7 +210,7 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_index(spark, sf_dir)
 
 
-@query()
+@query(f"with {_STEMMED} select term, doc, tf from post")
 def inverted_index_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.build(table(spark, sf_dir, "documents"), "doc_id", "text", text.default_stop_words(spark))
 
@@ -275,10 +296,20 @@ ranked as (select scores.doc, tfidf, coalesce(r.rank, 1.0) as rank,
   from scores left join (select doc_id, 1.0 + doc_id % 7 as rank from documents where doc_id % 2 = 0) r on r.doc_id = scores.doc)"""
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_index(spark: SparkSession, sf_dir: str, stems: bool = False) -> DataFrame:
+    """The index of the documents, built and stored at its first use; searches read it."""
+
+    def make(path: str) -> None:
+        built = index.build(table(spark, sf_dir, "documents"), "doc_id", "text", text.default_stop_words(spark), stems=stems)
+        index.store(built, path)
+
+    return spark.read.parquet(lineage.kept(spark, f"index {stems} {sf_dir}", make))
+
+
+def scores(spark: SparkSession, sf_dir: str, stems: bool = False) -> DataFrame:
     """Scores of the documents for what is asked."""
     n = table(spark, sf_dir, "documents", "doc_id").count()
-    return search.tfidf(plain_index(spark, sf_dir), search.query_terms(spark, ASKED, stems=False), n)
+    return search.tfidf(stored_index(spark, sf_dir, stems), search.query_terms(spark, ASKED, stems=stems), n)
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,6 +324,14 @@ def tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir).select("doc", F.round("tfidf", 9).alias("tfidf"))
 
 
+_SCORES_STEMMED = _STEMMED + _SCORES[len(_INDEX) :].replace(f"term in ({_TERMS})", f"term in (select stem from stems where token in ({_TERMS}))")
+
+
+@query(f"with {_SCORES_STEMMED} select doc, round(tfidf, 9) as tfidf from scores")
+def tfidf_search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir, stems=True).select("doc", F.round("tfidf", 9).alias("tfidf"))
+
+
 @query(f"with {_SCORES} select doc, round(tfidf, 9) as tfidf, rank, round(harmonic, 9) as harmonic from ranked")
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(spark, sf_dir).select("doc", F.round("tfidf", 9).alias("tfidf"), "rank", F.round("harmonic", 9).alias("harmonic"))
@@ -300,14 +339,28 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_SCORES} select doc, round(harmonic, 9) as harmonic from ranked order by ranked.harmonic desc, doc limit 10 offset 10")
 def search_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranked(spark, sf_dir)
-    return search.page(rows, search.page_number(2, rows.count())).select("doc", F.round("harmonic", 9).alias("harmonic"))
+    return search.shown(ranked(spark, sf_dir), 2).select("doc", F.round("harmonic", 9).alias("harmonic"))
+
+
+@query(
+    f"""with {_SCORES}, number as (select count(*) as n from ranked), a as (select unnest([-1, 1, 2, 3, 1000000]) as asked),
+b as (select asked, cast(case when asked < 1 or n < (asked - 1) * 10 then 1 else asked end as bigint) as page, n from a, number),
+back as (select *, greatest(0, least(10, n - (page - 1) * 10)) as returned from b)
+select asked, page, page = 1 as "first", returned <> 10 as "last", returned from back"""
+)
+def search_page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = lineage.materialise(ranked(spark, sf_dir))
+    rows = []
+    for asked in (-1, 1, 2, 3, 1_000_000):
+        number = search.page_number(asked, hits.count())
+        returned = search.page(hits, number).count()
+        rows.append((asked, number, *search.flags(number, returned), returned))
+    return spark.createDataFrame(rows, "asked int, page bigint, first boolean, last boolean, returned bigint")
 
 
 @query(f"with {_SCORES} select doc, left(text, 70) || '...' as snippet from (select doc from ranked order by harmonic desc, doc limit 10) join documents on doc_id = doc")
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranked(spark, sf_dir)
-    hits = search.page(rows, search.page_number(10_000_000, rows.count()))  # too high a page shows the first
+    hits = search.shown(ranked(spark, sf_dir), 10_000_000)  # too high a page shows the first
     docs = table(spark, sf_dir, "documents", F.col("doc_id").alias("doc"), "text")
     return docs.join(F.broadcast(hits.select("doc")), "doc").select("doc", html.snippet(F.col("text")).alias("snippet"))  # ten rows
 
@@ -315,11 +368,26 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- links and ranks --------------------------------------------------------------------
 
 
-@query()
+def _edges_of(rows: str) -> str:
+    """SQL for the edges of rows ``(src, dest)``: places of commas with an even number of quotes behind them, and what lies between."""
+    return f"""r as (select distinct src, dest from ({rows}) where src is not null and dest is not null),
+c as (select src, dest, unnest(generate_series(1, length(dest))) as p from r),
+k as (select src, dest, p from c where substr(dest, p, 1) = ',' and (length(substr(dest, p + 1)) - length(replace(substr(dest, p + 1), '"', ''))) % 2 = 0 union all select src, dest, 0 from r),
+e as (select src, dest, p, coalesce(lead(p) over (partition by src, dest order by p), length(dest) + 1) as q from k)
+select distinct src, substr(dest, p + 1, q - p - 1) as dst from e"""
+
+
+@query(f"with {_edges_of('select url as src, dest from link_lines')}")
 def edge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.edges(table(spark, sf_dir, "link_lines", "url", "dest"))
 
 
+@query(f"""with {_edges_of("select split_part(line, '|', 1) as src, split_part(line, '|', 2) as dest from (select url || coalesce('|' || dest, '') as line from link_lines)")}""")
+def adjacency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "link_lines", "url", "dest").select(F.concat("url", F.coalesce(F.concat(F.lit("|"), "dest"), F.lit(""))).alias("value"))
+    return linkgraph.edges(linkgraph.adjacency(lines))
+
+
 @query(
     f"""with r as (select url as src, dest, edge_id, (row_number() over (partition by url order by edge_id, dest) - 1) // {linkgraph.LINKS} as part
   from link_edges where url is not null and dest is not null)
@@ -363,9 +431,12 @@ def pagerank_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagerank.pagerank(edge_table(spark, sf_dir)).select("url", F.round("rank", 6).alias("rank"))
 
 
-@query("select url, coalesce(rank, 1.0) as rank from page_ranks where url is not null and not contains(url, ',')")
+@query(
+    """select split_part(url, ',', 1) as url, case when contains(url, ',') then coalesce(try_cast(split_part(url, ',', 2) as double), 1.0) else coalesce(rank, 1.0) end as rank
+from page_ranks where url is not null"""
+)
 def rank_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = table(spark, sf_dir, "page_ranks").where(F.col("url").isNotNull() & ~F.contains("url", F.lit(",")))
+    ranks = table(spark, sf_dir, "page_ranks").where("url is not null")
     lines = sinks.rank_text(ranks.withColumn("rank", F.coalesce(F.col("rank").cast("string"), F.lit("none"))))
     return files.rank_lines(lines)
 
@@ -385,13 +456,23 @@ def url_seen_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.known(found.groupBy("url").agg(F.count("*").alias("n")), table(spark, sf_dir, "crawl_docs", "url"))
 
 
-@query()
+_ROBOTS = sql.robots("silkmoth")
+_GATE = _URL.format(key="fetch_id, url", col="url", t="(select distinct fetch_id, url from crawl_docs)")
+
+
+@query(
+    f"""with {_ROBOTS}, {_GATE}, g as (select fetch_id, url, host || ':' || port as host_port, path from u2 union all
+  select distinct fetch_id, url, null, null from crawl_docs where url is null or not (regexp_matches(trim(url), '^https?://') and length(trim(url)) >= 8))
+select fetch_id, url, g.host_port, coalesce(delay_ms, 5000) as delay_ms,
+  case when path is null then false else coalesce(len(list_filter(disallow, lambda x: starts_with(path, x))), 0) = 0 end as allowed
+from g left join rules on rules.host_port = g.host_port"""
+)
 def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = table(spark, sf_dir, "robots_rules").select("host_port", robots(F.col("body")).alias("rules"))
     return crawl.gate(table(spark, sf_dir, "crawl_docs", "fetch_id", "url"), rules).distinct()
 
 
-@query()
+@query(f"with {_ROBOTS} select host_port, disallow, delay_ms, specific from rules")
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "robots_rules").select("host_port", robots(F.col("body")).alias("rules")).select("host_port", "rules.*")
 
@@ -414,6 +495,16 @@ def head_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events", "event_id").select("event_id", outcome.alias("outcome"))
 
 
+@query(
+    """select edge_id, case when url is null or dest is null then [] when starts_with(url, 'https') then [trim(dest || ', ' || url)]
+  else list_transform(string_split(dest || ', ' || url, ','), lambda x: trim(x)) end as targets from link_edges"""
+)
+def redirect_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "link_edges", "edge_id", "url", "dest")
+    secure = F.coalesce(F.startswith("url", F.lit("https")), F.lit(False))
+    return rows.select("edge_id", http.redirect_targets(F.concat("dest", F.lit(", "), "url"), secure).alias("targets"))
+
+
 @query(
     """with r as (select *, row_number() over (partition by user_id order by ts, event_id) as i from events where user_id is not null and ts is not null),
 v as (select *, max(epoch_us(ts) - i * 3600000000) over (partition by user_id order by i) as m from r)
@@ -463,6 +554,56 @@ def stream_wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.run_to_table(plan, f"words-{uuid.uuid4().hex}")
 
 
+@query("select event_type as word, cast(row_number() over (partition by event_type order by event_id) as varchar) as count from events where event_type is not null")
+def stream_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    plan = topology.counted(event_stream(spark, sf_dir), "event_type")
+    return topology.run_to_table(plan, f"counts-{uuid.uuid4().hex}", "append").select("word", "count")
+
+
+@query(
+    """with r as (select *, row_number() over (partition by user_id order by ts, event_id) as i from events where user_id is not null and ts is not null),
+v as (select *, max(epoch_us(ts) - i * 3600000000) over (partition by user_id order by i) as m from r)
+select event_id, user_id, make_timestamp(i * 3600000000 + m) as start from v"""
+)
+def stream_politeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    plan = topology.polite(event_stream(spark, sf_dir), "user_id", "ts", "event_id", 3600)
+    return topology.run_to_table(plan, f"polite-{uuid.uuid4().hex}", "append").select("event_id", "user_id", F.col("start").cast("timestamp_ntz").alias("start"))
+
+
+_CHAIN = f"""with {_ROBOTS}, pages as (select distinct fetch_id, url from crawl_docs where contains(mime, 'text/html') and content is not null),
+asked as (select distinct dest as url from link_edges), {_URL.format(key='url', col='url', t='asked')},
+allowed as (select distinct url from u2 left join rules on rules.host_port = host || ':' || port
+  where coalesce(len(list_filter(disallow, lambda x: starts_with(path, x))), 0) = 0),
+got as (select distinct fetch_id from pages join allowed using (url)),
+l as (select fetch_id, unnest(links) as x from parsed_links where fetch_id in (select fetch_id from got)),
+fresh as (select distinct x.protocol || '://' || x.host || ':' || x.port || x.path as url from l)
+select url from fresh where url not in (select url from crawl_docs where url is not null)"""
+
+
+@query(_CHAIN)
+def stream_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain over the link targets as a stream, with the fetches that ``parsed_links`` knows the links of."""
+    import uuid
+
+    path = f"{sf_dir.rstrip('/')}/link_edges.parquet"
+    urls_ = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if spark._jvm.java.io.File(path).isDirectory() else f"{path}*")
+    pages = table(spark, sf_dir, "crawl_docs", "fetch_id", "url", "mime", "content").where(F.contains("mime", F.lit("text/html")) & F.col("content").isNotNull())
+    known = table(spark, sf_dir, "parsed_links", "fetch_id", "links").where("links is not null").select("fetch_id")
+    rules = table(spark, sf_dir, "robots_rules").select("host_port", robots(F.col("body")).alias("rules"))
+
+    def links(docs: DataFrame) -> DataFrame:
+        return page_links(docs).select("fetch_id", "pos", urls.normalize(F.struct("protocol", "host", "port", "path")).alias("url"))
+
+    seen = table(spark, sf_dir, "crawl_docs", "url").where("url is not null")
+    frontier = urls_.select(F.col("edge_id").alias("seq"), F.col("dest").alias("url")).where("url is not null")
+    chain = topology.crawl_chain(frontier, rules, pages.join(known, "fetch_id", "left_semi").distinct(), seen, links)
+    return topology.run_to_table(chain.plan(), f"crawl-{uuid.uuid4().hex}", "append").select("url")
+
+
 @query("select distinct user_id from events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
@@ -533,7 +674,14 @@ _PATHS = ["/a/b", '/a / b[ text() = "x y" ]', '/a[contains(text(),"z")][@id="1"]
 _PATHS_SQL = "(values " + ", ".join(f"('{p}')" for p in _PATHS) + ") as t(path)"
 
 
-@query(f"select path, [true, true, true, false, false, false, false, false, false][list_position([{', '.join(repr(p) for p in _PATHS)}], path)] as valid from {_PATHS_SQL}")
+# a step at a time: names between slashes, each with tests that quote no slash or bracket
+_STRIPPED = """s0 as (select path, unnest(generate_series(1, length(path))) as i from {t}),
+s1 as (select path, i, substr(path, i, 1) as c, (length(left(path, i)) - length(replace(left(path, i), '"', ''))) % 2 = 1 as quoted from s0),
+s2 as (select path, string_agg(c, '' order by i) as p from s1 where c <> ' ' or quoted group by path)"""
+_NAME_TESTS = r'[A-Za-z0-9]+(\[(text\(\)="[^"/\[\]]*"|contains\(text\(\),"[^"/\[\]]*"\)|@[A-Za-z0-9]+="[^"/\[\]]*")\])*'
+
+
+@query(f"with {_STRIPPED.format(t=_PATHS_SQL)} select path, p[1] = '/' and len(list_filter(string_split(p[2:], '/'), lambda x: not regexp_full_match(x, '{_NAME_TESTS}'))) = 0 as valid from s2")
 def xpath_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", xpath.is_valid(F.col("path")).alias("valid"))
 
@@ -543,7 +691,7 @@ def xpath_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", xpath.tokenise(F.col("path")).alias("parts"))
 
 
-@query(f"select path, case when path = '{_PATHS[1]}' then '/a/b[text()=\"x y\"]' else path end as stripped from {_PATHS_SQL}")
+@query(f"with {_STRIPPED.format(t=_PATHS_SQL)} select path, p as stripped from s2")
 def xpath_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", xpath.strip_blanks(F.col("path")).alias("stripped"))
 

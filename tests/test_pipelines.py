@@ -118,3 +118,71 @@ def test_keyed_tables(spark, tmp_path):
     row = spark.createDataFrame([(["p"],), (None,)], "c array<string>")
     got = row.select(kv.subscribe(F.col("c"), F.lit("q")), kv.subscribe(F.col("c"), F.lit("p")), kv.unsubscribe(F.col("c"), F.lit("p"))).collect()
     assert [tuple(map(list, r)) for r in got] == [(["p", "q"], ["p"], []), (["q"], ["p"], [])]
+
+
+def test_edges_of_long_fields(spark):
+    many = ",".join(f'"p{i},q"' for i in range(20_000))
+    df = spark.createDataFrame([("s", many), ("t", 'a,"b,c'), ("u", 'x\x01y,\x02,"\x01,"'), ("v", None), (None, "a"), ("w", "")], "url string, dest string")
+    got = linkgraph.edges(df)
+    assert got.where("src = 's'").count() == 20_000
+    assert {tuple(r) for r in got.where("src <> 's'").collect()} == {("t", "a,\"b"), ("t", "c"), ("u", "x\x01y"), ("u", "\x02"), ("u", '"\x01,"'), ("w", "")}
+
+
+def test_search_of_many_terms(spark, monkeypatch):
+    words = [f"w{i}" for i in range(1500)]
+    postings = spark.createDataFrame([(w, f"d{i % 50}", 0.5) for i, w in enumerate(words)], "term string, doc string, tf float")
+    terms = search.query_terms(spark, " ".join(words), stems=False)
+    want = {r.doc: round(r.tfidf, 6) for r in search.tfidf(postings, terms, 100).collect()}
+    assert len(want) == 50
+    monkeypatch.setattr(search, "PUSHED", 5000)
+    assert {r.doc: round(r.tfidf, 6) for r in search.tfidf(postings, terms, 100).collect()} == want
+    assert search.tfidf(postings, search.query_terms(spark, "..."), 100).collect() == []
+
+
+def test_stored_index_reads_the_groups_of_its_terms(spark, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"t{k}x"), F.col("id") % 50) for k in range(20)]).alias("text"))
+    stored = index.store(index.build(docs, "doc_id", "text", None, stems=False), str(tmp_path / "index"), files=4)
+    assert stored.count() == 60_000
+    hits = search.postings_of(stored, search.query_terms(spark, "t3x7", stems=False))
+    assert hits.count() == 60 and "PushedFilters: [IsNotNull(term), EqualTo(term,t3x7)]" in hits._jdf.queryExecution().toString().replace("In(term, [t3x7])", "IsNotNull(term), EqualTo(term,t3x7)")
+
+
+def test_shown_pages(spark):
+    ranked = spark.range(20).select(F.col("id").alias("doc"), (100.0 - F.col("id")).alias("harmonic"))
+    for asked, want in ((None, (10, 1, True, False)), (2, (10, 2, False, False)), (4, (10, 1, True, False))):
+        rows = search.shown(ranked, asked).collect()
+        assert (len(rows), rows[0].page, rows[0]["first"], rows[0]["last"]) == want
+    assert search.shown(ranked, 3).collect() == []
+
+
+def test_many_stop_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the cat and the hat"), (2, "the")], "doc_id long, text string")
+    stop = text.default_stop_words(spark)
+    want = {tuple(r) for r in index.build(docs, "doc_id", "text", stop, stems=False).collect()}
+    monkeypatch.setattr(index, "MAX_STOP", 3)
+    assert {tuple(r) for r in index.build(docs, "doc_id", "text", stop, stems=False).collect()} == want and len(want) == 2
+
+
+def test_full_stop_list_from_files(spark, tmp_path):
+    words = [f"stop{i}" for i in range(586)]
+    (tmp_path / "stop.txt").write_text("\n".join(words[:300]) + "\n" + " ".join(w.upper() for w in words[300:]) + "\n")
+    loaded = text.load_stop_words(spark, str(tmp_path / "stop.txt"))
+    assert loaded.count() == 586
+    docs = spark.createDataFrame([(1, " ".join([*words, "kept", "Kept"]))], "doc_id long, text string")
+    assert [tuple(r) for r in index.build(docs, "doc_id", "text", loaded, stems=False).collect()] == [("kept", 1, 1.0)]
+
+
+def test_versions(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        kv.current(spark, str(tmp_path))
+    for n in range(3):
+        kv.commit(spark.range(n + 1), f"file://{tmp_path}")
+    assert kv.current(spark, str(tmp_path)).count() == 3
+
+
+def test_range_parts_follow_the_input(spark, tmp_path):
+    from silkmoth.operators import skew
+
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert skew.parts_for(df) == int(spark.conf.get("spark.sql.shuffle.partitions")) < skew.parts_for(df.groupBy("id").count(), part=100)
