@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
@@ -38,12 +38,11 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = scratch(spark, "tables")
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     copy = spark.read.schema(df.schema).parquet(path)
     _PATHS[copy] = path
-    _CREATED.append((os.getpid(), path))
     return copy
 
 
@@ -62,15 +61,24 @@ def _clean() -> None:
 _KEPT: dict[tuple[str, str], str] = {}
 
 
-def kept(spark: SparkSession, name: str, make) -> str:
-    """Path of a table that ``make(path)`` writes once a session; later calls find it there."""
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path below the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    _CREATED.append((os.getpid(), path))
+    return path
+
+
+def kept(spark: SparkSession, name: str, make: Callable[[str], None]) -> str:
+    """Path of a table that ``make(path)`` writes once a session; later calls find it there, or make it again if it is gone."""
     key = (spark.sparkContext.applicationId, name)
-    if key not in _KEPT:
-        path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-        make(path)
-        _KEPT[key] = path
-        _CREATED.append((os.getpid(), path))
-    return _KEPT[key]
+    if key in _KEPT:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{_KEPT[key]}/_SUCCESS")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return _KEPT[key]
+    path = scratch(spark, "tables")
+    make(path)
+    _KEPT[key] = path
+    return path
 
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()

@@ -644,9 +644,10 @@ def kv_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.put(store, fresh, "c_custkey")
 
 
-@query("select * from customer where c_custkey not in (select o_custkey from orders)")
+@query("select * from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
 def kv_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv.delete(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders", F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    keys = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return kv.delete(table(spark, sf_dir, "customer"), keys, "c_custkey")
 
 
 @query("select c_custkey, exists(select 1 from orders where o_custkey = c_custkey) as subscribed from customer")

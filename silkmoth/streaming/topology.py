@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from silkmoth.operators.crawl import gate, unseen
 from silkmoth.operators.skew import numbered
-from silkmoth.plans.lineage import shared_dir
+from silkmoth.plans.lineage import scratch
 
 Bolt = Callable[[DataFrame], DataFrame]
 
@@ -78,16 +78,16 @@ class Topology:
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming plan to its end; its result, written by batches to the shared folder."""
+    """Run a streaming plan to its end; its result, written by batches below the shared folder until the driver ends."""
     spark = stream.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/streams/{name}"
+    path = f"{scratch(spark, 'streams')}/{name}"
     holder: dict[str, int] = {}
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
         holder["last"] = number
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{scratch(spark, 'streams')}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     last = f"{path}/batch={holder['last']}" if mode == "complete" else f"{path}/batch=*"
     return spark.read.parquet(last) if holder else spark.createDataFrame([], stream.schema)
