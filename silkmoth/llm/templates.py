@@ -11,9 +11,10 @@ other hosts and rare on this one.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,8 @@ ALONE = 0.1
 FEW, FEW_LEAST = 0.02, 3
 #: Greater classes that a class must nest in.
 GREATER = 8
-#: Pages whose units beside their headline are the same by this share of the words are copies, if one of their longest is the same.
-SAME, LONG = 0.9, 3
-#: Pages with one of its longest units that a page is compared with.
-SEEN_WITH = 20
+#: Pages whose units beside their headline are the same by this share of their characters are copies.
+SAME = 0.9
 #: Hosts of so many different pages tell what hosts share, by units on so many of them.
 SURE, SURE_PAGES = 8, 3
 #: A unit is shared by hosts if it is template of this share (and number) of them. Each host counts
@@ -99,7 +98,12 @@ def labels(page: Page) -> set[str]:
 
 
 def bodies(block: list[tuple[str, set[str]]]) -> list[int]:
-    """Number of the body of each page ``(url, units in the slot)``; pages of one url, and copies, have the same."""
+    """Number of the body of each page ``(url, units in the slot)``; pages of one url, and copies, have the same.
+
+    Every pair of copies is found: with units ranked from the rarest on, those before the
+    first that two copies share are at most ``1 - SAME`` of either, so that it is among the
+    leading units of both, which pages are looked up by.
+    """
     body = list(range(len(block)))
 
     def root(k: int) -> int:
@@ -108,22 +112,38 @@ def bodies(block: list[tuple[str, set[str]]]) -> list[int]:
             k = body[k]
         return k
 
+    pages = Counter(u for _, own in block for u in own)
+    sizes = [sum(map(len, own)) for _, own in block]
     urls: dict[str, int] = {}
     by_unit: dict[str, list[int]] = defaultdict(list)
     for k, (url, own) in enumerate(block):
         body[root(k)] = root(urls.setdefault(url, k))
-        size = sum(map(len, own))
-        near = sorted(own, key=lambda u: (-len(u), u))[:LONG]
-        for other in {j for u in near for j in by_unit[u]}:
-            theirs = block[other][1]
-            if root(other) != root(k) and sum(map(len, own & theirs)) >= SAME * max(size, sum(map(len, theirs))):
+        spare = sizes[k] - SAME * sizes[k]
+        alone = sum(len(u) for u in own if pages[u] == 1)
+        if alone > spare:
+            continue  # no other page has these
+        common = sorted((u for u in own if pages[u] > 1), key=lambda u: (pages[u], -len(u), u))
+        rare = [u for u, n in zip(common, accumulate(map(len, common), initial=alone), strict=False) if n <= spare]
+        for other in sorted({j for u in rare for j in by_unit[u]}):
+            if root(other) != root(k) and lacks_at_most(sizes[k] - SAME * max(sizes[k], sizes[other]) - alone, common, block[other][1]):
                 body[root(k)] = root(other)
-        for u in near:
-            if len(by_unit[u]) < SEEN_WITH:
-                by_unit[u].append(k)
+        for u in rare:
+            by_unit[u].append(k)
     return [root(k) for k in range(len(block))]
 
 
+def lacks_at_most(most: float, units_: list[str], theirs: set[str]) -> bool:
+    """Whether those of ``units_`` that are not of ``theirs`` have at most so many characters."""
+    if most < 0:
+        return False
+    for u in units_:
+        if u not in theirs:
+            most -= len(u)
+            if most < 0:
+                return False
+    return True
+
+
 @dataclass
 class Template:
     """Units of a host's template with the number of bodies each is on, and the headings over links."""

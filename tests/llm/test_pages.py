@@ -236,3 +236,36 @@ def test_units_at_both_ends_of_a_segment_go():
     template = templates.Template({"print this page": 5, "accept all": 9, "advertisement": 4}, {}, 20)
     assert template.without("print this page some of our partners accept all") == "some of our partners"
     assert template.without("advertisement you can change it") == "you can change it" and template.without("print this page") == "print this page"
+
+
+def test_copies_are_found_beyond_many_pages_with_the_same_long_units():
+    notices = [f"notice {i} of the site, which is longer than any paragraph of its articles and stands below all of them" for i in range(3)]
+    text = [f"paragraph {i} of an article that is at three urls" for i in range(4)]
+    pages = [(f"u{i:02}", [["home"], *([f"own text {i} {k} of this page only"] for k in range(4)), *([n] for n in notices)]) for i in range(30)]
+    pages += [(f"z{i}", [["home"], *([t] for t in text), *([n] for n in notices)]) for i in range(3)]
+    slots = [{u for line in lines for u in line} - {"home"} for _, lines in pages]
+    got = templates.bodies([(url, own) for (url, _), own in zip(pages, slots, strict=True)])
+    assert len(set(got)) == 31 and len(set(got[30:])) == 1
+    assert set(deduce(pages, slots=slots).units) == {"home", *notices}
+
+
+def test_copies_whose_longest_units_differ_are_found():
+    text = {f"paragraph {i} of an article that is at two urls" for i in range(60)}
+    longest = [{f"paragraph {i} of an article that is at two urls, {how}" for i in range(60, 63)} for how in ("as it was first written", "as it was corrected later")]
+    assert len(set(templates.bodies([(f"u{i}", text | x) for i, x in enumerate(longest)]))) == 1
+    assert len(set(templates.bodies([("u0", text | longest[0]), ("u1", set(sorted(text)[:50]) | longest[1])]))) == 2
+
+
+def test_copies_are_those_of_all_pairs():
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        pool = ["u" * int(n) + str(i) for i, n in enumerate(rng.integers(1, 12, rng.integers(3, 40)))]
+        kinds = [set(rng.choice(pool, rng.integers(0, len(pool) + 1), replace=False).tolist()) for _ in range(4)]
+        block = [(f"u{rng.integers(80)}", kinds[rng.integers(4)] ^ set(rng.choice(pool, rng.integers(3)).tolist())) for _ in range(rng.integers(1, 60))]
+        body = list(range(len(block)))
+        for k, (url, own) in enumerate(block):
+            for j, (other, theirs) in enumerate(block[:k]):
+                if url == other or own & theirs and sum(map(len, own & theirs)) >= templates.SAME * max(sum(map(len, own)), sum(map(len, theirs))):
+                    body = [body[j] if x == body[k] else x for x in body]
+        got = templates.bodies(block)
+        assert len(set(got)) == len(set(body)) == len(set(zip(got, body, strict=True)))
